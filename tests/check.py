@@ -18,7 +18,7 @@ from wattframe.session import build_session  # noqa: E402
 def main() -> int:
     sf, prefixes = sys.argv[1], tuple(sys.argv[2:])
     sf_dir = f"/root/testdata/sf{sf}"
-    spark = build_session("local[8]", **{"spark.sql.shuffle.partitions": "8"})
+    spark = build_session("local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     failed = 0

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from wattframe.functions.lookups import FUELTECHS, fueltech_group, is_renewable
 from wattframe.functions.timebucket import NTZ, floor_minutes
+from wattframe.plans.sqltext import exact
 
 # The span of the event table.
 START = datetime(2024, 1, 1)
@@ -365,8 +366,8 @@ SQL_TABLES: dict[str, str] = {
             CASE WHEN user_id % 10 = 0 THEN 'retired' ELSE 'operating' END AS status_id,
             g - 40 AS generated, round((g - 40) / 12, 4) AS energy,
             CASE WHEN fueltech_id = 'battery' THEN g END AS energy_storage,
-            round(g * (CASE fueltech_id WHEN 'coal_black' THEN 0.9::DOUBLE WHEN 'gas_ccgt' THEN 0.4::DOUBLE
-                WHEN 'distillate' THEN 0.7::DOUBLE ELSE 0::DOUBLE END) / 12, 4) AS emissions,
+            {exact("""g * (CASE fueltech_id WHEN 'coal_black' THEN 0.9::DOUBLE WHEN 'gas_ccgt' THEN 0.4::DOUBLE
+                WHEN 'distillate' THEN 0.7::DOUBLE ELSE 0::DOUBLE END) / 12""", 4)} AS emissions,
             round(g * 5, 4) AS market_value, version
         FROM (
             SELECT time_bucket(INTERVAL '5 minutes', ts) AS interval, network_id, network_region, facility_code,
