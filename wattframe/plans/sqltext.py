@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def exact(expr: str, digits: int) -> str:
     """Round half up on the printed value, as Spark rounds doubles."""
-    return f"round(CAST(CAST(({expr}) AS VARCHAR) AS DECIMAL(38, 18)), {digits})::DOUBLE"
+    return f"round(CAST(CAST(({expr}) AS VARCHAR) AS DECIMAL(38, 24)), {digits})::DOUBLE"
 
 
 def r2(expr: str) -> str:
