@@ -8,7 +8,7 @@ and the carried state is joined back. The wide rows are shuffled once, by
 (keys, chunk); the window inside a chunk reuses that partitioning.
 
 `chunk=None` asks for the plain window, for series known to be short.
-(keys, ts) must be unique; aggregate or de-duplicate first.
+(keys, ts) must be unique, or `tiebreak` columns order the rows of one instant.
 """
 
 from __future__ import annotations
@@ -93,11 +93,18 @@ def lag_row(
 
 
 def _known(
-    df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str], chunk: str | None, following: bool
+    df: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    cols: Sequence[str],
+    chunk: str | None,
+    following: bool,
+    tiebreak: Sequence[str] = (),
 ) -> DataFrame:
     """Adds `_prev_<c>` (and `_next_<c>`) structs of the nearest present value."""
+    rank = F.struct(ts, *tiebreak)
     if chunk is None:
-        w = Window.partitionBy(*keys).orderBy(ts)
+        w = Window.partitionBy(*keys).orderBy(ts, *tiebreak)
         out = df
         for c in cols:
             back = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -109,13 +116,13 @@ def _known(
     parts = with_chunk(df, ts, chunk)
     per_chunk, scan = {}, {}
     for c in cols:
-        per_chunk[f"_hi_{c}"] = F.max_by(_at(ts, c), F.when(F.col(c).isNotNull(), F.col(ts)))
+        per_chunk[f"_hi_{c}"] = F.max_by(_at(ts, c), F.when(F.col(c).isNotNull(), rank))
         scan[f"_cp_{c}"] = (f"_hi_{c}", "before")
         if following:
-            per_chunk[f"_lo_{c}"] = F.min_by(_at(ts, c), F.when(F.col(c).isNotNull(), F.col(ts)))
+            per_chunk[f"_lo_{c}"] = F.min_by(_at(ts, c), F.when(F.col(c).isNotNull(), rank))
             scan[f"_cn_{c}"] = (f"_lo_{c}", "after")
     out = null_safe_join(parts, _carried(parts, keys, per_chunk, scan), [*keys, _CHUNK])
-    w = Window.partitionBy(*keys, _CHUNK).orderBy(ts)
+    w = Window.partitionBy(*keys, _CHUNK).orderBy(ts, *tiebreak)
     for c in cols:
         back = F.last(_at(ts, c), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
         out = out.withColumn(f"_prev_{c}", F.coalesce(back, F.col(f"_cp_{c}")))
@@ -126,10 +133,15 @@ def _known(
 
 
 def last_known(
-    df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str], chunk: str | None = "month"
+    df: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    cols: Sequence[str],
+    chunk: str | None = "month",
+    tiebreak: Sequence[str] = (),
 ) -> DataFrame:
     """Each value or, where missing, the last one before it."""
-    out = _known(df, keys, ts, cols, chunk, following=False)
+    out = _known(df, keys, ts, cols, chunk, False, tiebreak)
     return out.select(
         *[F.col(f"_prev_{c}.v").alias(c) if c in cols else F.col(c) for c in df.columns]
     )
@@ -142,7 +154,7 @@ def linear_between(
 
     Nothing is invented before the first or after the last present value.
     """
-    out = _known(df, keys, ts, cols, chunk, following=True)
+    out = _known(df, keys, ts, cols, chunk, True)
     now = epoch_seconds(ts)
 
     def line(c: str) -> Column:
