@@ -12,6 +12,7 @@ from wattframe.functions.lookups import (
     HYBRID_STORAGE_UNITS,
     MARKET_RENEWABLE_FUELTECHS,
     NON_UNIT_FUELTECHS,
+    TWO_WAY_FUELTECHS,
     interval_minutes,
     lookup,
 )
@@ -20,13 +21,12 @@ from wattframe.operators.gapfill import (
     LOOKBACK,
     TAIL,
     gapfill,
-    interpolate,
-    interpolate_with_tail,
     locf,
     locf_bounded,
     rescale_energy,
+    spread,
 )
-from wattframe.operators.ingest import clamp_sum, relabel_region
+from wattframe.operators.ingest import relabel_region
 from wattframe.operators.ordered import lag_row
 
 FIVE = timedelta(minutes=5)
@@ -99,9 +99,7 @@ def carried_prices(market: DataFrame, start: datetime, end: datetime, chunk="mon
         .groupBy(floor_minutes("interval", 5).alias("interval"), "network_id", "network_region")
         .agg(F.avg("price").alias("price"))
     )
-    keys = ["network_id", "network_region"]
-    full = gapfill(published, keys, "interval", FIVE, start, end)
-    return locf(full, keys, "interval", ["price"], chunk=chunk)
+    return spread(published, ["network_id", "network_region"], "interval", FIVE, end, hold=["price"], chunk=chunk)
 
 
 def unit_intervals(
@@ -167,7 +165,6 @@ def unit_intervals(
         end,
         LOOKBACK,
         TAIL,
-        bound_keys=["unit_code"],
         chunk=chunk,
     )
     solar = (
@@ -197,8 +194,6 @@ def unit_intervals(
 
 
 def _floor_one_way(total: Column, fueltech: Column) -> Column:
-    from wattframe.functions.lookups import TWO_WAY_FUELTECHS
-
     return F.when(fueltech.isin(*TWO_WAY_FUELTECHS), total).otherwise(F.greatest(total, F.lit(0.0)))
 
 
@@ -380,15 +375,15 @@ def market_summary(
         .groupBy(bucketed, "network_region")
         .agg(F.avg("generated").alias("rooftop_solar"))
     )
-    rooftop = gapfill(rooftop, ["network_region"], "interval", FIVE, early, end)
-    rooftop = interpolate_with_tail(rooftop, ["network_region"], "interval", "rooftop_solar", TAIL, chunk)
+    known = rooftop.filter(F.col("rooftop_solar").isNotNull())
+    rooftop = spread(known, ["network_region"], "interval", FIVE, end, line=["rooftop_solar"], tail=TAIL, chunk=chunk)
     rooftop = rooftop.withColumn("network_id", F.lit("NEM"))
 
     green = renewable_and_storage(telemetry, units)
     green = green.join(regions.select("network_id").distinct(), "network_id", "left_semi")
     green = green.join(regions.select("network_region").distinct(), "network_region", "left_semi")
-    green = gapfill(green, keys, "interval", FIVE, early, end)
-    green = interpolate(green, keys, "interval", ["renewable_generation", "storage_generation"], chunk)
+    # Sums are never NULL, so consecutive rows are the anchors of both lines.
+    green = spread(green, keys, "interval", FIVE, line=["renewable_generation", "storage_generation"], chunk=chunk)
 
     west = units.filter(F.col("network_id") == "WEM").select("unit_code")
     total = (
@@ -396,8 +391,8 @@ def market_summary(
         .groupBy(bucketed, F.lit("WEM").alias("network_id"))
         .agg(F.sum("generated").alias("total_generation"))
     )
-    total = gapfill(total, ["network_id"], "interval", FIVE, early, end)
-    total = interpolate(total, ["network_id"], "interval", ["total_generation"], chunk)
+    known = total.filter(F.col("total_generation").isNotNull())
+    total = spread(known, ["network_id"], "interval", FIVE, line=["total_generation"], chunk=chunk)
 
     on = ["interval", *keys]
     joined = full.join(rooftop, on, "full_outer").join(green, on, "full_outer")

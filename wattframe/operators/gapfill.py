@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattframe.functions.timebucket import epoch_seconds, step_expr, step_lit, ts_lit
-from wattframe.operators.ordered import bounds, last_known, linear_between, null_safe_join
+from wattframe.operators.ordered import _known, bounds, last_known, linear_between, next_row, null_safe_join
 
 TAIL = timedelta(minutes=25)
 LOOKBACK = timedelta(minutes=35)
@@ -92,13 +92,58 @@ def interpolate_with_tail(
     df: DataFrame, keys: Sequence[str], ts: str, col: str, tail: timedelta = TAIL, chunk: str | None = "month"
 ) -> DataFrame:
     """Interpolated interior, last value carried for `tail` past the last real one."""
-    both = df.withColumn("_line", F.col(col)).withColumn("_held", F.col(col))
-    both = linear_between(both, keys, ts, ["_line"], chunk)
-    both = last_known(both, keys, ts, ["_held"], chunk)
-    real = F.when(F.col(col).isNotNull(), F.col(ts))
-    both = bounds(both, keys, real, real)
-    value = F.coalesce(F.col("_line"), F.when(F.col(ts) <= F.col("_hi") + step_lit(tail), F.col("_held")))
-    return both.withColumn(col, value).select(*df.columns)
+    known = _known(df, keys, ts, [col], chunk, True)
+    before, after = F.col(f"_prev_{col}"), F.col(f"_next_{col}")
+    t0, t1 = epoch_seconds(before["ts"]), epoch_seconds(after["ts"])
+    line = before["v"] + (after["v"] - before["v"]) * (epoch_seconds(ts) - t0) / F.nullif(t1 - t0, F.lit(0))
+    held = F.when(after.isNull() & (F.col(ts) <= before["ts"] + step_lit(tail)), before["v"])
+    return known.withColumn(col, F.coalesce(F.col(col), line, held)).select(*df.columns)
+
+
+def spread(
+    df: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    step,
+    end=None,
+    hold: Sequence[str] = (),
+    line: Sequence[str] = (),
+    tail: timedelta | None = None,
+    chunk: str | None = "month",
+) -> DataFrame:
+    """Each row repeated on the grid steps up to the next row of its series.
+
+    This fills a series straight from its sparse readings: no grid is built,
+    joined or scanned. `hold` columns keep their value, `line` columns run
+    straight to the next one, the others are NULL on created steps. After the
+    last row `hold` goes on to the exclusive `end`, or for `tail` at most.
+    Nothing is created before the first row.
+    """
+    step = step_lit(step) if isinstance(step, timedelta) else step
+    known = next_row(df, keys, ts, line, chunk=chunk)
+    at, after = F.col(ts), F.col("_next")
+    last = at if end is None else ts_lit(end) - step
+    if tail is not None:
+        last = F.least(last, at + step_lit(tail)) if end is not None else at + step_lit(tail)
+    stop = F.when(after.isNull(), last).otherwise(after["ts"] - step)
+    if end is not None:
+        stop = F.least(stop, ts_lit(end) - step)
+    steps = known.withColumn("_t", F.explode(F.sequence(at, F.greatest(stop, at), step)))
+    now, t0, t1 = epoch_seconds("_t"), epoch_seconds(ts), epoch_seconds(after["ts"])
+    real = F.col("_t") == at
+
+    def shown(c: str) -> Column:
+        if c == ts:
+            return F.col("_t").alias(ts)
+        if c in keys or c in hold:
+            return F.col(c)
+        if c in line:
+            v0, v1 = F.col(c), after[c]
+            drawn = F.when(real, v0).otherwise(v0 + (v1 - v0) * (now - t0) / F.nullif(t1 - t0, F.lit(0)))
+            return F.coalesce(drawn, F.when(after.isNull(), v0)).alias(c) if tail is not None else drawn.alias(c)
+        return F.when(real, F.col(c)).alias(c)
+
+    return steps.select(*[shown(c) for c in df.columns])
 
 
 def locf_bounded(
@@ -111,21 +156,15 @@ def locf_bounded(
     end: datetime,
     lookback: timedelta = LOOKBACK,
     tail: timedelta = TAIL,
-    bound_keys: Sequence[str] | None = None,
     chunk: str | None = "month",
 ) -> DataFrame:
     """Coarse readings carried over a finer grid, inside their own lifetime.
 
-    The scan begins `lookback` early so the window start has a seed; rows
-    before the first or more than `tail` after the last reading are dropped.
+    The scan begins `lookback` early so the window start has a seed; nothing
+    stands before the first or more than `tail` after the last reading.
     """
     seeded = df.filter((F.col(ts) >= ts_lit(start - lookback)) & (F.col(ts) <= ts_lit(end)))
-    full = gapfill(seeded, keys, ts, step, start - lookback, end, present="_seen")
-    full = locf(full, keys, ts, cols, chunk=chunk)
-    real = F.when(F.col("_seen"), F.col(ts))
-    full = bounds(full, list(bound_keys or keys), real, real)
-    inside = (F.col(ts) >= F.col("_lo")) & (F.col(ts) <= F.col("_hi") + step_lit(tail))
-    return full.filter(inside).select(*df.columns)
+    return spread(seeded, keys, ts, step, end, hold=cols, tail=tail, chunk=chunk)
 
 
 def rescale_energy(energy: Column, interval_minutes: Column) -> Column:
@@ -133,27 +172,11 @@ def rescale_energy(energy: Column, interval_minutes: Column) -> Column:
     return energy / (12 / (60 / interval_minutes))
 
 
-def fill_interior(df: DataFrame, keys: Sequence[str], ts: str, interval: str) -> DataFrame:
+def fill_interior(
+    df: DataFrame, keys: Sequence[str], ts: str, interval: str, chunk: str | None = "year"
+) -> DataFrame:
     """NULL points for missing buckets between each series' own ends."""
-    ends = df.groupBy(*keys).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
-    steps = F.explode(F.sequence("_lo", "_hi", step_expr(interval))).alias(ts)
-    spine = ends.select(*keys, steps)
-    return _onto(spine, df, [*keys, ts])
-
-
-def _onto(spine: DataFrame, df: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Rows of `df` plus the spine points it lacks, one row per point."""
-    missing = spine.join(df.select(*on), list(on), "left_anti") if not _nullable_keys(spine, on) else _anti(spine, df, on)
-    return df.unionByName(missing, allowMissingColumns=True)
-
-
-def _nullable_keys(df: DataFrame, on: Sequence[str]) -> bool:
-    return any(df.schema[c].nullable for c in on)
-
-
-def _anti(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Left rows with no null-safe match on the right."""
-    return null_safe_join(left, right.select(*on).distinct(), on, "left_anti")
+    return spread(df, keys, ts, step_expr(interval), chunk=chunk)
 
 
 def dense_series(df: DataFrame, keys: Sequence[str], ts: str, value: str, interval: str) -> DataFrame:

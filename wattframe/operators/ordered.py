@@ -41,7 +41,7 @@ def _carried(df: DataFrame, keys: Sequence[str], per_chunk: dict[str, Column], s
     """Chunk summaries scanned along each key.
 
     `scan` maps an output name to (summary column, "before" | "after" |
-    "max_before" | "min_before" | "prev" | "sum_before").
+    "max_before" | "min_before" | "prev" | "next").
     """
     summary = df.groupBy(*keys, _CHUNK).agg(*[e.alias(n) for n, e in per_chunk.items()])
     order = Window.partitionBy(*keys).orderBy(_CHUNK)
@@ -55,8 +55,8 @@ def _carried(df: DataFrame, keys: Sequence[str], per_chunk: dict[str, Column], s
             "after": lambda: F.first(c, ignorenulls=True).over(after),
             "max_before": lambda: F.max(c).over(before),
             "min_before": lambda: F.min(c).over(before),
-            "sum_before": lambda: F.sum(c).over(before),
             "prev": lambda: F.lag(c).over(order),
+            "next": lambda: F.lead(c).over(order),
         }[kind]()
         outs.append(expr.alias(name))
     return summary.select(*keys, _CHUNK, *outs)
@@ -92,6 +92,23 @@ def lag_row(
     return out.select(*df.columns, *[F.col(f"_prev.{c}").alias(f"{prefix}{c}") for c in cols])
 
 
+def next_row(
+    df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str], name: str = "_next", chunk: str | None = "month"
+) -> DataFrame:
+    """Adds a struct of (ts, cols) of the following row of the series."""
+    row = F.struct(F.col(ts).alias("ts"), *[F.col(c) for c in cols])
+    if chunk is None:
+        return df.withColumn(name, F.lead(row).over(Window.partitionBy(*keys).orderBy(ts)))
+    parts = with_chunk(df, ts, chunk)
+    carry = _carried(parts, keys, {"_first": F.min_by(row, F.col(ts))}, {"_after": ("_first", "next")})
+    w = Window.partitionBy(*keys, _CHUNK).orderBy(ts)
+    return (
+        null_safe_join(parts, carry, [*keys, _CHUNK])
+        .withColumn(name, F.coalesce(F.lead(row).over(w), F.col("_after")))
+        .drop("_after", _CHUNK)
+    )
+
+
 def _known(
     df: DataFrame,
     keys: Sequence[str],
@@ -165,36 +182,37 @@ def linear_between(
     return out.select(*[line(c).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
-def running_extreme(
+def running_extremes(
     df: DataFrame,
     keys: Sequence[str],
     ts: str,
-    value: Column,
-    kind: str = "max",
-    name: str = "running",
-    prev_name: str = "prev_running",
+    values: dict[str, tuple[Column, str]],
     chunk: str | None = "year",
 ) -> DataFrame:
-    """Running max or min up to each row, and up to the row before it."""
-    agg = F.max if kind == "max" else F.min
-    pick = F.greatest if kind == "max" else F.least
-    df_v = df.withColumn("_v", value)
+    """Running max or min up to each row, and up to the row before it.
+
+    `values` maps a name to (value, "max" | "min"); the columns added are the
+    name and `prev_<name>`. All of them share one scan. A struct value is
+    compared field by field, so it can carry the time of the extreme along.
+    """
+    marked = df.withColumns({f"_v_{n}": v for n, (v, _) in values.items()})
+    agg, pick = {"max": F.max, "min": F.min}, {"max": F.greatest, "min": F.least}
     part = list(keys)
     if chunk is not None:
-        df_v = with_chunk(df_v, ts, chunk)
-        carry = _carried(df_v, keys, {"_x": agg("_v")}, {"_before": ("_x", f"{kind}_before")})
-        df_v = null_safe_join(df_v, carry, [*keys, _CHUNK])
+        marked = with_chunk(marked, ts, chunk)
+        per_chunk = {f"_x_{n}": agg[k](f"_v_{n}") for n, (_, k) in values.items()}
+        scan = {f"_b_{n}": (f"_x_{n}", f"{k}_before") for n, (_, k) in values.items()}
+        marked = null_safe_join(marked, _carried(marked, keys, per_chunk, scan), [*keys, _CHUNK])
         part.append(_CHUNK)
-    else:
-        df_v = df_v.withColumn("_before", F.lit(None).cast(df_v.schema["_v"].dataType))
     w = Window.partitionBy(*part).orderBy(ts)
-    upto = agg("_v").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    before = agg("_v").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return df_v.select(
-        *df.columns,
-        pick(upto, F.col("_before")).alias(name),
-        pick(before, F.col("_before")).alias(prev_name),
-    )
+    out = []
+    for n, (_, k) in values.items():
+        upto = agg[k](f"_v_{n}").over(w.rowsBetween(Window.unboundedPreceding, 0))
+        before = agg[k](f"_v_{n}").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        if chunk is not None:
+            upto, before = pick[k](upto, F.col(f"_b_{n}")), pick[k](before, F.col(f"_b_{n}"))
+        out += [upto.alias(n), before.alias(f"prev_{n}")]
+    return marked.select(*df.columns, *out)
 
 
 def bounds(df: DataFrame, keys: Sequence[str], lo: Column, hi: Column) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wattframe.functions.lookups import NETWORKS, REGION_NAMES, lookup
 from wattframe.functions.timebucket import bucket, epoch_seconds, period_bounds, season_name, ts_lit
-from wattframe.operators.ordered import lag_row, last_known, running_extreme
+from wattframe.operators.ordered import lag_row, last_known, running_extremes
 from wattframe.operators.versioning import latest_per_id, upsert
 
 PERIOD_BUCKET = {
@@ -135,6 +135,9 @@ def pct_change(value: Column, previous: Column, relative_to_size: bool = False)
     return F.when((size < 9999) & (size > 0.01), F.round(change, 2))
 
 
+_HIT = "struct<aggregate: string, value: double, previous: struct<v: double, n: bigint, t: timestamp_ntz>>"
+
+
 def detect_records(
     df: DataFrame,
     keys: Sequence[str],
@@ -159,29 +162,40 @@ def detect_records(
     high = F.when(F.round(rounded, 0) > lit(floor), rounded)
     complete = F.col(count) >= lit(threshold)
     low = F.when(complete & (lit(allow_negative) | (raw > 0)), raw)
-    marked = df.withColumn("_high", high).withColumn("_low", low)
-    marked = running_extreme(marked, keys, ts, F.col("_high"), "max", "_max", "_prev_max", chunk)
-    marked = running_extreme(marked, keys, ts, F.col("_low"), "min", "_min", "_prev_min", chunk)
-    none = F.lit(None).cast("double")
+    # The earliest holder of the extreme travels along, so the record a new one
+    # replaces is known without another scan.
+    at = epoch_seconds(ts)
+    marked = running_extremes(
+        df.withColumn("_high", high).withColumn("_low", low),
+        keys,
+        ts,
+        {
+            "_max": (F.when(high.isNotNull(), F.struct(high.alias("v"), (-at).alias("n"), F.col(ts).alias("t"))), "max"),
+            "_min": (F.when(low.isNotNull(), F.struct(low.alias("v"), at.alias("n"), F.col(ts).alias("t"))), "min"),
+        },
+        chunk,
+    )
 
     def side(name: str, v: str, prev: str, beats: Column) -> Column:
         hit = F.col(v).isNotNull() & (F.col(prev).isNull() | beats)
         return F.when(
-            hit, F.struct(F.lit(name).alias("aggregate"), F.col(v).alias("value"), F.coalesce(F.col(prev), none).alias("previous"))
+            hit, F.struct(F.lit(name).alias("aggregate"), F.col(v).alias("value"), F.col(prev).alias("previous"))
         )
 
     sides = F.array_compact(
         F.array(
-            side("high", "_high", "_prev_max", F.col("_high") > F.col("_prev_max")),
-            side("low", "_low", "_prev_min", F.col("_low") < F.col("_prev_min")),
+            side("high", "_high", "prev__max", F.col("_high") > F.col("prev__max.v")).cast(_HIT),
+            side("low", "_low", "prev__min", F.col("_low") < F.col("prev__min.v")).cast(_HIT),
         )
     )
-    hits = marked.select(*[c for c in df.columns if c != value], F.explode(sides).alias("_r"))
+    rest = [c for c in df.columns if c != value]
+    hits = marked.select(*rest, F.explode(sides).alias("_r"))
     return hits.select(
-        *[c for c in df.columns if c != value],
+        *rest,
         F.col("_r.aggregate").alias("aggregate"),
         F.col("_r.value").alias("value"),
-        pct_change(F.col("_r.value"), F.col("_r.previous")).alias("pct_change"),
+        F.col("_r.previous.t").alias("previous_interval"),
+        pct_change(F.col("_r.value"), F.col("_r.previous.v")).alias("pct_change"),
     )
 
 
@@ -336,8 +350,13 @@ def find_records(base: DataFrame, end: datetime, network: str = "NEM", chunk: st
     named = hits.withColumn("fueltech_id", F.when(is_demand, "demand").otherwise(F.col("fueltech_id"))).withColumn(
         "metric", out_metric
     )
-    named = apply_cutoffs(named).withColumn("network_id", F.lit(network))
-    return describe_records(chain(with_ids(named, network), chunk))
+    named = with_ids(apply_cutoffs(named).withColumn("network_id", F.lit(network)), network)
+    # A predecessor dropped by a cut-off is no predecessor.
+    since = lookup(F.col("fueltech_id"), FUELTECH_SINCE).cast("timestamp_ntz")
+    before = F.col("previous_interval")
+    valid = before.isNotNull() & (since.isNull() | (before >= since))
+    linked = named.withColumn("previous_instance_id", F.when(valid, instance_id(F.col("record_id"), before)))
+    return describe_records(linked)
 
 
 def with_ids(records: DataFrame, network: str = "NEM") -> DataFrame:

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from wattframe.functions.timebucket import bucket
 from wattframe.operators import records as Q
 from wattframe.operators import rollups as R
-from wattframe.operators.ordered import running_extreme
+from wattframe.operators.ordered import running_extremes
 from wattframe.plans.catalog import query
 from wattframe.plans.sqltext import r2
 from wattframe.plans.tables import END, Tables
 from wattframe.plans.time_plans import _DUCK_BUCKET
+from wattframe.session import stage
 
 # The synthetic feed is sparse, so completeness is judged leniently.
 LENIENT = {**Q.THRESHOLDS, "day": 20, "month": 300, "quarter": 400, "year": 500}
@@ -27,8 +28,7 @@ LENIENT = {**Q.THRESHOLDS, "day": 20, "month": 300, "quarter": 400, "year": 500}
 def _running(t: Tables):
     keys = ["network_region", "fueltech_id"]
     rows = t.daily().select("interval", *keys, "energy")
-    rows = running_extreme(rows, keys, "interval", F.col("energy"), "max", "high", "_a", "year")
-    rows = running_extreme(rows, keys, "interval", F.col("energy"), "min", "low", "_b", "year")
+    rows = running_extremes(rows, keys, "interval", {"high": (F.col("energy"), "max"), "low": (F.col("energy"), "min")})
     return rows.select("interval", *keys, "high", "low")
 
 
@@ -73,7 +73,7 @@ for _period, _floor, _count in (
         def _(t: Tables):
             return Q.detect_records(
                 _series(t, period), ["network_region", "fueltech_id"], "interval", "value", "interval_count", floor, count
-            )
+            ).drop("previous_interval")
 
     _register()
 
@@ -155,6 +155,11 @@ def _base(t: Tables):
     return base(t).withColumn("value", F.round("value", 4))
 
 
+def stored(t: Tables):
+    """The records as a stored table, for queries that read it more than once."""
+    return stage(found(t))
+
+
 def found(t: Tables):
     """All records of the derived facts; sums are steadied so reruns agree."""
     steady = base(t).withColumn("value", F.round("value", 6))
@@ -290,7 +295,8 @@ def _rid(t: Tables):
     f"""WITH {_FOUND} SELECT record_id, interval, lag(interval) OVER (PARTITION BY record_id ORDER BY interval) IS NOT NULL AS linked FROM found""",
 )
 def _chain(t: Tables):
-    return found(t).select("record_id", "interval", F.col("previous_instance_id").isNotNull().alias("linked"))
+    linked = Q.chain(found(t).drop("previous_instance_id"), chunk="day")
+    return linked.select("record_id", "interval", F.col("previous_instance_id").isNotNull().alias("linked"))
 
 
 @query(
@@ -320,7 +326,7 @@ def _new(t: Tables):
 
 @query("r11_debounce")
 def _debounced(t: Tables):
-    return Q.debounce(found(t), chunk="day").select("record_id", "interval", "period", "aggregate", "value")
+    return Q.debounce(stored(t), chunk="day").select("record_id", "interval", "period", "aggregate", "value")
 
 
 @query(
@@ -350,7 +356,7 @@ def _spaced(t: Tables):
 
 @query("r12_check_period")
 def _check(t: Tables):
-    all_found = found(t)
+    all_found = stored(t)
     now = datetime(2024, 1, 30, 12)
     state = Q.current_state(all_found.filter(F.col("interval") < F.lit("2024-01-26").cast("timestamp_ntz")))
     lenient = {k: 1 for k in Q.THRESHOLDS}
@@ -497,7 +503,7 @@ def _history(t: Tables):
     f"WITH {_FOUND} SELECT record_id, interval, value FROM found",
 )
 def _reconcile(t: Tables):
-    every = found(t)
+    every = stored(t)
     lost = F.abs(F.hash("record_id")) % 3 == 0
     return Q.reconcile(every.filter(~lost), every, END).select("record_id", "interval", "value")
 
@@ -512,7 +518,7 @@ def _gap(t: Tables):
 
 @query("r20_highlights")
 def _highlights(t: Tables):
-    return Q.highlights(found(t), datetime(2024, 1, 1), datetime(2024, 1, 8))
+    return Q.highlights(stored(t), datetime(2024, 1, 1), datetime(2024, 1, 8))
 
 
 @query(
@@ -520,14 +526,14 @@ def _highlights(t: Tables):
     f"WITH {_FOUND} SELECT record_id, interval, value FROM found",
 )
 def _repair(t: Tables):
-    every = found(t)
+    every = stored(t)
     broken = every.withColumn("value", F.when(F.col("record_id").like("%.demand.%"), F.col("value") * 1000).otherwise(F.col("value")))
     return Q.repair(broken, "%.demand.%", every).select("record_id", "interval", "value")
 
 
 @query("r21_repair_report")
 def _repair_report(t: Tables):
-    every = found(t)
+    every = stored(t)
     pattern = "%.demand.power.%"
     broken = every.withColumn(
         "value_unit", F.when(F.col("record_id").like(pattern), "GW").otherwise(F.col("value_unit"))

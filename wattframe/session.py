@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # All market time is network-local and naive, so a session in a zone with
 # daylight saving would shift truncations. Everything runs in UTC.
@@ -33,3 +34,18 @@ def tune(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """`df` written once to the checkpoint folder, its lineage cut.
+
+    For results read several times. The folder is the cluster's shared one
+    (spark.checkpoint.dir); only a local session without one gets its own.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = context.getConf().get("spark.checkpoint.dir")
+        if shared is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="wattframe-"))
+    return df.checkpoint()
