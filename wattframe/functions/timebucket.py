@@ -143,6 +143,11 @@ def step_expr(interval: str) -> Column:
     return F.make_ym_interval(F.lit(0), F.lit(CALENDAR_MONTHS[interval]))
 
 
+def date_series(start: Column | str, end: Column | str, interval: str) -> Column:
+    """Every bucket start from `start` to `end` as an array."""
+    return F.sequence(col(start), col(end), step_expr(interval))
+
+
 def epoch_seconds(ts: Column | str) -> Column:
     """Seconds since 1970 of a naive timestamp, whatever the session zone."""
     ts = col(ts)
