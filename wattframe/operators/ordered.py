@@ -23,8 +23,10 @@ from wattframe.functions.timebucket import epoch_seconds, trunc
 _CHUNK = "_chunk"
 
 
-def with_chunk(df: DataFrame, ts: str, chunk: str) -> DataFrame:
-    return df.withColumn(_CHUNK, trunc(chunk, F.col(ts)))
+def with_chunk(df: DataFrame, ts: str, chunk: str | Column) -> DataFrame:
+    """Tags rows with their chunk: a calendar unit of `ts`, or any expression
+    that never falls along a series, such as the offset of a file split."""
+    return df.withColumn(_CHUNK, chunk if isinstance(chunk, Column) else trunc(chunk, F.col(ts)))
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
@@ -114,7 +116,7 @@ def _known(
     keys: Sequence[str],
     ts: str,
     cols: Sequence[str],
-    chunk: str | None,
+    chunk: str | Column | None,
     following: bool,
     tiebreak: Sequence[str] = (),
 ) -> DataFrame:
@@ -154,7 +156,7 @@ def last_known(
     keys: Sequence[str],
     ts: str,
     cols: Sequence[str],
-    chunk: str | None = "month",
+    chunk: str | Column | None = "month",
     tiebreak: Sequence[str] = (),
 ) -> DataFrame:
     """Each value or, where missing, the last one before it."""
