@@ -210,6 +210,11 @@ def demand_proxy(network: Column, demand: Column, generation: Column) -> Column:
     return F.when(network == "WEM", F.coalesce(demand, generation)).otherwise(demand)
 
 
+def _exact(total: Column) -> Column:
+    """A sum to the six digits readings are kept in, whatever the order of addition."""
+    return F.round(total, 6)
+
+
 def renewable_and_storage(telemetry: DataFrame, units: DataFrame, networks: Sequence[str] | None = None) -> DataFrame:
     """Renewable and hybrid-storage output per interval and region.
 
@@ -231,8 +236,8 @@ def renewable_and_storage(telemetry: DataFrame, units: DataFrame, networks: Sequ
         per_unit.join(dims, "unit_code")
         .groupBy("interval", "network_id", "network_region")
         .agg(
-            F.sum(F.when(green, F.col("power")).otherwise(0.0)).alias("renewable_generation"),
-            F.sum(F.when(hybrid, F.col("power")).otherwise(0.0)).alias("storage_generation"),
+            _exact(F.sum(F.when(green, F.col("power")).otherwise(0.0))).alias("renewable_generation"),
+            _exact(F.sum(F.when(hybrid, F.col("power")).otherwise(0.0))).alias("storage_generation"),
         )
     )
 
@@ -389,7 +394,7 @@ def market_summary(
     total = (
         telemetry.join(west, "unit_code", "left_semi")
         .groupBy(bucketed, F.lit("WEM").alias("network_id"))
-        .agg(F.sum("generated").alias("total_generation"))
+        .agg(_exact(F.sum("generated")).alias("total_generation"))
     )
     known = total.filter(F.col("total_generation").isNotNull())
     total = spread(known, ["network_id"], "interval", FIVE, line=["total_generation"], chunk=chunk)

@@ -176,8 +176,8 @@ _MARKET_FACT = f"""act AS (SELECT * FROM x_telemetry WHERE NOT is_forecast),
     rd AS (SELECT 'NEM' AS network_id, network_region, interval,
             coalesce(line, CASE WHEN interval <= hi + INTERVAL 25 MINUTES THEN held END) AS rooftop_solar FROM rt_grid),
     gr AS (SELECT interval, u.network_id, u.network_region,
-            sum(CASE WHEN fueltech_id IN ('bioenergy_biogas', 'bioenergy_biomass', 'hydro', 'solar_utility', 'wind',
-                'battery_discharging', 'pumps') THEN greatest(generated, 0) ELSE 0 END) AS renewable_generation
+            round(sum(CASE WHEN fueltech_id IN ('bioenergy_biogas', 'bioenergy_biomass', 'hydro', 'solar_utility', 'wind',
+                'battery_discharging', 'pumps') THEN greatest(generated, 0) ELSE 0 END), 6) AS renewable_generation
         FROM act JOIN x_units u USING (unit_code)
         WHERE u.network_id IN (SELECT network_id FROM regions) GROUP BY 1, 2, 3),
     rn AS (
@@ -186,7 +186,7 @@ _MARKET_FACT = f"""act AS (SELECT * FROM x_telemetry WHERE NOT is_forecast),
         FROM (SELECT network_id, network_region, interval
                 FROM (SELECT DISTINCT network_id, network_region FROM gr), steps)
             LEFT JOIN gr USING (network_id, network_region, interval)),
-    wt AS (SELECT interval, sum(generated) AS total FROM act JOIN x_units u USING (unit_code)
+    wt AS (SELECT interval, round(sum(generated), 6) AS total FROM act JOIN x_units u USING (unit_code)
         WHERE u.network_id = 'WEM' GROUP BY 1),
     wg AS (SELECT interval, 'WEM' AS network_id, {line("total", "")} AS total
         FROM (SELECT interval FROM steps WHERE EXISTS (SELECT 1 FROM wt)) LEFT JOIN wt USING (interval)),

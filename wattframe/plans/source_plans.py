@@ -345,3 +345,44 @@ def _notices(t: Tables):
     text = F.concat(head, body, F.lit("\nReason :\n\n"), F.col("text"), rule, F.lit("END OF REPORT"))
     rows = t.read("documents").select("doc_id", F.when(F.col("doc_id") % 3 != 0, text).otherwise(F.col("text")).alias("text"))
     return S.parse_notices(rows, "text", ["doc_id"]).drop("reason")
+
+
+def _pack(batches):
+    """Zip files out of the sorted lines of a task; odd ones are zipped twice."""
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    def packed(name, rows):
+        data = "\n".join(rows).encode()
+        for depth in range(1 + int(name) % 2):
+            buffer = io.BytesIO()
+            with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr(f"{name}.{'zip' if depth else 'csv'}", data)
+            data = buffer.getvalue()
+        return pd.DataFrame({"path": [f"{name}.zip"], "content": [data]})
+
+    current, rows = None, []
+    for pdf in batches:
+        for name, line in zip(pdf["file"], pdf["line"], strict=True):
+            if name != current and current is not None:
+                yield packed(current, rows)
+                rows = []
+            current = name
+            rows.append(line)
+    if current is not None:
+        yield packed(current, rows)
+
+
+@query(
+    "s2_read_zip",
+    """SELECT strftime(time_bucket(INTERVAL '5 minutes', ts), '%Y/%m/%d %H:%M:%S') AS settlementdate, 'U-' || user_id AS duid,
+            value AS scadavalue FROM events WHERE event_id % 20 < 10""",
+)
+def _zip(t: Tables):
+    lines = report_lines(t).repartition(8, "file").sortWithinPartitions("file", "row").select("file", "line")
+    zips = lines.mapInPandas(_pack, "path string, content binary")
+    records = R.parse_report(R.unzip_lines(zips))
+    rows = R.report_table(records, "dispatch_unit_scada", ["settlementdate", "duid", "scadavalue"], keep=[])
+    return rows.withColumn("scadavalue", F.col("scadavalue").cast("double"))

@@ -1 +1,209 @@
+"""The streaming jobs run over the event table until it is used up.
 
+Each streams the table's files, waits for the job, and reads what it wrote in
+the shared folder.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from wattframe.functions.timebucket import bucket
+from wattframe.operators import rollups as R
+from wattframe.plans.catalog import query
+from wattframe.plans.enrich_plans import _KEYED, _MARKET_FACT, _UNIT_FACT
+from wattframe.plans.metric_plans import MARKET_DAILY_SQL, rounded
+from wattframe.plans.tables import Tables
+from wattframe.session import shared_folder
+from wattframe.streaming import jobs as J
+
+ONCE = {"availableNow": True}
+
+
+class StreamTables(Tables):
+    """The same domain tables, their events read as a stream."""
+
+    def read(self, name: str) -> DataFrame:
+        if name != "events":
+            return super().read(name)
+        schema = super().read(name).schema
+        return J.stream_table(self.spark, self.dir, schema, glob="events.parquet")
+
+
+def _stream(t: Tables) -> StreamTables:
+    return StreamTables(t.spark, t.dir)
+
+
+def _folder(t: Tables) -> str:
+    return f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+
+
+def _done(job) -> None:
+    job.awaitTermination()
+
+
+_CLEAN = ["event_id", "interval", "network_id", "unit_code", "generated", "energy", "energy_storage", "is_forecast"]
+
+
+@query("st1_unit_facts", f"WITH {_UNIT_FACT} SELECT * FROM unit_fact")
+def _unit_facts(t: Tables):
+    at = _folder(t)
+    stream = _stream(t).telemetry().select(*_CLEAN)
+    _done(J.start_unit_facts(stream, t.market, t.units, f"{at}/store", f"{at}/fact", f"{at}/cp", trigger=ONCE))
+    return t.spark.read.parquet(f"{at}/fact").drop(J.DAY)
+
+
+@query(
+    "st1_market_facts",
+    f"""WITH {_MARKET_FACT} SELECT * EXCLUDE (version), 0 AS version, NULL::DOUBLE AS energy_imports, NULL::DOUBLE AS energy_exports,
+            NULL::DOUBLE AS emissions_imports, NULL::DOUBLE AS emissions_exports, NULL::DOUBLE AS market_value_imports,
+            NULL::DOUBLE AS market_value_exports FROM market_fact WHERE interval < TIMESTAMP '2024-01-31'""",
+)
+def _market_facts(t: Tables):
+    at = _folder(t)
+    stream = _stream(t).telemetry().select(*_CLEAN)
+    _done(J.start_market_facts(stream, t.market, t.units, f"{at}/store", f"{at}/fact", f"{at}/cp", trigger=ONCE))
+    return t.spark.read.parquet(f"{at}/fact").drop(J.DAY)
+
+
+@query("st2_late_rebuild", MARKET_DAILY_SQL)
+def _rebuild(t: Tables):
+    """Event-level shares of the market fact; days are summed from them."""
+    at = _folder(t)
+    fact = t.ms()
+    # A stream cannot aggregate into the fact, so the fact itself is streamed.
+    source = f"{at}/source"
+    fact.write.parquet(source)
+    stream = J.stream_table(t.spark, source, fact.schema, per_batch=1)
+    keys = ["interval", "network_id", "network_region"]
+    _done(J.start_rebuild(stream, R.market_daily, keys, f"{at}/store", f"{at}/daily", f"{at}/cp", trigger=ONCE))
+    return rounded(t.spark.read.parquet(f"{at}/daily").drop(J.DAY), 4)
+
+
+@query(
+    "st3_tumbling_rollup",
+    """SELECT time_bucket(INTERVAL '5 minutes', ts) AS interval, event_type, round(sum(value), 4) AS value, count(*) AS readings FROM events
+        WHERE time_bucket(INTERVAL '5 minutes', ts) + INTERVAL 5 MINUTES <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1, 2""",
+)
+def _tumbling(t: Tables):
+    at = _folder(t)
+    events = _stream(t).read("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    _done(J.start_rollup(events, ["event_type"], ["value"], "ts", f"{at}/out", f"{at}/cp", trigger=ONCE))
+    out = t.spark.read.parquet(f"{at}/out")
+    return out.select(F.col("interval").cast("timestamp_ntz").alias("interval"), "event_type", F.round("value", 4).alias("value"), "readings")
+
+
+@query(
+    "st4_dedupe_first",
+    "SELECT DISTINCT user_id, time_bucket(INTERVAL '30 minutes', ts) AS interval FROM events",
+)
+def _dedupe(t: Tables):
+    at = _folder(t)
+    events = _stream(t).read("events").select("user_id", bucket("ts", "30m").cast("timestamp").alias("interval"), "value")
+    _done(J.start_dedupe(events, ["user_id", "interval"], "interval", f"{at}/out", f"{at}/cp", trigger=ONCE))
+    return t.spark.read.parquet(f"{at}/out").select("user_id", F.col("interval").cast("timestamp_ntz").alias("interval"))
+
+
+@query(
+    "st4_upsert_last",
+    """SELECT user_id, interval, value, event_id FROM (SELECT user_id, time_bucket(INTERVAL '30 minutes', ts) AS interval, value, event_id,
+            row_number() OVER (PARTITION BY user_id, time_bucket(INTERVAL '30 minutes', ts) ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1""",
+)
+def _upsert(t: Tables):
+    at = _folder(t)
+    events = _stream(t).read("events").select("user_id", bucket("ts", "30m").alias("interval"), "value", "event_id")
+    _done(J.start_upsert(events, ["user_id", "interval"], "event_id", "interval", f"{at}/out", f"{at}/cp", trigger=ONCE))
+    return t.spark.read.parquet(f"{at}/out").drop(J.DAY)
+
+
+@query("st5_records")
+def _records(t: Tables):
+    at = _folder(t)
+    series = t.ms().select(
+        F.concat(F.lit("au.nem."), F.lower("network_region"), F.lit(".demand.interval.high")).alias("record_id"),
+        "interval",
+        F.col("demand").alias("value"),
+        F.lit("high").alias("aggregate"),
+        F.lit("interval").alias("period"),
+        F.lit(0).alias("digits"),
+    )
+    series.write.parquet(f"{at}/source")
+    stream = J.stream_table(t.spark, f"{at}/source", series.schema)
+    _done(J.start_records(stream, f"{at}/out", f"{at}/cp", trigger=ONCE))
+    return t.spark.read.parquet(f"{at}/out")
+
+
+@query(
+    "st6_trapezoid_energy",
+    f"""WITH {_KEYED}, paired AS (SELECT *, lag(generated) OVER (PARTITION BY network_id, unit_code ORDER BY interval) AS prev
+            FROM keyed WHERE network_id NOT IN ('WEM', 'WEMDE', 'AEMO_ROOFTOP_BACKFILL'))
+        SELECT interval, network_id, unit_code, generated,
+            (generated + prev) / 2 / (60 / CASE network_id WHEN 'AEMO_ROOFTOP' THEN 30.0::DOUBLE ELSE 5.0::DOUBLE END) AS energy,
+            2 AS energy_quality_flag FROM paired WHERE prev IS NOT NULL AND flag < 2""",
+)
+def _energy(t: Tables):
+    from wattframe.plans.enrich_plans import keyed_telemetry
+
+    at = _folder(t)
+    rows = keyed_telemetry(t)
+    rows.write.parquet(f"{at}/source")
+    stream = J.stream_table(t.spark, f"{at}/source", rows.schema)
+    _done(J.start_energy(stream, f"{at}/store", f"{at}/energy", f"{at}/cp", trigger=ONCE))
+    return t.spark.read.parquet(f"{at}/energy").drop(J.DAY)
+
+
+@query(
+    "st7_feed_silence",
+    """WITH s AS (SELECT network_id, max(interval) AS last_seen FROM x_telemetry WHERE network_id <> 'WEM' OR interval < TIMESTAMP '2024-01-20' GROUP BY 1),
+        c AS (SELECT max(last_seen) AS now FROM s)
+        SELECT network_id, last_seen, now AS noticed_at FROM s, c WHERE last_seen + INTERVAL 30 MINUTES < now""",
+)
+def _silence(t: Tables):
+    at = _folder(t)
+    heard = (F.col("network_id") != "WEM") | (F.col("interval") < F.lit("2024-01-20").cast("timestamp_ntz"))
+    stream = _stream(t).telemetry().filter(heard)
+    _done(J.start_silence_alert(stream, f"{at}/out", f"{at}/cp", trigger=ONCE))
+    return J.read_alerts(t.spark, f"{at}/out").drop("batch")
+
+
+@query(
+    "s22_stream_reports",
+    """SELECT strftime(time_bucket(INTERVAL '5 minutes', ts), '%Y/%m/%d %H:%M:%S') AS settlementdate, 'U-' || user_id AS duid,
+            value AS scadavalue FROM events WHERE event_id % 20 < 10""",
+)
+def _reports(t: Tables):
+    """Report files written as text, streamed, parsed batch by batch."""
+    from wattframe.plans.source_plans import report_lines
+    from wattframe.sources.reports import parse_report, report_table
+
+    at = _folder(t)
+    lines = report_lines(t)
+    ordered = lines.repartition(8, "file").sortWithinPartitions("file", "row")
+    ordered.select("line", "file").write.partitionBy("file").text(f"{at}/reports")
+    stream = J.stream_reports(t.spark, f"{at}/reports/*")
+
+    def work(batch: DataFrame, number: int) -> None:
+        rows = report_table(parse_report(J.number_lines(batch), ["dispatch"]), "dispatch_unit_scada", ["settlementdate", "duid", "scadavalue"], keep=[])
+        rows.write.mode("overwrite").parquet(f"{at}/scada/batch={number}")
+
+    _done(stream.writeStream.foreachBatch(work).option("checkpointLocation", f"{at}/cp").trigger(**ONCE).start())
+    out = t.spark.read.parquet(f"{at}/scada").drop("batch")
+    return out.withColumn("scadavalue", F.col("scadavalue").cast("double"))
+
+
+@query(
+    "s21_write_series",
+    """SELECT network_region, fueltech_id, count(*) AS points, round(sum(energy), 4) AS total FROM x_daily GROUP BY 1, 2""",
+)
+def _write(t: Tables):
+    from wattframe.sources.sinks import write_series
+
+    at = _folder(t)
+    write_series(t.daily(), f"{at}/series", ["network_region", "fueltech_id"])
+    back = t.spark.read.schema("energy double, network_region string, fueltech_id string").json(f"{at}/series")
+    return back.groupBy("network_region", "fueltech_id").agg(
+        F.count(F.lit(1)).alias("points"), F.round(F.sum("energy"), 4).alias("total")
+    )

@@ -36,16 +36,29 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder (spark.checkpoint.dir).
+
+    Only a local session without one gets a folder of its own.
+    """
+    context = spark.sparkContext
+    shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        shared = _LOCAL.get("folder") or _LOCAL.setdefault("folder", tempfile.mkdtemp(prefix="wattframe-"))
+    return shared
+
+
+_LOCAL: dict[str, str] = {}
+
+
 def stage(df: DataFrame) -> DataFrame:
-    """`df` written once to the checkpoint folder, its lineage cut.
+    """`df` written once to the shared folder, its lineage cut.
 
-    For results read several times. The folder is the cluster's shared one
-    (spark.checkpoint.dir); only a local session without one gets its own.
+    For results read several times.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
-        if shared is None and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="wattframe-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

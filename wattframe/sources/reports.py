@@ -45,8 +45,12 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_zip_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of the reports inside zip files, also of zips within zips."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(_unzip, LINE_SCHEMA)
+    return unzip_lines(spark.read.format("binaryFile").load(path))
+
+
+def unzip_lines(files: DataFrame) -> DataFrame:
+    """Lines of the reports in a frame of zip files (path, content)."""
+    return files.select("path", "content").mapInPandas(_unzip, LINE_SCHEMA)
 
 
 def _members(name: str, content: bytes) -> Iterator[tuple[str, io.TextIOBase]]:
