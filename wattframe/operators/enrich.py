@@ -27,7 +27,7 @@ from wattframe.operators.gapfill import (
     spread,
 )
 from wattframe.operators.ingest import relabel_region
-from wattframe.operators.ordered import lag_row
+from wattframe.operators.ordered import lag_row, lag_step
 
 FIVE = timedelta(minutes=5)
 HOUR = timedelta(hours=1)
@@ -378,7 +378,7 @@ def market_summary(
         telemetry.join(rooftop_dims, "unit_code")
         .join(regions.select("network_region").distinct(), "network_region", "left_semi")
         .groupBy(bucketed, "network_region")
-        .agg(F.avg("generated").alias("rooftop_solar"))
+        .agg(F.round(F.avg("generated"), 9).alias("rooftop_solar"))
     )
     known = rooftop.filter(F.col("rooftop_solar").isNotNull())
     rooftop = spread(known, ["network_region"], "interval", FIVE, end, line=["rooftop_solar"], tail=TAIL, chunk=chunk)
@@ -413,7 +413,8 @@ def market_summary(
         "curtailment_wind_total",
     )
     lagged = [c for c in combined.columns if c not in (*on, "price")]
-    paired = lag_row(combined, keys, "interval", lagged, chunk=chunk)
+    # Every series here is gap-free: the predecessor is the slot before.
+    paired = lag_step(combined, keys, "interval", lagged, FIVE, chunk=chunk or "month")
     paired = paired.filter(F.col("interval").between(ts_lit(start), ts_lit(end)))
     zero = [*_ZERO_FILLED, *[f"prev_{c}" for c in _ZERO_FILLED]]
     filled = paired.withColumn(

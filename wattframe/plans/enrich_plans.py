@@ -164,7 +164,7 @@ _MARKET_FACT = f"""act AS (SELECT * FROM x_telemetry WHERE NOT is_forecast),
             last_value(pd IGNORE NULLS) OVER w AS pd, last_value(pt IGNORE NULLS) OVER w AS pt
         FROM (SELECT * FROM regions, steps) LEFT JOIN base USING (network_id, network_region, interval)
         WINDOW w AS (PARTITION BY network_id, network_region ORDER BY interval)),
-    rt AS (SELECT interval, u.network_region, avg(generated) AS rooftop FROM act JOIN x_units u USING (unit_code)
+    rt AS (SELECT interval, u.network_region, round(avg(generated), 9) AS rooftop FROM act JOIN x_units u USING (unit_code)
         WHERE fueltech_id = 'solar_rooftop' AND u.network_region IN (SELECT network_region FROM regions) GROUP BY 1, 2),
     rt_grid AS (
         SELECT network_region, interval, rooftop, max(CASE WHEN rooftop IS NOT NULL THEN interval END)

@@ -84,10 +84,20 @@ def _frame(name: str, first: int, lines: list[str]) -> pd.DataFrame:
     return pd.DataFrame({"file": name, "block": first // _BLOCK_ROWS, "row": rows, "line": lines})
 
 
+# A cell with the comma before it: quoted, or up to the next comma.
+_CELL = r'(?:^|,)(?:"(?:[^"]|"")*"|[^,]*)'
+
+
 def split_csv(line: Column) -> Column:
     """Cells of a comma-separated line; commas inside quotes do not count."""
-    cells = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
-    return F.transform(cells, lambda c: F.replace(F.regexp_replace(c, r'^\s*"|"\s*$', ""), F.lit('""'), F.lit('"')))
+
+    def plain(cell: Column) -> Column:
+        text = F.regexp_replace(cell, "^,", "")
+        inner = F.replace(F.substr(text, F.lit(2), F.length(text) - 2), F.lit('""'), F.lit('"'))
+        return F.when(text.startswith('"'), inner).otherwise(text)
+
+    quoted = F.transform(F.regexp_extract_all(line, F.lit(_CELL), F.lit(0)), plain)
+    return F.when(line.contains('"'), quoted).otherwise(F.split(line, ",", -1))
 
 
 def parse_report(lines: DataFrame, namespaces: Sequence[str] | None = None) -> DataFrame:
@@ -97,29 +107,35 @@ def parse_report(lines: DataFrame, namespaces: Sequence[str] | None = None) -> D
     without pulling a file into one task. Records before any table, with the
     wrong number of values, or of other namespaces are skipped.
     """
-    cells = F.col("_cells")
-    kind = F.upper(F.trim(F.get(cells, F.lit(0))))
     place = ["file", "block", "row"]
-    rows = lines.select(*place, split_csv(F.col("line")).alias("_cells")).withColumn("_kind", kind)
-    rows = rows.filter(F.col("_kind").isin("I", "D"))
-    rest = F.slice(cells, 5, F.greatest(F.size(cells), F.lit(1)))
+    line = F.col("line")
+    # The kind is read off the first cell; only table headers are split here,
+    # records not before their table is known.
+    kind = F.upper(F.trim(F.replace(F.substring_index(line, ",", 1), F.lit('"'), F.lit(""))))
+    rows = lines.select(*place, "line", kind.alias("_kind")).filter(F.col("_kind").isin("I", "D"))
+    cells = split_csv(line)
     header = F.struct(
         F.lower(F.trim(F.get(cells, F.lit(1)))).alias("namespace"),
         F.lower(F.trim(F.get(cells, F.lit(2)))).alias("name"),
-        F.transform(rest, lambda c: F.lower(c)).alias("fields"),
+        F.transform(_from_fifth(cells), lambda c: F.lower(c)).alias("fields"),
     )
-    opened = rows.withColumn("_header", F.when(F.col("_kind") == "I", header)).withColumn("_values", rest)
-    known = last_known(opened.drop("_cells"), ["file"], "row", ["_header"], chunk=F.col("block"))
+    opened = rows.withColumn("_header", F.when(F.col("_kind") == "I", header))
+    known = last_known(opened, ["file"], "row", ["_header"], chunk=F.col("block"))
     h = F.col("_header")
-    records = known.filter((F.col("_kind") == "D") & h.isNotNull() & (F.size("_values") == F.size(h["fields"])))
+    records = known.filter((F.col("_kind") == "D") & h.isNotNull())
     if namespaces:
         records = records.filter(h["namespace"].isin(*[n.lower() for n in namespaces]))
-    return records.select(
+    valued = records.select(
         *place,
         F.concat_ws("_", h["namespace"], h["name"]).alias("table"),
         h["fields"].alias("fields"),
-        F.col("_values").alias("values"),
+        _from_fifth(split_csv(line)).alias("values"),
     )
+    return valued.filter(F.size("values") == F.size("fields"))
+
+
+def _from_fifth(cells: Column) -> Column:
+    return F.slice(cells, 5, F.greatest(F.size(cells), F.lit(1)))
 
 
 def report_table(records: DataFrame, name: str, fields: Sequence[str], keep: Sequence[str] = ("file", "block", "row")) -> DataFrame:
