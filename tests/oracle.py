@@ -55,6 +55,8 @@ def compare(df, con, sql: str) -> str | None:
     if len(got) != len(want):
         return f"rows {len(got)} != {len(want)}"
     bad = [(g, w) for g, w in zip(got, want, strict=True) if g != w and not close(g, w)]
+    if not got:
+        return "both empty"
     if bad:
         return f"{len(bad)} of {len(got)} rows differ in {sorted(names)}, first {bad[0][0]} != {bad[0][1]}"
     return None
