@@ -86,7 +86,7 @@ def test_debounce_reanchors_like_a_fold(spark):
         if last is None or m - last >= 50:
             want.append(at(m))
             last = m
-    assert [r[1] for r in rows(R.debounce(df, chunk="day"), "interval")] == want
+    assert [r[1] for r in rows(R.debounce(df), "interval")] == want
 
 
 def test_debounce_is_seeded_by_state(spark):

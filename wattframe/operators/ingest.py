@@ -310,16 +310,17 @@ def derive_power_energy(df: DataFrame, minutes: str = "interval_minutes") -> Dat
     return df.withColumn("generated", generated).withColumn("energy", energy)
 
 
-def unpivot_intervals(df: DataFrame, order: str, file: Sequence[str] = (), width: int = 48) -> DataFrame:
+def unpivot_intervals(df: DataFrame, order: str, file: Sequence[str] = (), width: int = 48, chunk: Column | None = None) -> DataFrame:
     """Wide rows of the newest `width` five-minute values as long rows.
 
     The publication time stands only on some rows and is carried down the
-    file. `order` is a time-like or numeric row position within it.
+    file. `order` is the row position in it; `chunk` cuts long files, by every
+    thousand rows unless told otherwise.
     """
     names = [f"I{i:02d}" for i in range(1, width + 1)]
     keys = list(file)
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    stamped = df.withColumn("as_at", F.last(parse_ts("as_at"), ignorenulls=True).over(w))
+    cut = F.floor(F.col(order) / 1000) if chunk is None else chunk
+    stamped = last_known(df.withColumn("as_at", parse_ts("as_at")), keys, order, ["as_at"], cut)
     long = stamped.unpivot([*keys, "facility_code", "as_at"], names, "_name", "_value")
     number = F.substring("_name", 2, 2).cast("int")
     value = F.coalesce(F.trim("_value").try_cast("double"), F.lit(0.0))
@@ -330,8 +331,3 @@ def unpivot_intervals(df: DataFrame, order: str, file: Sequence[str] = (), width
         value.alias("power"),
         (value / 12).alias("energy"),
     )
-
-
-def carry_down(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str], chunk: str | None = None) -> DataFrame:
-    """Values standing on some rows repeated on the rows below."""
-    return last_known(df, keys, order, cols, chunk)

@@ -6,12 +6,13 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattframe.functions.lookups import NETWORKS, REGION_NAMES, lookup
 from wattframe.functions.timebucket import bucket, epoch_seconds, period_bounds, season_name, ts_lit
-from wattframe.operators.ordered import lag_row, last_known, running_extremes
+from wattframe.operators.ordered import lag_row, running_extremes
 from wattframe.operators.versioning import latest_per_id, upsert
 
 PERIOD_BUCKET = {
@@ -403,42 +404,67 @@ def is_new(aggregate: Column, metric: Column, interval: Column, value: Column, p
     return F.coalesce((interval > previous_interval) & (value != 0) & beats, F.lit(False))
 
 
-def debounce(records: DataFrame, min_intervals: int = DEBOUNCE_INTERVALS, interval_minutes: int = 5, state: DataFrame | None = None, chunk: str | None = "year") -> DataFrame:
+def debounce(records: DataFrame, min_intervals: int = DEBOUNCE_INTERVALS, interval_minutes: int = 5, state: DataFrame | None = None) -> DataFrame:
     """Drops interval records that follow the last kept one too closely.
 
-    A record at least the window after its immediate predecessor is always
-    kept, so the series falls apart into short independent climbs; only
-    within a climb is there a fold. `state` (record_id, interval) seeds it
-    with the records kept earlier.
+    The rule is a fold along each id, cut into days so that no task holds a
+    whole series. A day is reached with the gate (last kept + window) at most
+    one window into it, so only the few points up to there can be its first
+    kept one; for each of them the gate the day ends with is worked out. The
+    days of an id are then chained, one short row per day, and every day is
+    folded once more from the gate it really has. `state` (record_id,
+    interval) brings records kept earlier; they close the gate first.
     """
     window = min_intervals * interval_minutes * 60
     if window <= 0:
         return records
     fast = records.filter(F.col("period") == "interval")
     slow = records.filter(F.col("period") != "interval")
-    marks = fast.select("record_id", "interval", F.lit(False).alias("_known"))
-    if state is not None:
-        marks = marks.unionByName(state.select("record_id", "interval", F.lit(True).alias("_known")))
-    gaps = lag_row(marks, ["record_id"], "interval", ["interval"], "_before_", chunk)
-    gap = epoch_seconds("interval") - epoch_seconds("_before_interval")
-    starts = gaps.withColumn("_start", F.when(F.col("_before_interval").isNull() | (gap >= window), F.col("interval")))
-    runs = last_known(starts, ["record_id"], "interval", ["_start"], chunk)
-    seconds = F.struct(epoch_seconds("interval").alias("s"), F.col("interval").alias("t"), F.col("_known").alias("k"))
-    climbs = runs.groupBy("record_id", "_start").agg(F.array_sort(F.collect_list(seconds)).alias("_points"))
-    empty = F.struct(
-        F.lit(None).cast("long").alias("last"), F.array().cast("array<timestamp_ntz>").alias("kept")
-    )
+    day_start = epoch_seconds(F.date_trunc("day", "interval").cast("timestamp_ntz"))
+    point = F.struct(epoch_seconds("interval").alias("s"), F.col("interval").alias("t"))
+    days = fast.groupBy("record_id", day_start.alias("day")).agg(F.array_sort(F.collect_set(point)).alias("points"))
+
+    seconds = F.transform("points", lambda p: p["s"])
+    early = F.filter(seconds, lambda s: s < F.col("day") + window)
+    free = F.slice(F.filter(seconds, lambda s: s >= F.col("day") + window), 1, 1)
+
+    def gate_after(start: Column) -> Column:
+        return F.aggregate(seconds, start, lambda gate, s: F.when(s >= gate, s + window).otherwise(gate))
+
+    starts = F.concat(early, free)
+    summary = days.select("record_id", "day", starts.alias("starts"), F.transform(starts, gate_after).alias("gates"))
+    none = F.lit(None).cast("long")
+    if state is None:
+        seeded = summary.withColumn("seed", none)
+    else:
+        seed = state.groupBy("record_id").agg((F.max(epoch_seconds("interval")) + window).alias("seed"))
+        seeded = summary.join(seed, "record_id", "left")
+    gates = seeded.groupBy("record_id").applyInPandas(_chain_days, "record_id string, day long, gate long")
+
+    entered = days.join(gates, ["record_id", "day"])
+    empty = F.struct(F.col("gate").alias("gate"), F.array().cast("array<timestamp_ntz>").alias("kept"))
 
     def step(acc: Column, p: Column) -> Column:
-        keep = acc["last"].isNull() | (p["s"] - acc["last"] >= window) | p["k"]
-        return F.when(
-            keep, F.struct(p["s"].alias("last"), F.concat(acc["kept"], F.array(p["t"])).alias("kept"))
-        ).otherwise(acc)
+        passes = F.struct((p["s"] + window).alias("gate"), F.concat(acc["kept"], F.array(p["t"])).alias("kept"))
+        return F.when(p["s"] >= acc["gate"], passes).otherwise(acc)
 
-    kept = climbs.select("record_id", F.explode(F.aggregate("_points", empty, step)["kept"]).alias("interval"))
+    kept = entered.select("record_id", F.explode(F.aggregate("points", empty, step)["kept"]).alias("interval"))
     return slow.unionByName(fast.join(kept, ["record_id", "interval"], "left_semi"))
 
 
+def _chain_days(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The gate each day of one id is entered with; a few numbers per day."""
+    pdf = pdf.sort_values("day")
+    seed = pdf["seed"].iloc[0]
+    gate = -(2**62) if pd.isna(seed) else int(seed)
+    entered = []
+    for starts, gates in zip(pdf["starts"], pdf["gates"], strict=True):
+        entered.append(gate)
+        # Past every point the gate stays as it is.
+        gate = next((int(g) for s, g in zip(starts, gates, strict=True) if s >= gate), gate)
+    return pd.DataFrame({"record_id": pdf["record_id"], "day": pdf["day"], "gate": entered})
+
+
 def current_state(records: DataFrame) -> DataFrame:
     """The standing record of every id."""
     return latest_per_id(records, "record_id", "interval")

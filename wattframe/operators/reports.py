@@ -660,21 +660,21 @@ def to_series(df: DataFrame, metrics: Sequence[str], keys: Sequence[str], interv
     if fill:
         long = fill_interior(long, ["metric", *keys], "interval", interval)
     point = F.struct(F.col("interval").alias("ts"), "value")
-    series = long.groupBy("metric", *keys).agg(
-        F.array_sort(F.collect_list(point)).alias("data"), F.min("interval").alias("_lo"), F.max("interval").alias("_hi")
+    series = long.groupBy("metric", *keys).agg(F.array_sort(F.collect_list(point)).alias("data"))
+    # The ends shown are those of the whole metric: one row per metric.
+    ends = df.unpivot([*keys, "interval"], list(metrics), "metric", "value").groupBy("metric").agg(
+        F.min("interval").alias("date_start"), F.max("interval").alias("date_end")
     )
-    # The ends shown are those of the whole metric.
-    w = Window.partitionBy("metric")
     name = F.concat_ws("_", "metric", series_key(keys))
     hours, minutes = divmod(NETWORKS[network].offset_minutes, 60)
-    return series.select(
+    return series.join(ends, "metric").select(
         F.lit(network).alias("network"),
         "metric",
         name.alias("name"),
         *keys,
         F.lit(interval).alias("interval"),
-        F.min("_lo").over(w).alias("date_start"),
-        F.max("_hi").over(w).alias("date_end"),
+        "date_start",
+        "date_end",
         F.lit(f"+{hours:02d}:{minutes:02d}").alias("offset"),
         "data",
     )

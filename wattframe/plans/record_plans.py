@@ -326,7 +326,7 @@ def _new(t: Tables):
 
 @query("r11_debounce")
 def _debounced(t: Tables):
-    return Q.debounce(stored(t), chunk="day").select("record_id", "interval", "period", "aggregate", "value")
+    return Q.debounce(stored(t)).select("record_id", "interval", "period", "aggregate", "value")
 
 
 @query(
@@ -351,7 +351,7 @@ def _spaced(t: Tables):
         )
         .distinct()
     )
-    return Q.debounce(rows, chunk="day").select("record_id", "interval")
+    return Q.debounce(rows).select("record_id", "interval")
 
 
 @query("r12_check_period")
