@@ -76,7 +76,22 @@ def test_lag_step_needs_no_join(spark):
 
 def test_hot_series_is_cut_up(spark, series):
     """The wide rows are shuffled by key and chunk, never by key alone."""
-    plan = O.last_known(series, ["k"], "t", ["v"], "day")._jdf.queryExecution().optimizedPlan().toString()
+    out = O.last_known(series, ["k"], "t", ["v"], "day")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window [" in line]
     assert len(windows) == 2
     assert any("_chunk" in w.split("],")[1] for w in windows)
+
+
+def test_join_and_window_share_one_shuffle(spark, series):
+    """With a join that shuffles, the wide side is exchanged exactly once."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = O.last_known(series, ["k"], "t", ["v"], "day")
+        plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # Wide rows, chunk summary, and the summary rows along each series and back.
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert "SortMergeJoin" in plan and len(exchanges) == 4

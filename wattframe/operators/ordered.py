@@ -21,13 +21,22 @@ from pyspark.sql import functions as F
 
 from wattframe.functions.timebucket import epoch_seconds, trunc
 
-_CHUNK = "_chunk"
+_SERIES, _CHUNK = "_series", "_chunk"
 
 
-def with_chunk(df: DataFrame, ts: str, chunk: str | Column) -> DataFrame:
-    """Tags rows with their chunk: a calendar unit of `ts`, or any expression
-    that never falls along a series, such as the offset of a file split."""
-    return df.withColumn(_CHUNK, chunk if isinstance(chunk, Column) else trunc(chunk, F.col(ts)))
+def with_chunk(df: DataFrame, keys: Sequence[str], ts: str, chunk: str | Column) -> DataFrame:
+    """Tags rows with their series and chunk.
+
+    The series is one never-NULL string, so the join that brings the carried
+    state back is a plain equality on the same two columns the window is
+    partitioned by, and both share one shuffle. The chunk is a calendar unit
+    of `ts`, or any expression that never falls along a series, such as the
+    offset of a file split.
+    """
+    parts = [F.coalesce(F.col(k).cast("string"), F.lit("\u0002")) for k in keys]
+    series = F.concat_ws("\u0001", *parts) if parts else F.lit("")
+    cut = chunk if isinstance(chunk, Column) else trunc(chunk, F.col(ts))
+    return df.withColumn(_SERIES, series).withColumn(_CHUNK, cut)
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
@@ -40,14 +49,14 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     return left.join(renamed, condition, how).drop(*[f"_r_{c}" for c in on])
 
 
-def _carried(df: DataFrame, keys: Sequence[str], per_chunk: dict[str, Column], scan: dict[str, tuple[str, str]]):
-    """Chunk summaries scanned along each key.
+def _carried(df: DataFrame, per_chunk: dict[str, Column], scan: dict[str, tuple[str, str]]) -> DataFrame:
+    """`df` with what the chunks of its series before (or after) a row's own hand on.
 
     `scan` maps an output name to (summary column, "before" | "after" |
     "max_before" | "min_before" | "prev" | "next").
     """
-    summary = df.groupBy(*keys, _CHUNK).agg(*[e.alias(n) for n, e in per_chunk.items()])
-    order = Window.partitionBy(*keys).orderBy(_CHUNK)
+    summary = df.groupBy(_SERIES, _CHUNK).agg(*[e.alias(n) for n, e in per_chunk.items()])
+    order = Window.partitionBy(_SERIES).orderBy(_CHUNK)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     after = order.rowsBetween(1, Window.unboundedFollowing)
     outs = []
@@ -62,7 +71,7 @@ def _carried(df: DataFrame, keys: Sequence[str], per_chunk: dict[str, Column], s
             "next": lambda: F.lead(c).over(order),
         }[kind]()
         outs.append(expr.alias(name))
-    return summary.select(*keys, _CHUNK, *outs)
+    return df.join(summary.select(_SERIES, _CHUNK, *outs), [_SERIES, _CHUNK], "left")
 
 
 def _at(ts: str, col: str) -> Column:
@@ -84,13 +93,10 @@ def lag_row(
         w = Window.partitionBy(*keys).orderBy(ts)
         out = df.withColumn("_prev", F.lag(row).over(w))
     else:
-        parts = with_chunk(df, ts, chunk)
-        carry = _carried(parts, keys, {"_end": F.max_by(row, F.col(ts))}, {"_before": ("_end", "prev")})
-        w = Window.partitionBy(*keys, _CHUNK).orderBy(ts)
-        out = (
-            null_safe_join(parts, carry, [*keys, _CHUNK])
-            .withColumn("_prev", F.coalesce(F.lag(row).over(w), F.col("_before")))
-            .drop("_before", _CHUNK)
+        parts = with_chunk(df, keys, ts, chunk)
+        w = Window.partitionBy(_SERIES, _CHUNK).orderBy(ts)
+        out = _carried(parts, {"_end": F.max_by(row, F.col(ts))}, {"_before": ("_end", "prev")}).withColumn(
+            "_prev", F.coalesce(F.lag(row).over(w), F.col("_before"))
         )
     return out.select(*df.columns, *[F.col(f"_prev.{c}").alias(f"{prefix}{c}") for c in cols])
 
@@ -132,14 +138,10 @@ def next_row(
     row = F.struct(F.col(ts).alias("ts"), *[F.col(c) for c in cols])
     if chunk is None:
         return df.withColumn(name, F.lead(row).over(Window.partitionBy(*keys).orderBy(ts)))
-    parts = with_chunk(df, ts, chunk)
-    carry = _carried(parts, keys, {"_first": F.min_by(row, F.col(ts))}, {"_after": ("_first", "next")})
-    w = Window.partitionBy(*keys, _CHUNK).orderBy(ts)
-    return (
-        null_safe_join(parts, carry, [*keys, _CHUNK])
-        .withColumn(name, F.coalesce(F.lead(row).over(w), F.col("_after")))
-        .drop("_after", _CHUNK)
-    )
+    parts = with_chunk(df, keys, ts, chunk)
+    w = Window.partitionBy(_SERIES, _CHUNK).orderBy(ts)
+    carried = _carried(parts, {"_first": F.min_by(row, F.col(ts))}, {"_after": ("_first", "next")})
+    return carried.withColumn(name, F.coalesce(F.lead(row).over(w), F.col("_after"))).select(*df.columns, name)
 
 
 def _known(
@@ -163,7 +165,7 @@ def _known(
                 ahead = w.rowsBetween(0, Window.unboundedFollowing)
                 out = out.withColumn(f"_next_{c}", F.first(_at(ts, c), ignorenulls=True).over(ahead))
         return out
-    parts = with_chunk(df, ts, chunk)
+    parts = with_chunk(df, keys, ts, chunk)
     per_chunk, scan = {}, {}
     for c in cols:
         per_chunk[f"_hi_{c}"] = F.max_by(_at(ts, c), F.when(F.col(c).isNotNull(), rank))
@@ -171,15 +173,15 @@ def _known(
         if following:
             per_chunk[f"_lo_{c}"] = F.min_by(_at(ts, c), F.when(F.col(c).isNotNull(), rank))
             scan[f"_cn_{c}"] = (f"_lo_{c}", "after")
-    out = null_safe_join(parts, _carried(parts, keys, per_chunk, scan), [*keys, _CHUNK])
-    w = Window.partitionBy(*keys, _CHUNK).orderBy(ts, *tiebreak)
+    out = _carried(parts, per_chunk, scan)
+    w = Window.partitionBy(_SERIES, _CHUNK).orderBy(ts, *tiebreak)
     for c in cols:
         back = F.last(_at(ts, c), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
         out = out.withColumn(f"_prev_{c}", F.coalesce(back, F.col(f"_cp_{c}")))
         if following:
             ahead = F.first(_at(ts, c), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
             out = out.withColumn(f"_next_{c}", F.coalesce(ahead, F.col(f"_cn_{c}")))
-    return out.drop(_CHUNK, *[f"_cp_{c}" for c in cols], *[f"_cn_{c}" for c in cols])
+    return out.drop(_SERIES, _CHUNK, *[f"_cp_{c}" for c in cols], *[f"_cn_{c}" for c in cols])
 
 
 def last_known(
@@ -228,15 +230,16 @@ def running_extremes(
     name and `prev_<name>`. All of them share one scan. A struct value is
     compared field by field, so it can carry the time of the extreme along.
     """
-    marked = df.withColumns({f"_v_{n}": v for n, (v, _) in values.items()})
     agg, pick = {"max": F.max, "min": F.min}, {"max": F.greatest, "min": F.least}
-    part = list(keys)
+    part, marked = list(keys), df
+    if chunk is not None:
+        part = [_SERIES, _CHUNK]
+        marked = with_chunk(df, keys, ts, chunk)
+    marked = marked.withColumns({f"_v_{n}": v for n, (v, _) in values.items()})
     if chunk is not None:
-        marked = with_chunk(marked, ts, chunk)
         per_chunk = {f"_x_{n}": agg[k](f"_v_{n}") for n, (_, k) in values.items()}
         scan = {f"_b_{n}": (f"_x_{n}", f"{k}_before") for n, (_, k) in values.items()}
-        marked = null_safe_join(marked, _carried(marked, keys, per_chunk, scan), [*keys, _CHUNK])
-        part.append(_CHUNK)
+        marked = _carried(marked, per_chunk, scan)
     w = Window.partitionBy(*part).orderBy(ts)
     out = []
     for n, (_, k) in values.items():

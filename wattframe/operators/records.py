@@ -167,7 +167,7 @@ def detect_records(
     # replaces is known without another scan.
     at = epoch_seconds(ts)
     marked = running_extremes(
-        df.withColumn("_high", high).withColumn("_low", low),
+        df,
         keys,
         ts,
         {
@@ -183,6 +183,7 @@ def detect_records(
             hit, F.struct(F.lit(name).alias("aggregate"), F.col(v).alias("value"), F.col(prev).alias("previous"))
         )
 
+    marked = marked.withColumn("_high", high).withColumn("_low", low)
     sides = F.array_compact(
         F.array(
             side("high", "_high", "prev__max", F.col("_high") > F.col("prev__max.v")).cast(_HIT),

@@ -138,7 +138,7 @@ def _rooftop(t: Tables):
     f"""WITH summed AS (
             SELECT interval, round(sum(generated), 6) AS generated, round(sum(energy), 6) AS energy
             FROM x_telemetry t JOIN x_units u USING (unit_code)
-            WHERE u.network_id = 'AEMO_ROOFTOP' AND is_forecast AND u.network_region = 'SA1'
+            WHERE u.network_id = 'AEMO_ROOFTOP' AND is_forecast
                 AND interval BETWEEN TIMESTAMP '2024-01-01 00:30:00' AND TIMESTAMP '2024-01-30 23:30:00' GROUP BY 1),
         g AS (SELECT interval, generated, energy FROM (SELECT r.interval AS interval FROM {_FIVE_SPAN}
                 WHERE EXISTS (SELECT 1 FROM summed) UNION SELECT interval FROM summed) LEFT JOIN summed USING (interval)),
@@ -147,7 +147,7 @@ def _rooftop(t: Tables):
         FROM lined WHERE interval >= TIMESTAMP '2024-01-01 00:50:00'""",
 )
 def _forecast(t: Tables):
-    return P.rooftop_forecast(t.telemetry(), t.units(), _A21_START, _A21_END, region="SA1", chunk="day")
+    return P.rooftop_forecast(t.telemetry(), t.units(), _A21_START, _A21_END, chunk="day")
 
 
 def weather(t: Tables):
