@@ -73,6 +73,8 @@ def with_tables(body: str) -> str:
         return body
     ctes = ",\n".join(f"{n} AS ({SQL_TABLES[n]})" for n in needed)
     body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

