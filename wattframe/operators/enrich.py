@@ -443,9 +443,11 @@ def attach_flows(summary: DataFrame, flows: DataFrame | None) -> DataFrame:
 # --- intensities -----------------------------------------------------------------------------
 
 
-def region_intensity(unit_fact: DataFrame) -> DataFrame:
-    """Energy, emissions and their ratio per interval and region."""
-    running = unit_fact.filter((F.col("generated") > 0) & (F.col("fueltech_id") != "battery_charging"))
+def region_intensity(unit_fact: DataFrame, network: str = "NEM") -> DataFrame:
+    """Energy, emissions and their ratio per interval and region of a network."""
+    running = unit_fact.filter(
+        (F.col("network_id") == network) & (F.col("generated") > 0) & (F.col("fueltech_id") != "battery_charging")
+    )
     sums = running.groupBy("interval", "network_region").agg(
         F.sum("energy").alias("energy"), F.sum("emissions").alias("emissions")
     )

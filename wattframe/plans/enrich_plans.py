@@ -353,7 +353,7 @@ def _values(t: Tables):
     "e13_region_intensity",
     """SELECT interval, network_region, round(sum(energy), 4) AS energy, round(sum(emissions), 4) AS emissions,
             CASE WHEN sum(energy) > 0 THEN round(sum(emissions) / sum(energy), 6) ELSE 0 END AS emissions_intensity
-        FROM x_ui WHERE generated > 0 AND fueltech_id <> 'battery_charging' GROUP BY 1, 2""",
+        FROM x_ui WHERE network_id = 'NEM' AND generated > 0 AND fueltech_id <> 'battery_charging' GROUP BY 1, 2""",
 )
 def _intensity(t: Tables):
     out = E.region_intensity(t.ui())
@@ -392,11 +392,33 @@ _EDGES = """act AS (SELECT * FROM x_telemetry WHERE NOT is_forecast),
         WHERE interconnector AND u.network_id = 'NEM' GROUP BY 1, 2, 3)"""
 
 
-@query("f8_market_summary_with_flows", None)
+def _without_act(ctes: str) -> str:
+    """The chain without its first table, which another chain defines alike."""
+    return ctes.split("WHERE NOT is_forecast),", 1)[1]
+
+
+@query(
+    "f8_market_summary_with_flows",
+    f"""WITH {_UNIT_FACT}, {_without_act(_MARKET_FACT)}, {_without_act(_EDGES)}, turned AS (
+            SELECT interval, CASE WHEN energy < 0 THEN b ELSE a END AS a, CASE WHEN energy < 0 THEN a ELSE b END AS b,
+                abs(energy) AS energy FROM edges),
+        i AS (SELECT interval, network_region, CASE WHEN sum(energy) > 0 THEN sum(emissions) / sum(energy) ELSE 0 END AS k
+            FROM unit_fact WHERE network_id = 'NEM' AND generated > 0 AND fueltech_id <> 'battery_charging' GROUP BY 1, 2),
+        carried AS (SELECT t.*, energy * coalesce(k, 0) AS emissions FROM turned t
+            LEFT JOIN i ON i.interval = t.interval AND i.network_region = t.a),
+        both_ends AS (SELECT interval, a AS network_region, 0 AS im, energy AS ex, 0 AS eim, emissions AS eex FROM carried
+            UNION ALL SELECT interval, b, energy, 0, emissions, 0 FROM carried),
+        f AS (SELECT interval, network_region, sum(im) AS im, sum(ex) AS ex, sum(eim) AS eim, sum(eex) AS eex FROM both_ends GROUP BY 1, 2)
+        SELECT m.*, round(im, 4) AS energy_imports, round(ex, 4) AS energy_exports, round(eim, 4) AS emissions_imports,
+            round(eex, 4) AS emissions_exports, CASE WHEN im IS NOT NULL THEN 0::DOUBLE END AS market_value_imports,
+            CASE WHEN im IS NOT NULL THEN 0::DOUBLE END AS market_value_exports
+        FROM market_fact m LEFT JOIN f ON f.interval = m.interval AND f.network_region = m.network_region""",
+)
 def _with_flows(t: Tables):
     signed = t.signed().filter(~F.col("is_forecast"))
     flows = flow_emissions(edge_energy(signed, t.units()), E.region_intensity(unit_fact(t)))
-    return market_fact(t, flows)
+    out = market_fact(t, flows)
+    return out.withColumns({c: F.round(c, 4) for c in E.FLOW_COLUMNS})
 
 
 @query(
@@ -405,7 +427,7 @@ def _with_flows(t: Tables):
             SELECT interval, CASE WHEN energy < 0 THEN b ELSE a END AS a, CASE WHEN energy < 0 THEN a ELSE b END AS b,
                 abs(energy) AS energy FROM edges),
         i AS (SELECT interval, network_region, CASE WHEN sum(energy) > 0 THEN sum(emissions) / sum(energy) ELSE 0 END AS k
-            FROM x_ui WHERE generated > 0 AND fueltech_id <> 'battery_charging' GROUP BY 1, 2),
+            FROM x_ui WHERE network_id = 'NEM' AND generated > 0 AND fueltech_id <> 'battery_charging' GROUP BY 1, 2),
         carried AS (SELECT t.*, energy * coalesce(k, 0) AS emissions FROM turned t
             LEFT JOIN i ON i.interval = t.interval AND i.network_region = t.a),
         ends AS (SELECT interval, a AS network_region, 0 AS im, energy AS ex, 0 AS eim, emissions AS eex FROM carried

@@ -51,7 +51,7 @@ def _region(t: Tables):
 
 _SIMPLE = f"""WITH {_TURNED},
         i AS (SELECT interval, network_region, CASE WHEN sum(energy) > 0 THEN sum(emissions) / sum(energy) ELSE 0 END AS k
-            FROM x_ui WHERE generated > 0 AND fueltech_id <> 'battery_charging' GROUP BY 1, 2),
+            FROM x_ui WHERE network_id = 'NEM' AND generated > 0 AND fueltech_id <> 'battery_charging' GROUP BY 1, 2),
         carried AS (SELECT t.*, energy * coalesce(k, 0) AS emissions FROM turned t
             LEFT JOIN i ON i.interval = t.interval AND i.network_region = t.a)
         SELECT interval, network_region, round(sum(im), 6) AS energy_imports, round(sum(ex), 6) AS energy_exports,
