@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wattframe.llm.common import written
+
 #: Shorter lines are left alone.
 MIN_CHARS = 20
 #: Edits (insert, delete or replace one code point) within which two lines count as the same.
@@ -57,12 +59,14 @@ def _neighbours(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     wanted = candidates.groupBy(F.col("first.doc_id").alias("_id"), F.col("first.doc").alias("_doc")).agg(
         F.collect_list(F.struct("first", "h", "g", "front", "back")).alias("_lines")
     )
-    texts = docs.select("doc_id", "text").withColumn("doc", _document(F.col("text"))).dropDuplicates(["doc_id", "doc"])
+    # A document that is there in several equal rows gives its lines several times.
+    texts = docs.select("doc_id", "text").withColumn("doc", _document(F.col("text")))
     found = (
         texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("doc") == F.col("_doc")))
         .select(F.split("text", "\n").alias("all"), F.explode("_lines").alias("c"))
         .select("c.*", F.get("all", F.col("c.first.pos")).alias("line"))
     )
+    found = written(found.dropDuplicates(["h", "g"]), "candidates")
     n = F.char_length("line")
     half = F.floor((n - 1) / 2).cast("int")
     start = F.when(F.col("back") == 1, 1).otherwise(half + 1)
@@ -109,7 +113,8 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     distinct = _occurrences(docs, min_chars, True).groupBy("h", "g").agg(
         F.min("at").alias("first"), F.max("at").alias("last"), F.first("halves").alias("halves")
     )
-    near = _neighbours(docs, distinct)
+    distinct = written(distinct, "lines")
+    near = written(_neighbours(docs, distinct), "near")
     verdicts = (
         distinct.select("h", "g", "first", (F.col("first") < F.col("last")).alias("again"))
         .join(near, ["h", "g"], "left")
