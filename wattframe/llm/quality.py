@@ -15,7 +15,7 @@ from wattframe.llm.common import held_out, slices, utf8
 #: log2 of the number of weights.
 BITS = 18
 #: About so many labelled documents are learned from, chosen by hash of the id, in so many passes.
-TRAIN_DOCS = 20_000
+TRAIN_DOCS = 8_000
 PASSES = 4
 #: Step size, its smoothing, and the penalties on the sum and on the squares of the weights.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.01, 0.01
@@ -124,11 +124,26 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("y"), lists], ["key", "y", "f"])
 
 
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row with the model learned from all rows, in their order."""
+    rows, labels = [], []
+    for batch in batches:
+        lists = batch.column("f")
+        at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        rows += [flat[a:b].copy() for a, b in zip(at[:-1], at[1:], strict=True)]
+        labels.append(batch.column("y").to_numpy())
+    if rows:
+        model = ftrl(rows, np.concatenate(labels).astype(float))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([model.weights.astype("<f4").tobytes()]), pa.array([model.bias])], ["weights", "bias"]
+        )
+
+
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     """Learn `quality` from labelled documents that aren't held out.
 
-    Features are made in Spark from whole texts; the updates run over the bounded sample in the order of a
-    hash. Ids with labels that disagree, and null labels, are left out.
+    Features are made in Spark from whole texts; one task makes the updates over the bounded sample, in the order
+    of a hash, and the driver gets the weights. Ids with labels that disagree, and null labels, are left out.
     """
     known = (
         labels.where(~held_out(F.col("doc_id")) & F.col("quality").isNotNull())
@@ -141,14 +156,11 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> M
     chance = F.pmod("key", F.lit(1 << 20)) / float(1 << 20)
     sample = known.where(chance * max(many, 1) < train_docs)
     picked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(sample, "doc_id")
-    got = picked.select("key", "y", "text").mapInArrow(_featurise, "key long, y int, f array<int>").toArrow()
-    if got.num_rows == 0:
+    made = picked.select("key", "y", "text").mapInArrow(_featurise, "key long, y int, f array<int>")
+    got = made.repartition(1).sortWithinPartitions("key", "y").mapInArrow(_learn, "weights binary, bias double").first()
+    if got is None:
         return Model(np.zeros(1 << BITS, np.float32), 0.0)
-    got = got.sort_by([("key", "ascending"), ("y", "ascending")])
-    lists = got.column("f").combine_chunks()
-    at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-    rows = [flat[at[i] : at[i + 1]] for i in range(len(lists))]
-    return ftrl(rows, got.column("y").to_numpy().astype(float))
+    return Model(np.frombuffer(bytes(got["weights"]), "<f4"), got["bias"])
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
