@@ -92,14 +92,24 @@ _UNIT_COLUMNS = (
 UNIT_KEYS = ("interval", "network_id", "network_region", "facility_code", "unit_code")
 
 
-def carried_prices(market: DataFrame, start: datetime, end: datetime, chunk="month") -> DataFrame:
-    """Published prices carried over the five-minute grid, by region."""
-    published = (
-        market.filter(F.col("interval").between(ts_lit(start), ts_lit(end)) & F.col("price").isNotNull())
-        .groupBy(floor_minutes("interval", 5).alias("interval"), "network_id", "network_region")
-        .agg(F.avg("price").alias("price"))
-    )
-    return spread(published, ["network_id", "network_region"], "interval", FIVE, end, hold=["price"], chunk=chunk)
+def carried_prices(market: DataFrame, start: datetime, end: datetime, chunk="month", carry_in: bool = False) -> DataFrame:
+    """Published prices carried over the five-minute grid, by region.
+
+    With `carry_in` the last price before `start` holds until the first one inside, so that a recomputed
+    day has the prices it has in a longer run.
+    """
+    keys = ["network_id", "network_region"]
+    known = market.filter((F.col("interval") <= ts_lit(end)) & F.col("price").isNotNull())
+    if not carry_in:
+        known = known.filter(F.col("interval") >= ts_lit(start))
+    published = known.groupBy(floor_minutes("interval", 5).alias("interval"), *keys).agg(F.avg("price").alias("price"))
+    if carry_in:
+        before = F.col("interval") < ts_lit(start)
+        last = published.filter(before).groupBy(*keys).agg(F.max_by("price", "interval").alias("price"))
+        seeds = last.select(ts_lit(start).alias("interval"), *keys, "price", F.lit(0).alias("_own"))
+        both = published.filter(~before).withColumn("_own", F.lit(1)).unionByName(seeds)
+        published = both.groupBy("interval", *keys).agg(F.max_by("price", "_own").alias("price"))
+    return spread(published, keys, "interval", FIVE, end, hold=["price"], chunk=chunk)
 
 
 def unit_intervals(
@@ -111,6 +121,7 @@ def unit_intervals(
     networks: Sequence[str] | None = None,
     version: int = 0,
     chunk: str | None = "month",
+    carry_in: bool = False,
 ) -> DataFrame:
     """The unit fact for [start, end).
 
@@ -175,7 +186,7 @@ def unit_intervals(
     )
 
     both = plain.unionByName(solar).filter((F.col("interval") >= ts_lit(start)) & (F.col("interval") < ts_lit(end)))
-    prices = carried_prices(market, start, end, chunk).select("interval", "network_region", "price")
+    prices = carried_prices(market, start, end, chunk, carry_in).select("interval", "network_region", "price")
     priced = both.join(prices, ["interval", "network_region"], "left")
     energy, factor = F.col("energy"), F.col("emissions_factor_co2")
     fact = priced.select(
@@ -346,13 +357,14 @@ def market_summary(
     rooftop_networks: Sequence[str] = ROOFTOP_NETWORKS,
     per_hour: dict[str, float] = MARKET_INTERVALS_PER_HOUR,
     chunk: str | None = "month",
+    lookback: timedelta = HOUR,
 ) -> DataFrame:
     """The market fact for [start, end], both ends included.
 
-    Scans one hour early so fills and pairs have a seed. Regions are those the
+    Scans `lookback` early so fills and pairs have a seed. Regions are those the
     market table knows in that span.
     """
-    early = start - HOUR
+    early = start - lookback
     keys = ["network_id", "network_region"]
     span = F.col("interval").between(ts_lit(early), ts_lit(end))
     market = market.filter(span & ~F.col("is_forecast"))

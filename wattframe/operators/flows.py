@@ -79,14 +79,24 @@ def flow_emissions(edges: DataFrame, intensity: DataFrame) -> DataFrame:
     )
 
 
-def flow_emissions_mix(edges: DataFrame, nodes: DataFrame, regions: Sequence[str] = NEM_REGIONS) -> DataFrame:
+def flow_regions(edges: DataFrame, nodes: DataFrame) -> list[str]:
+    """Every region an edge or node names, besides the usual ones; a handful of names, on the driver."""
+    named = nodes.select("network_region").unionByName(edges.select(F.col(FROM).alias("network_region")))
+    named = named.unionByName(edges.select(F.col(TO).alias("network_region"))).distinct()
+    return sorted({*NEM_REGIONS, *(r[0] for r in named.collect() if r[0] is not None)})
+
+
+def flow_emissions_mix(edges: DataFrame, nodes: DataFrame, regions: Sequence[str] | None = None) -> DataFrame:
     """Flows carrying the consumption mix of the region they leave.
 
+    Regions are those of the data unless given.
+
     Transit counts: the intensity of a region solves supply * x = own
     emissions + inflow * x(source). Each interval is one fixed-width row of
     conditional sums (combined before the shuffle), and a task solves a whole
     Arrow batch of the small systems at once.
     """
+    regions = list(regions) if regions is not None else flow_regions(edges, nodes)
     n = len(regions)
     pairs = [(a, b) for a in range(n) for b in range(n) if a != b]
     flat = normalise_edges(edges)
@@ -144,7 +154,7 @@ def _solve_batch(pdf: pd.DataFrame, regions: Sequence[str], pairs: list[tuple[in
     )
 
 
-def solve_flows(edges: DataFrame, nodes: DataFrame, mix: bool = False, regions: Sequence[str] = NEM_REGIONS) -> DataFrame:
+def solve_flows(edges: DataFrame, nodes: DataFrame, mix: bool = False, regions: Sequence[str] | None = None) -> DataFrame:
     """Flow emissions by source intensity, or by consumption mix."""
     return flow_emissions_mix(edges, nodes, regions) if mix else flow_emissions(edges, nodes)
 

@@ -34,6 +34,7 @@ THRESHOLDS = {
     "7d": 2016,
     "month": 8000,
     "quarter": 24000,
+    "season": 24000,
     "year": 98000,
     "financial_year": 98000,
 }
@@ -330,9 +331,10 @@ def find_records(base: DataFrame, end: datetime, network: str = "NEM", chunk: st
     metric = F.col("metric")
     first = _of_metric(metric, lambda m: m.since, "timestamp_ntz")
     edge = ts_lit(end)
-    complete = F.col("period").isin("interval") & (F.col("interval") < edge)
-    for p in {"day", "month", "quarter", "year"}:
-        complete = complete | ((F.col("period") == p) & (F.col("interval") < bucket(edge, PERIOD_BUCKET[p])))
+    complete = F.when(F.col("period") == "interval", F.col("interval") < edge)
+    for p, width in PERIOD_BUCKET.items():
+        complete = complete.when(F.col("period") == p, F.col("interval") < bucket(edge, width))
+    complete = complete.otherwise(F.raise_error(F.concat(F.lit("unknown period: "), F.coalesce("period", F.lit("NULL")))))
     rows = base.filter(complete & (F.col("interval") >= first) & F.col("value").isNotNull())
     floors = _of_metric(metric, lambda m: float(m.floor), "double")
     hits = detect_records(
@@ -526,7 +528,7 @@ def check_period(base: DataFrame, state: DataFrame, now: datetime, network: str
     )
     joined = shaped.join(known, "record_id", "left")
     far = (F.col("period") != "interval") | (
-        epoch_seconds("interval") - epoch_seconds("_pi") >= DEBOUNCE_INTERVALS * 300
+        epoch_seconds("interval") - epoch_seconds("_pi") >= DEBOUNCE_INTERVALS * 60 * NETWORKS[network].interval_minutes
     )
     better = is_new(F.col("aggregate"), F.col("metric"), F.col("interval"), F.col("_rounded"), F.col("_pi"), F.col("_pv"))
     new = joined.filter(F.col("_pi").isNull() | (better & far))
@@ -719,7 +721,7 @@ def page(df: DataFrame, order: Sequence[Column], limit: int, page_number: int =
     return df.orderBy(*order).offset(skip).limit(limit).withColumn("total", total)
 
 
-def history(records: DataFrame, record: str, before: datetime, n: int | None = 40) -> DataFrame:
+def history(records: DataFrame, record: str, before: datetime, n: int | None = None) -> DataFrame:
     """The records of one id before a time, newest first."""
     rows = records.filter((F.col("record_id") == record) & (F.col("interval") < ts_lit(before)))
     rows = rows.orderBy(F.col("interval").desc())
@@ -739,18 +741,18 @@ def gap_start(records: DataFrame, now: datetime, hours: int = 24) -> DataFrame:
     return last.select("last", F.when(stale, bucket("last", "1d")).alias("recompute_from"))
 
 
-def highlights(records: DataFrame, start: datetime, end: datetime, network: str = "NEM", wanted: int = 3, limit: int = 20) -> DataFrame:
+def highlights(records: DataFrame, start: datetime, end: datetime, network: str = "NEM", wanted: int = 3, limit: int | None = None) -> DataFrame:
     """The week's records worth telling: score 9 and up, or 8 when few.
 
-    Lows of demand are left out after the listing is cut, as the count is of
+    `limit` cuts the listing, if given; lows of demand are left out after that, as the count is of
     what remains.
     """
     rows = search(records, start, end, significance_min=8, places=[network])
     dull = (F.col("aggregate") == "low") & F.col("fueltech_id").eqNullSafe(F.lit("demand"))
 
     def listed(score: int) -> DataFrame:
-        top = rows.filter(F.col("significance") >= score).orderBy(F.col("interval").desc(), "record_id").limit(limit)
-        return top.filter(~dull)
+        top = rows.filter(F.col("significance") >= score).orderBy(F.col("interval").desc(), "record_id")
+        return (top.limit(limit) if limit else top).filter(~dull)
 
     best = listed(9)
     enough = best.agg(F.count(F.lit(1))).scalar() >= wanted

@@ -506,7 +506,7 @@ def _page(t: Tables):
             AND interval < TIMESTAMP '2024-01-20' ORDER BY interval DESC LIMIT 40""",
 )
 def _history(t: Tables):
-    return Q.history(found(t), "au.nem.power.interval.high", datetime(2024, 1, 20)).select("record_id", "interval", "value")
+    return Q.history(found(t), "au.nem.power.interval.high", datetime(2024, 1, 20), n=40).select("record_id", "interval", "value")
 
 
 @query(
@@ -529,7 +529,7 @@ def _gap(t: Tables):
 
 @query("r20_highlights")
 def _highlights(t: Tables):
-    return Q.highlights(stored(t), datetime(2024, 1, 1), datetime(2024, 1, 8))
+    return Q.highlights(stored(t), datetime(2024, 1, 1), datetime(2024, 1, 8), limit=20)
 
 
 @query(

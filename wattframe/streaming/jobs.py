@@ -96,16 +96,48 @@ def merge_days(batch: DataFrame, path: str, keys: Sequence[str], ts: str, column
     write_days(merged, path, ts)
 
 
-def touched_span(batch: DataFrame, ts: str = "interval") -> tuple[datetime, datetime] | None:
-    """First and last time in a batch: two values, whatever its size."""
-    row = batch.agg(F.min(ts), F.max(ts)).first()
-    return None if row[0] is None else (row[0], row[1])
+def touched_days(batch: DataFrame, store: str, ts: str = "interval") -> list[tuple[datetime, datetime]]:
+    """Runs [first, last) of days to recompute: those a batch touches, and the day after each if the store has it.
 
-
-def whole_days(span: tuple[datetime, datetime]) -> tuple[datetime, datetime]:
-    first = span[0].replace(hour=0, minute=0, second=0, microsecond=0)
-    last = span[1].replace(hour=0, minute=0, second=0, microsecond=0) + timedelta(days=1)
-    return first, last
+    The first rows of a day are paired with or filled from the last ones of the day before. Only distinct days come to
+    the driver, a number the calendar bounds, so one late row recomputes a day or two whatever lies between.
+    """
+    own = {r[0] for r in batch.select(F.to_date(ts)).distinct().collect() if r[0] is not None}
+    after = {d + timedelta(days=1) for d in own} - own
+    if after:
+        known = read_days(batch.sparkSession, store, StructType(batch.schema.fields))
+        wanted = [int(d.strftime("%Y%m%d")) for d in after]
+        there = {r[0] for r in known.filter(F.col(DAY).isin(wanted)).select(DAY).distinct().collect()}
+        own |= {d for d in after if int(d.strftime("%Y%m%d")) in there}
+    runs: list[tuple[datetime, datetime]] = []
+    for day in sorted(own):
+        first = datetime.combine(day, datetime.min.time())
+        if runs and runs[-1][1] == first:
+            runs[-1] = (runs[-1][0], first + timedelta(days=1))
+        else:
+            runs.append((first, first + timedelta(days=1)))
+    return runs
+
+
+def recompute(batch: DataFrame, store: str, sink: str, keys: Sequence[str], fact: Callable[[DataFrame, datetime, datetime], DataFrame], ts: str = "interval") -> None:
+    """Merge a batch into the store and rewrite the touched days of the sink from it.
+
+    `fact` gets the stored rows from the day before a run of days on, and its ends; rows outside the run are left out.
+    The batch is read once from its source, however many steps follow.
+    """
+    batch = batch.persist()
+    try:
+        if batch.isEmpty():
+            return
+        merge_days(batch, store, keys, ts, [c for c in batch.columns if c not in keys])
+        schema = StructType(batch.schema.fields)
+        for first, last in touched_days(batch, store, ts):
+            lo, hi = (int(d.strftime("%Y%m%d")) for d in (first - timedelta(days=1), last))
+            window = read_days(batch.sparkSession, store, schema).filter(F.col(DAY).between(lo, hi)).drop(DAY)
+            rows = fact(window, first, last).filter((F.col(ts) >= ts_lit(first)) & (F.col(ts) < ts_lit(last)))
+            write_days(rows, sink, ts)
+    finally:
+        batch.unpersist()
 
 
 # --- ingest -----------------------------------------------------------------------------------
@@ -131,50 +163,30 @@ def start_upsert(stream: DataFrame, keys: Sequence[str], order: str, ts: str, si
 # --- facts --------------------------------------------------------------------------------------
 
 
-def start_unit_facts(stream: DataFrame, market: Callable[[], DataFrame], units: Callable[[], DataFrame], store: str, sink: str, checkpoint: str, max_gap: timedelta | None = None, trigger: dict | None = None) -> StreamingQuery:
+def start_unit_facts(stream: DataFrame, market: Callable[[], DataFrame], units: Callable[[], DataFrame], store: str, sink: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Keeps the unit fact up to date with arriving telemetry.
 
     Telemetry rows (one per event_id) go to `store`; the days they touch are
-    recomputed into `sink`. A batch reaching back further than `max_gap` is
-    stored only and left to a backfill.
+    recomputed into `sink`, with the price that held when a day began.
     """
-    columns = [c for c in stream.columns if c not in ("event_id", "interval")]
 
     def work(batch: DataFrame, number: int) -> None:
-        span = touched_span(batch)
-        if span is None:
-            return
-        merge_days(batch, store, ["event_id", "interval"], "interval", columns)
-        if max_gap is not None and span[1] - span[0] > max_gap:
-            return
-        first, last = whole_days(span)
-        spark = batch.sparkSession
-        known = read_days(spark, store, StructType(batch.schema.fields))
-        lo, hi = (int(d.strftime("%Y%m%d")) for d in (first - timedelta(days=1), last))
-        window = known.filter(F.col(DAY).between(lo, hi)).drop(DAY)
-        fact = unit_intervals(window, market(), units(), first, last, version=number, chunk="day")
-        write_days(fact, sink, "interval")
+        recompute(
+            batch, store, sink, ["event_id", "interval"],
+            lambda rows, first, last: unit_intervals(rows, market(), units(), first, last, version=number, chunk="day", carry_in=True),
+        )
 
     return _run(stream, work, checkpoint, trigger)
 
 
-def start_market_facts(stream: DataFrame, market: Callable[[], DataFrame], units: Callable[[], DataFrame], store: str, sink: str, checkpoint: str, max_gap: timedelta | None = None, trigger: dict | None = None) -> StreamingQuery:
+def start_market_facts(stream: DataFrame, market: Callable[[], DataFrame], units: Callable[[], DataFrame], store: str, sink: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Keeps the market fact up to date with arriving telemetry."""
-    columns = [c for c in stream.columns if c not in ("event_id", "interval")]
 
     def work(batch: DataFrame, number: int) -> None:
-        span = touched_span(batch)
-        if span is None:
-            return
-        merge_days(batch, store, ["event_id", "interval"], "interval", columns)
-        if max_gap is not None and span[1] - span[0] > max_gap:
-            return
-        first, last = whole_days(span)
-        known = read_days(batch.sparkSession, store, StructType(batch.schema.fields))
-        lo, hi = (int(d.strftime("%Y%m%d")) for d in (first - timedelta(days=1), last))
-        window = known.filter(F.col(DAY).between(lo, hi)).drop(DAY)
-        fact = market_summary(window, market(), units(), first, last, version=number, chunk="day")
-        write_days(fact.filter(F.col("interval") < ts_lit(last)), sink, "interval")
+        recompute(
+            batch, store, sink, ["event_id", "interval"],
+            lambda rows, first, last: market_summary(rows, market(), units(), first, last, version=number, chunk="day", lookback=timedelta(days=1)),
+        )
 
     return _run(stream, work, checkpoint, trigger)
 
@@ -206,22 +218,12 @@ def start_energy(stream: DataFrame, store: str, sink: str, checkpoint: str, look
     """Trapezoidal energy of arriving readings, with the ones before them.
 
     `stream` has the telemetry key, power and quality flag. Days are written
-    whole, so a reading that arrives late also mends its successor.
+    whole, and the day after a touched one too, so a reading that arrives late also mends its successor.
     """
     keys = ["interval", "network_id", "unit_code"]
-    columns = [c for c in stream.columns if c not in keys]
 
     def work(batch: DataFrame, _: int) -> None:
-        span = touched_span(batch)
-        if span is None:
-            return
-        merge_days(batch, store, keys, "interval", columns)
-        first, last = whole_days(span)
-        known = read_days(batch.sparkSession, store, StructType(batch.schema.fields))
-        lo, hi = (int(d.strftime("%Y%m%d")) for d in (first - lookback, last))
-        window = known.filter(F.col(DAY).between(lo, hi)).drop(DAY)
-        energy = trapezoid_energy(window, first, last, lookback, chunk="day")
-        write_days(energy.filter(F.col("interval") < ts_lit(last)), sink, "interval")
+        recompute(batch, store, sink, keys, lambda rows, first, last: trapezoid_energy(rows, first, last, lookback, chunk="day"))
 
     return _run(stream, work, checkpoint, trigger)
 
