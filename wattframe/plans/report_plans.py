@@ -214,22 +214,16 @@ def _tod(t: Tables):
 
 @query(
     "a26_fold_other",
-    """WITH e AS (SELECT network_region, fueltech_id, round(sum(energy), 4) AS energy FROM x_daily
-            WHERE year(interval) < 1999 GROUP BY 1, 2
-            UNION ALL SELECT network_region, fueltech_id || '_late', round(sum(energy), 4) FROM x_daily
-            WHERE year(interval) = 2001 AND month(interval) > 9 GROUP BY 1, 2),
+    """WITH e AS (SELECT network_region, fueltech_id || '_' || year(interval) AS fueltech_id, round(sum(energy), 4) AS energy
+            FROM x_daily GROUP BY ALL),
         s AS (SELECT *, energy / sum(energy) OVER (PARTITION BY network_region) * 100 AS share FROM e)
         SELECT network_region, CASE WHEN share > 5 THEN fueltech_id ELSE 'Other' END AS fueltech_id,
             round(sum(energy), 4) AS energy, round(sum(share), 4) AS share FROM s GROUP BY 1, 2""",
 )
 def _fold(t: Tables):
-    year, month = F.year("interval"), F.month("interval")
-    late = F.when((year == 2001) & (month > 9), F.concat("fueltech_id", F.lit("_late")))
-    name = F.when(year < 1999, F.col("fueltech_id")).otherwise(late)
     per = (
         t.daily()
-        .withColumn("fueltech_id", name)
-        .filter(F.col("fueltech_id").isNotNull())
+        .withColumn("fueltech_id", F.concat_ws("_", "fueltech_id", F.year("interval")))
         .groupBy("network_region", "fueltech_id")
         .agg(F.round(F.sum("energy"), 4).alias("energy"))
     )

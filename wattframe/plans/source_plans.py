@@ -330,7 +330,8 @@ def _stat(t: Tables):
 @query(
     "s16_notices",
     r"""SELECT doc_id, doc_id AS notice_id, upper(lang) AS notice_type, source AS description, TIMESTAMP '2024-07-08' AS issue_date,
-            TIMESTAMP '2024-07-08 20:01:41' AS created_at, 'Line ' || doc_id AS external_reference, 'AEMO' AS issued_by FROM documents WHERE doc_id % 3 <> 0""",
+            TIMESTAMP '2024-07-08 20:01:41' AS created_at, 'Line ' || doc_id AS external_reference, 'AEMO' AS issued_by,
+            nullif(trim(text, ' '), '') AS reason FROM documents WHERE doc_id % 3 <> 0""",
 )
 def _notices(t: Tables):
     rule = F.lit("\n" + "-" * 67 + "\n")
@@ -344,7 +345,7 @@ def _notices(t: Tables):
     )
     text = F.concat(head, body, F.lit("\nReason :\n\n"), F.col("text"), rule, F.lit("END OF REPORT"))
     rows = t.read("documents").select("doc_id", F.when(F.col("doc_id") % 3 != 0, text).otherwise(F.col("text")).alias("text"))
-    return S.parse_notices(rows, "text", ["doc_id"]).drop("reason")
+    return S.parse_notices(rows, "text", ["doc_id"])
 
 
 def _pack(batches):
