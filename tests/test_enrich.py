@@ -220,6 +220,14 @@ def test_idle_regions_do_not_break_the_solve(spark):
     assert len(got) == 5 and all(r.energy_imports == 0 and r.emissions_exports == 0 for r in got)
 
 
+def test_a_sixth_region_keeps_its_flows(spark):
+    edges = frame(spark, EDGES, (at(0), "NSW1", "SNOWY1", 10.0))
+    nodes = frame(spark, NODES, (at(0), "NSW1", 100.0, 50.0, 0.5))
+    got = {r.network_region: r for r in X.solve_flows(edges, nodes, mix=True).collect()}
+    assert got["NSW1"].energy_exports == got["SNOWY1"].energy_imports == 10.0
+    assert got["SNOWY1"].emissions_imports == pytest.approx(5.0)
+
+
 # --- ingest -------------------------------------------------------------------------------------
 
 

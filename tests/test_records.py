@@ -183,3 +183,29 @@ def test_repair_and_reconcile(spark):
     assert report.sound and report.before_odd_units == 1
     merged = R.reconcile(stored, rebuilt.withColumn("interval", F.col("interval") + F.expr("INTERVAL 1 DAY")), at(0))
     assert merged.count() == 4
+
+
+LONG = "metric string, period string, grouping string, network_region string, fueltech_id string, interval timestamp_ntz, value double, interval_count long"
+
+
+def test_every_period_has_records(spark):
+    """Weeks, seasons and financial years too; the period the end falls into is left out."""
+    end = datetime(2024, 12, 20)
+    starts = {
+        "day": (datetime(2024, 11, 4), datetime(2024, 12, 20)),
+        "week": (datetime(2024, 11, 4), datetime(2024, 12, 16)),
+        "month": (datetime(2024, 10, 1), datetime(2024, 12, 1)),
+        "quarter": (datetime(2024, 7, 1), datetime(2024, 10, 1)),
+        "season": (datetime(2024, 9, 1), datetime(2024, 12, 1)),
+        "year": (datetime(2023, 1, 1), datetime(2024, 1, 1)),
+        "financial_year": (datetime(2023, 7, 1), datetime(2024, 7, 1)),
+    }
+    data = [("energy", p, "fueltech", "NSW1", "wind", t, 10.0 + i, 10**6) for p, pair in starts.items() for i, t in enumerate(pair)]
+    got = R.find_records(frame(spark, LONG, *data), end)
+    assert {(r.period, r.interval) for r in got.collect()} == {(p, pair[0]) for p, pair in starts.items()}
+
+
+def test_an_unknown_period_is_refused(spark):
+    row = ("energy", "decade", "fueltech", "NSW1", "wind", datetime(2024, 1, 1), 1.0, 1)
+    with pytest.raises(Exception, match="unknown period"):
+        R.find_records(frame(spark, LONG, row), datetime(2024, 12, 20)).collect()
