@@ -239,6 +239,34 @@ def last_complete(now_utc: datetime, network: str, unit: str = "interval") -> da
 PERIOD_DAYS = {"1d": 1, "3d": 3, "7d": 7, "14d": 14, "30d": 30, "1M": 30, "3M": 90, "1Y": 365}
 
 
+SECOND = timedelta(seconds=1)
+
+
+def _on_grid(at: datetime, interval: str) -> datetime:
+    """A time without seconds, on the half hour for half-hourly series."""
+    return _floor_dt(at.replace(second=0, microsecond=0), 30 if interval == "30m" else 1)
+
+
+def _whole_range(first: datetime, last: datetime, interval: str) -> tuple[datetime, datetime]:
+    """All of the data: from the day, or for monthly series the month, it begins with; monthly series end with a whole month."""
+    if interval == "1M":
+        return datetime(first.year, first.month, 1), datetime(last.year, last.month, 1) - SECOND
+    return datetime(first.year, first.month, first.day), _on_grid(last, interval)
+
+
+def _year_range(year: int, last: datetime, today: datetime) -> tuple[datetime, datetime]:
+    """A calendar year; the current one ends with the last day before the newest data."""
+    if year > last.year:
+        raise ValueError("year lies after the data")
+    after = datetime(year, last.month, last.day) if year == today.year else datetime(year + 1, 1, 1)
+    return datetime(year, 1, 1), after - SECOND
+
+
+def _month_range(month: datetime) -> tuple[datetime, datetime]:
+    begin = datetime(month.year, month.month, 1)
+    return begin, _month_shift(begin, 1) - SECOND
+
+
 def resolve_range(
     first: datetime,
     last: datetime,
@@ -253,35 +281,21 @@ def resolve_range(
 
     `first` and `last` bound the data; a period reaches back from `last`,
     "all" starts at `first`, a year or month is a calendar window, and a
-    forecast runs seven days on from `last`.
+    forecast runs seven days on from `last`. A forecast goes before a month,
+    a month before all, all before a year, and a year before any other period.
     """
-    half_hour = interval == "30m"
-    start, end = (d.replace(second=0, microsecond=0) for d in (first, last))
-    if half_hour:
-        start, end = _floor_dt(start, 30), _floor_dt(end, 30)
+    newest = _on_grid(last, interval)
     if forecast:
-        return end, end + timedelta(days=7)
+        return newest, newest + timedelta(days=7)
+    if month is not None:
+        return _month_range(month)
     if period == "all":
-        start = start.replace(hour=0, minute=0)
-        if interval == "1M":
-            start = start.replace(day=1)
-            end = end.replace(day=1, hour=23, minute=59, second=59) - timedelta(days=1)
-        year = None
-    elif period:
-        start = (last - timedelta(days=PERIOD_DAYS[period])).replace(second=0, microsecond=0)
-        if half_hour:
-            start = _floor_dt(start, 30)
-    if year:
-        if year > end.year:
-            raise ValueError("year lies after the data")
-        start = datetime(year, 1, 1)
-        end = datetime(year, 12, 31, 23, 59, 59)
-        if year == (now or last).year:
-            end = datetime(year, last.month, last.day, 23, 59, 59) - timedelta(days=1)
-    if month:
-        start = datetime(month.year, month.month, 1)
-        end = _month_shift(start, 1) - timedelta(seconds=1)
-    return start, end
+        return _whole_range(first, last, interval)
+    if year is not None:
+        return _year_range(year, last, now or last)
+    if period is not None:
+        return _on_grid(last - timedelta(days=PERIOD_DAYS[period]), interval), newest
+    return _on_grid(first, interval), newest
 
 
 def check_range(interval: str, start: datetime, end: datetime) -> None:
