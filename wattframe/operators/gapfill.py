@@ -274,7 +274,3 @@ def cap_to_settled(df: DataFrame, ts: str, end: datetime, now: datetime, days: i
     """
     edge = df.filter(F.col(ts) > ts_lit(now - timedelta(days=days))).agg(F.max(ts)).scalar()
     return df.filter((F.col(ts) < ts_lit(end)) & (F.col(ts) < F.coalesce(edge, ts_lit(end))))
-
-
-def seconds_between(a: Column | str, b: Column | str) -> Column:
-    return epoch_seconds(b) - epoch_seconds(a)

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from wattframe.functions.timebucket import NTZ, ts_lit
 from wattframe.operators.ordered import last_known
-from wattframe.operators.versioning import dedupe_last
 
 # Unit attributes whose changes are kept.
 TRACKED = ("capacity_registered", "emissions_factor_co2", "emission_factor_source")
@@ -115,11 +114,6 @@ def update_max(units: DataFrame, recent: DataFrame) -> DataFrame:
     )
 
 
-def latest_changes(history: DataFrame, id_col: str, order: Sequence[str]) -> DataFrame:
-    """The newest history row of each unit."""
-    return dedupe_last(history, [id_col], list(order))
-
-
 def live_months(units: DataFrame, start: datetime, end: datetime, now: datetime) -> DataFrame:
     """Each unit once per month of its life inside the window.
 

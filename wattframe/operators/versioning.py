@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattframe.operators.ordered import null_safe_join
 
 
 def _pick(df: DataFrame, keys: Sequence[str], order: Sequence[Column], last: bool) -> DataFrame:
@@ -107,8 +106,3 @@ def merge_sparse(target: DataFrame, updates: DataFrame, keys: Sequence[str], col
     return joined.select(
         *[F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in columns else F.col(c) for c in target.columns]
     )
-
-
-def match_on(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
-    """Equi-join that also matches NULL keys."""
-    return null_safe_join(left, right, on, how)

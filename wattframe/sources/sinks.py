@@ -4,21 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def write_fact(df: DataFrame, path: str, ts: str = "interval", grain: str = "month", mode: str = "overwrite") -> None:
     """A fact as Parquet by month or day; overwriting replaces touched partitions only.
 
-    Rows are grouped by partition value and a spread of the row hash, so a
-    heavy month is written by several tasks.
+    Rows of a partition value go together, and Spark splits a heavy month by
+    its measured size.
     """
     pattern = {"month": "yyyyMM", "day": "yyyyMMdd"}[grain]
     name = {"month": "yyyymm", "day": "yyyymmdd"}[grain]
     tagged = df.withColumn(name, F.date_format(F.col(ts), pattern).cast("int"))
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(8))
-    shuffled = tagged.repartition(F.col(name), spread)
+    shuffled = tagged.hint("rebalance", F.col(name))
     shuffled.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(name).parquet(path)
 
 
@@ -36,13 +35,11 @@ def read_fact(spark, path: str, start=None, end=None, ts: str = "interval") -> D
     return df.drop("yyyymm")
 
 
-def series_path(version: str, country: str, network: Column, region: Column, stat: str, period: Column) -> Column:
-    """Path of a published series: version, country, network, region, kind, period."""
-    return F.concat_ws("/", F.lit(version), F.lit("stats"), F.lit(country), network, region, F.lit(stat), period)
-
-
 def write_series(df: DataFrame, base_path: str, partition_cols: Sequence[str], mode: str = "overwrite") -> None:
-    """Published series as a tree of JSON files, one folder level per key."""
-    df.repartition(*[F.col(c) for c in partition_cols]).write.mode(mode).option(
+    """Published series as a tree of JSON files, one folder level per key.
+
+    Rows of a key go together, but Spark splits a large key by its measured size.
+    """
+    df.hint("rebalance", *[F.col(c) for c in partition_cols]).write.mode(mode).option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy(*partition_cols).json(base_path)
