@@ -307,6 +307,15 @@ def check_range(interval: str, start: datetime, end: datetime) -> None:
         raise ValueError(f"at most {limit} days for interval {interval}")
 
 
+def check_span(interval: str, first: Column, last: Column) -> Column:
+    """`last`, or an error for a series that spans more than its bucket size allows."""
+    limit = RANGE_LIMIT_DAYS.get(interval)
+    if limit is None:
+        return last
+    message = F.concat(F.lit(f"at most {limit} days for interval {interval}, asked for "), first.cast("string"), F.lit(" to "), last.cast("string"))
+    return F.when(F.datediff(last, first) > limit, F.raise_error(message).cast(NTZ)).otherwise(last)
+
+
 def default_range(interval: str, now: datetime) -> tuple[datetime, datetime]:
     """Half the allowed span, ending at the clock."""
     return now - timedelta(days=RANGE_LIMIT_DAYS[interval] / 2), now

@@ -28,6 +28,7 @@ from wattframe.operators.gapfill import (
 )
 from wattframe.operators.ingest import relabel_region
 from wattframe.operators.ordered import lag_row, lag_step
+from wattframe.session import stage
 
 FIVE = timedelta(minutes=5)
 HOUR = timedelta(hours=1)
@@ -362,14 +363,14 @@ def market_summary(
     """The market fact for [start, end], both ends included.
 
     Scans `lookback` early so fills and pairs have a seed. Regions are those the
-    market table knows in that span.
+    market table knows in that span. Sums by interval and region are written to the shared folder before they are
+    filled, as a fill reads its input twice.
     """
     early = start - lookback
     keys = ["network_id", "network_region"]
     span = F.col("interval").between(ts_lit(early), ts_lit(end))
     market = market.filter(span & ~F.col("is_forecast"))
     telemetry = telemetry.filter(span & ~F.col("is_forecast"))
-    regions = market.select(*keys).distinct()
     bucketed = floor_minutes("interval", 5).alias("interval")
 
     base = market.groupBy(bucketed, *keys).agg(
@@ -380,6 +381,8 @@ def market_summary(
         F.avg(F.round(F.col("ss_solar_uigf") - F.col("ss_solar_clearedmw"), 4)).alias("curtailment_solar_total"),
         F.avg(F.round(F.col("ss_wind_uigf") - F.col("ss_wind_clearedmw"), 4)).alias("curtailment_wind_total"),
     )
+    base = stage(base)
+    regions = base.select(*keys).distinct()
     full = gapfill(base, keys, "interval", FIVE, early, end)
     full = locf(full, keys, "interval", ["price_dispatch_first", "price_trading"], chunk=chunk)
 
@@ -392,7 +395,7 @@ def market_summary(
         .groupBy(bucketed, "network_region")
         .agg(F.round(F.avg("generated"), 9).alias("rooftop_solar"))
     )
-    known = rooftop.filter(F.col("rooftop_solar").isNotNull())
+    known = stage(rooftop.filter(F.col("rooftop_solar").isNotNull()))
     rooftop = spread(known, ["network_region"], "interval", FIVE, end, line=["rooftop_solar"], tail=TAIL, chunk=chunk)
     rooftop = rooftop.withColumn("network_id", F.lit("NEM"))
 
@@ -400,7 +403,7 @@ def market_summary(
     green = green.join(regions.select("network_id").distinct(), "network_id", "left_semi")
     green = green.join(regions.select("network_region").distinct(), "network_region", "left_semi")
     # Sums are never NULL, so consecutive rows are the anchors of both lines.
-    green = spread(green, keys, "interval", FIVE, line=["renewable_generation", "storage_generation"], chunk=chunk)
+    green = spread(stage(green), keys, "interval", FIVE, line=["renewable_generation", "storage_generation"], chunk=chunk)
 
     west = units.filter(F.col("network_id") == "WEM").select("unit_code")
     total = (
@@ -408,7 +411,7 @@ def market_summary(
         .groupBy(bucketed, F.lit("WEM").alias("network_id"))
         .agg(_exact(F.sum("generated")).alias("total_generation"))
     )
-    known = total.filter(F.col("total_generation").isNotNull())
+    known = stage(total.filter(F.col("total_generation").isNotNull()))
     total = spread(known, ["network_id"], "interval", FIVE, line=["total_generation"], chunk=chunk)
 
     on = ["interval", *keys]

@@ -8,20 +8,37 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattframe.functions.timebucket import epoch_seconds, step_expr, step_lit, ts_lit
+from wattframe.functions.timebucket import check_span, epoch_seconds, step_expr, step_lit, ts_lit
 from wattframe.operators.ordered import _known, bounds, last_known, linear_between, next_row, null_safe_join
 
 TAIL = timedelta(minutes=25)
 LOOKBACK = timedelta(minutes=35)
 
 
-def grid(df: DataFrame, keys: Sequence[str], ts: str, step, start, end) -> DataFrame:
-    """Every step in [start, end) for every key of `df`."""
-    step = step_lit(step) if isinstance(step, timedelta) else step
-    first, stop = ts_lit(start), ts_lit(end)
-    steps = F.filter(F.sequence(first, stop, step), lambda t: t < stop)
+def grid(df: DataFrame, keys: Sequence[str], ts: str, step: timedelta, start: datetime | str, end: datetime | str) -> DataFrame:
+    """Every step in [start, end) for every key of `df`.
+
+    Steps are numbered and laid out in years, days and steps, so no array is longer than about a year of days,
+    and the days of a key are spread over tasks before their steps are made.
+    """
+    first, stop = (datetime.fromisoformat(t) if isinstance(t, str) else t for t in (start, end))
+    steps = max(0, -((first - stop) // step))
+    day = max(1, timedelta(days=1) // step)
+    year = 366 * day
+
+    def numbers(lo: Column, hi: Column, by: int) -> Column:
+        return F.explode(F.sequence(lo, hi - 1, F.lit(by).cast("long")))
+
+    def until(lo: str, many: int) -> Column:
+        return F.least(F.col(lo) + many, F.lit(steps).cast("long"))
+
     base = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
-    return base.select(*keys, F.explode(steps).alias(ts))
+    if steps == 0:
+        return base.select(*keys, ts_lit(first).alias(ts)).limit(0)
+    years = base.withColumn("_year", numbers(F.lit(0).cast("long"), F.lit(steps).cast("long"), year))
+    days = years.withColumn("_day", numbers(F.col("_year"), until("_year", year), day)).repartition(*keys, "_day")
+    numbered = days.withColumn("_step", numbers(F.col("_day"), until("_day", day), 1))
+    return numbered.select(*keys, (ts_lit(first) + step_lit(step) * F.col("_step")).alias(ts))
 
 
 def gapfill(
@@ -184,9 +201,10 @@ def dense_series(df: DataFrame, keys: Sequence[str], ts: str, value: str, interv
 
     Point i stands for start + i * interval. A series with any point off the
     grid keeps its own points instead. The array is as long as the series'
-    span, so ask for a window whose length `check_range` allows.
+    span, so a span beyond what `check_span` allows for the interval is an error.
     """
     ends = df.groupBy(*keys).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    ends = ends.withColumn("_hi", check_span(interval, F.col("_lo"), F.col("_hi")))
     steps = F.explode(F.sequence("_lo", "_hi", step_expr(interval))).alias(ts)
     spine = ends.select(*keys, steps).withColumn("_grid", F.lit(True))
     on = [*keys, ts]

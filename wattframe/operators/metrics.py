@@ -14,8 +14,9 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattframe.functions.lookups import NETWORKS
-from wattframe.functions.timebucket import bucket, ts_lit
+from wattframe.functions.lookups import NETWORKS, Network
+from wattframe.functions.timebucket import bucket, check_range, default_range, ts_lit
+from wattframe.operators.gapfill import cap_to_settled
 
 
 @dataclass(frozen=True)
@@ -131,11 +132,12 @@ def timeseries(
     filters: dict[str, str | Sequence[str]] | None = None,
     network: str = "NEM",
     kind: str = "data",
+    networks: dict[str, Network] = NETWORKS,
 ) -> DataFrame:
     """Metrics per bucket and group over [start, end).
 
     `kind` is "data" (unit fact), "facility" (unit fact, one series per unit)
-    or "market" (market fact). A logical network covers all its feeds.
+    or "market" (market fact). A logical network covers all its feeds in `networks`.
     """
     plans = REGISTRIES[kind]()
     unknown = [m for m in metrics if m not in plans]
@@ -151,7 +153,7 @@ def timeseries(
         keys = ["facility_code", "unit_code", *keys]
 
     rows = df.filter(
-        F.col("network_id").isin(*NETWORKS[network].codes)
+        F.col("network_id").isin(*networks[network].codes)
         & (F.col("interval") >= ts_lit(start))
         & (F.col("interval") < ts_lit(end))
     )
@@ -175,3 +177,23 @@ def timeseries(
             *metrics,
         )
     )
+
+
+def request(
+    df: DataFrame,
+    metrics: Sequence[str],
+    interval: str,
+    now: datetime,
+    start: datetime | None = None,
+    end: datetime | None = None,
+    **options,
+) -> DataFrame:
+    """`timeseries` as it is asked for from outside: a checked range, without what is still settling.
+
+    An end that is left out is the clock, a start half the allowed span before it; more than the allowed span
+    is an error. `options` are those of `timeseries`.
+    """
+    half, _ = default_range(interval, end or now)
+    start, end = start or half, end or now
+    check_range(interval, start, end)
+    return timeseries(cap_to_settled(df, "interval", end, now), metrics, interval, start, end, **options)

@@ -10,10 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattframe.functions.lookups import NETWORKS, REGION_NAMES, lookup
+from wattframe.functions.lookups import NETWORKS, REGION_NAMES, Network, lookup
 from wattframe.functions.timebucket import bucket, epoch_seconds, period_bounds, season_name, ts_lit
 from wattframe.operators.ordered import lag_row, running_extremes
 from wattframe.operators.versioning import latest_per_id, upsert
+from wattframe.session import stage
 
 PERIOD_BUCKET = {
     "day": "1d",
@@ -230,9 +231,9 @@ def _grouped(df: DataFrame, groupings: Sequence[str], fueltech: Column | None) -
 _SERIES = ("grouping", "network_region", "fueltech_id")
 
 
-def generation_base(fueltech: DataFrame, renewable: DataFrame, network: str = "NEM") -> DataFrame:
+def generation_base(fueltech: DataFrame, renewable: DataFrame, network: str = "NEM", networks: dict[str, Network] = NETWORKS) -> DataFrame:
     """Sums per interval for the six generation groupings."""
-    codes = NETWORKS[network].codes
+    codes = networks[network].codes
     measures = ("generated", "energy", "emissions")
 
     def part(df: DataFrame, groupings: Sequence[str], tech: Column | None) -> DataFrame:
@@ -248,9 +249,9 @@ def generation_base(fueltech: DataFrame, renewable: DataFrame, network: str = "N
     return both.filter(~grouped_by_tech | F.col("fueltech_id").isin(*RECORD_FUELTECHS))
 
 
-def market_base(summary: DataFrame, network: str = "NEM") -> DataFrame:
+def market_base(summary: DataFrame, network: str = "NEM", networks: dict[str, Network] = NETWORKS) -> DataFrame:
     """Means and sums per interval for network and region."""
-    codes = NETWORKS[network].codes
+    codes = networks[network].codes
     rows = summary.filter(F.col("network_id").isin(*codes)).select(
         "interval", "network_region", "price", "demand", "demand_energy", "generation_renewable", "demand_gross"
     )
@@ -296,10 +297,14 @@ def _periods(df: DataFrame, sums: Sequence[str], periods: Sequence[str]) -> Data
     )
 
 
-def record_base(fueltech: DataFrame, renewable: DataFrame, summary: DataFrame, network: str = "NEM", periods: Sequence[str] = _LONG) -> DataFrame:
-    """Every (metric, period, grouping) series in one long frame."""
-    generation = generation_base(fueltech, renewable, network)
-    market = market_base(summary, network)
+def record_base(fueltech: DataFrame, renewable: DataFrame, summary: DataFrame, network: str = "NEM", periods: Sequence[str] = _LONG, networks: dict[str, Network] = NETWORKS) -> DataFrame:
+    """Every (metric, period, grouping) series in one long frame.
+
+    The sums by interval are written once to the shared folder: intervals and periods both start from them, and record
+    detection reads the frame twice.
+    """
+    generation = stage(generation_base(fueltech, renewable, network, networks))
+    market = stage(market_base(summary, network, networks))
     one = F.lit(1)
     col = F.col
     spans = _periods(generation, ("energy", "emissions"), periods)

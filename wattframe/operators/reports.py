@@ -8,8 +8,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattframe.functions.lookups import NETWORKS, fueltech_group, is_renewable
-from wattframe.functions.timebucket import bucket, floor_minutes, snap_window, step_lit, ts_lit, week_start
+from wattframe.functions.lookups import NETWORKS, Network, fueltech_group, is_renewable
+from wattframe.functions.timebucket import bucket, check_span, floor_minutes, snap_window, step_lit, ts_lit, week_start
 from wattframe.operators.flows import flow_energy, flow_power
 from wattframe.operators.gapfill import gapfill, interpolate
 from wattframe.operators.history import live_months
@@ -38,9 +38,9 @@ def pick_rollup(interval: str, fine: DataFrame, daily: DataFrame) -> DataFrame:
     return fine
 
 
-def _network_filter(network: str) -> Column:
+def _network_filter(network: str, networks: dict[str, Network] = NETWORKS) -> Column:
     """All feeds of a network, with western rooftop kept to its region."""
-    codes = [c for c in NETWORKS[network].codes if c != "APVI"]
+    codes = [c for c in networks[network].codes if c != "APVI"]
     condition = F.col("network_id").isin(*codes)
     if network == "WEM":
         condition = condition | ((F.col("network_id") == "APVI") & (F.col("network_region") == "WEM"))
@@ -241,17 +241,17 @@ def _mix(telemetry, market, units, grain: str, measure: str, demand_scale: float
     )
 
 
-def daily_mix(telemetry: DataFrame, market: DataFrame, units: DataFrame, start, end, network: str = "NEM") -> DataFrame:
+def daily_mix(telemetry: DataFrame, market: DataFrame, units: DataFrame, start, end, network: str = "NEM", networks: dict[str, Network] = NETWORKS) -> DataFrame:
     """Energy share per technology group and day, with the day's totals."""
     inside = (F.col("interval") >= ts_lit(start)) & (F.col("interval") < ts_lit(end))
-    out = _mix(telemetry.filter(inside), market.filter(inside), units, "1d", "energy", 1.0, (network, "AEMO_ROOFTOP"), (network,))
+    out = _mix(telemetry.filter(inside), market.filter(inside), units, "1d", "energy", 1.0, networks[network].codes, (network,))
     return out.withColumnRenamed("at", "trading_day")
 
 
-def time_of_day_mix(telemetry: DataFrame, market: DataFrame, units: DataFrame, start, end, network: str = "NEM") -> DataFrame:
+def time_of_day_mix(telemetry: DataFrame, market: DataFrame, units: DataFrame, start, end, network: str = "NEM", networks: dict[str, Network] = NETWORKS) -> DataFrame:
     """Power share per technology group and interval."""
     inside = (F.col("interval") >= ts_lit(start)) & (F.col("interval") < ts_lit(end))
-    codes = NETWORKS[network].codes
+    codes = networks[network].codes
     out = _mix(telemetry.filter(inside), market.filter(inside), units, "5m", "generated", 1 / 12, codes, codes)
     return out.withColumnRenamed("at", "interval")
 
@@ -276,10 +276,10 @@ def _change(now: Column, before: Column) -> Column:
     return F.when(before > 0, (now - before) / before * 100)
 
 
-def weekly_mix(unit_daily: DataFrame, start: datetime, network: str = "NEM") -> DataFrame:
+def weekly_mix(unit_daily: DataFrame, start: datetime, network: str = "NEM", networks: dict[str, Network] = NETWORKS) -> DataFrame:
     """Monday-to-Sunday mix in GWh with shares and change on the week before."""
     rows = _two_weeks(unit_daily, start).filter(
-        F.col("network_id").isin(*NETWORKS[network].codes)
+        F.col("network_id").isin(*networks[network].codes)
         & F.col("fueltech_group_id").isNotNull()
         & ~F.col("fueltech_group_id").isin(*WEEKLY_EXCLUDED)
     )
@@ -310,9 +310,9 @@ def weekly_mix(unit_daily: DataFrame, start: datetime, network: str = "NEM") ->
     )
 
 
-def weekly_price(market_daily: DataFrame, start: datetime, network: str = "NEM") -> DataFrame:
+def weekly_price(market_daily: DataFrame, start: datetime, network: str = "NEM", networks: dict[str, Network] = NETWORKS) -> DataFrame:
     """Demand and mean price per region, this week and the one before."""
-    rows = _two_weeks(market_daily, start).filter(F.col("network_id").isin(*NETWORKS[network].codes))
+    rows = _two_weeks(market_daily, start).filter(F.col("network_id").isin(*networks[network].codes))
 
     def price(when: Column) -> Column:
         total = F.sum(F.when(when, F.col("price_sum")))
@@ -326,10 +326,10 @@ def weekly_price(market_daily: DataFrame, start: datetime, network: str = "NEM")
     )
 
 
-def weekly_headline(unit_daily: DataFrame, market_daily: DataFrame, start: datetime, network: str = "NEM") -> DataFrame:
+def weekly_headline(unit_daily: DataFrame, market_daily: DataFrame, start: datetime, network: str = "NEM", networks: dict[str, Network] = NETWORKS) -> DataFrame:
     """One row: energy, renewable share and mean price against the week before."""
     rows = _two_weeks(unit_daily, start).filter(
-        F.col("network_id").isin(*NETWORKS[network].codes)
+        F.col("network_id").isin(*networks[network].codes)
         & F.col("fueltech_group_id").isNotNull()
         & ~F.col("fueltech_group_id").isin(*WEEKLY_EXCLUDED)
     )
@@ -651,7 +651,7 @@ def to_series(df: DataFrame, metrics: Sequence[str], keys: Sequence[str], interv
     """One row per metric and group: ordered (time, value) points.
 
     Gaps inside a series become explicit NULL points. The points of one series
-    are the buckets of one request, which `check_range` bounds.
+    are the buckets of one request: a span beyond what `check_span` allows is an error.
     """
     from wattframe.functions.clean import series_key
     from wattframe.operators.gapfill import fill_interior
@@ -665,6 +665,7 @@ def to_series(df: DataFrame, metrics: Sequence[str], keys: Sequence[str], interv
     ends = df.unpivot([*keys, "interval"], list(metrics), "metric", "value").groupBy("metric").agg(
         F.min("interval").alias("date_start"), F.max("interval").alias("date_end")
     )
+    ends = ends.withColumn("date_end", check_span(interval, F.col("date_start"), F.col("date_end")))
     name = F.concat_ws("_", "metric", series_key(keys))
     hours, minutes = divmod(NETWORKS[network].offset_minutes, 60)
     return series.join(ends, "metric").select(

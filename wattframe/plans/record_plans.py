@@ -365,13 +365,45 @@ def _spaced(t: Tables):
     return Q.debounce(rows).select("record_id", "interval")
 
 
-@query("r12_check_period")
+# The day before the clock is the one period that has both ended and data; the interval opens at the clock.
+_CHECK = f"""{_FOUND},
+    state AS (SELECT record_id, max(interval) AS pi, arg_max(value, interval) AS pv FROM found WHERE interval < TIMESTAMP '2024-01-26' GROUP BY 1),
+    due AS (SELECT *, round(value, 6) AS raw, CASE WHEN metric = 'renewable_proportion' THEN 2 ELSE 0 END AS digits,
+            CASE metric WHEN 'energy' THEN 1000 WHEN 'emissions' THEN 1000 WHEN 'renewable_proportion' THEN 0 WHEN 'price' THEN 0 ELSE 100 END AS floor
+        FROM base WHERE value IS NOT NULL AND ((period = 'interval' AND interval >= TIMESTAMP '2024-01-30 12:00:00'
+                AND interval < TIMESTAMP '2024-01-30 12:05:00')
+            OR (period = 'day' AND interval = TIMESTAMP '2024-01-29'))),
+    turned AS (SELECT *, CASE digits WHEN 2 THEN round_even(raw, 2) ELSE round_even(raw, 0) END AS rounded FROM due),
+    sides AS (SELECT *, 'high' AS aggregate FROM turned WHERE rounded > floor
+        UNION ALL SELECT *, 'low' FROM turned WHERE interval_count >= 1 AND (raw > 0 OR metric = 'price')),
+    shaped AS (SELECT interval, network_region, period, aggregate, raw, rounded,
+            CASE WHEN metric = 'demand' THEN 'demand' ELSE fueltech_id END AS fueltech_id,
+            CASE WHEN metric = 'demand' AND period = 'interval' THEN 'power' WHEN metric = 'demand' THEN 'energy' ELSE metric END AS metric FROM sides),
+    marked AS (SELECT *, lower(concat_ws('.', 'au', 'NEM', network_region, fueltech_id,
+            CASE WHEN metric = 'renewable_proportion' THEN 'renewables.proportion' ELSE metric END, period, aggregate)) AS record_id FROM shaped),
+    faced AS (SELECT m.*, pi, pv, CASE WHEN metric = 'renewable_proportion' THEN round_even(rounded, 2) ELSE round_even(rounded, 0) END AS n,
+            CASE WHEN metric = 'renewable_proportion' THEN round_even(pv, 2) ELSE round_even(pv, 0) END AS b
+        FROM marked m LEFT JOIN state USING (record_id))"""
+
+
+@query(
+    "r12_check_period",
+    f"""WITH {_CHECK}
+        SELECT record_id, interval, aggregate, metric, period, round(rounded, 4) AS value,
+            sha256(record_id || '|' || strftime(pi, '%Y-%m-%d %H:%M:%S')) AS previous_instance_id,
+            CASE WHEN abs((raw - pv) / nullif(abs(pv), 0) * 100) < 9999 AND abs((raw - pv) / nullif(abs(pv), 0) * 100) > 0.01
+                THEN {r2("(raw - pv) / nullif(abs(pv), 0) * 100")} END AS pct_change
+        FROM faced WHERE pi IS NULL OR (interval > pi AND rounded <> 0 AND CASE WHEN aggregate = 'high' THEN n > b ELSE n < b END
+            AND (period <> 'interval' OR epoch(interval) - epoch(pi) >= 3000))""",
+)
 def _check(t: Tables):
     all_found = stored(t)
     now = datetime(2024, 1, 30, 12)
     state = Q.current_state(all_found.filter(F.col("interval") < F.lit("2024-01-26").cast("timestamp_ntz")))
     lenient = {k: 1 for k in Q.THRESHOLDS}
-    return Q.check_period(base(t), state, now, completeness=lenient)
+    steady = base(t).withColumn("value", F.round("value", 6))
+    new = Q.check_period(steady, state, now, completeness=lenient)
+    return new.select("record_id", "interval", "aggregate", "metric", "period", "value", "previous_instance_id", "pct_change")
 
 
 @query(
@@ -421,17 +453,9 @@ _CASES = """cases AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 4
             CASE WHEN l_linenumber % 2 = 0 THEN 'high' ELSE 'low' END AS aggregate, l_shipdate::TIMESTAMP AS interval FROM lineitem)"""
 
 
-@query(
-    "r15_significance",
-    f"""WITH {_CASES}, s AS (SELECT *, aggregate = 'high' AS hi, CASE WHEN network_region IS NULL THEN 10 ELSE 9 END AS top,
-            round((CASE period WHEN 'interval' THEN 1 WHEN 'day' THEN 9 WHEN 'month' THEN 9 WHEN 'quarter' THEN 5 WHEN 'season' THEN 5
-                WHEN 'year' THEN 10 WHEN 'financial_year' THEN 4 ELSE 2 END) * 0.3
-            + (CASE metric WHEN 'power' THEN 1 WHEN 'energy' THEN 9 WHEN 'emissions' THEN 9 WHEN 'price' THEN 6 ELSE 10 END) * 0.25
-            + (CASE network_id WHEN 'NEM' THEN 10 ELSE 5 END) * 0.1 + (CASE WHEN network_region IS NULL THEN 10 ELSE 5 END) * 0.15
-            + (CASE WHEN fueltech_id IS NULL THEN 0 WHEN fueltech_id IN ('solar', 'wind', 'hydro', 'battery_charging', 'battery_discharging')
-                THEN CASE WHEN aggregate = 'high' THEN 10 ELSE 3 END ELSE 5 END) * 0.1
-            + (CASE WHEN aggregate = 'high' THEN 10 ELSE 5 END) * 0.1, 6)::DOUBLE AS total FROM cases)
-        SELECT l_orderkey, l_linenumber, (CASE
+def score_sql(source: str) -> str:
+    """`source` with the columns a record is scored by, and its significance."""
+    return f"""SELECT * EXCLUDE (hi, top, total), (CASE
             WHEN fueltech_id = 'battery_charging' THEN CASE WHEN hi THEN top - 2 ELSE 1 END
             WHEN metric IN ('power', 'energy') AND period IN ('interval', 'day', 'quarter', 'year') AND hi
                 AND fueltech_id IN ('solar', 'wind', 'renewables', 'battery_discharging') THEN top
@@ -440,8 +464,21 @@ _CASES = """cases AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 4
             WHEN fueltech_id = 'demand' AND period IN ('interval', 'day') AND hi THEN top
             WHEN metric = 'renewable_proportion' AND period IN ('interval', 'day', '7d') THEN CASE WHEN hi THEN top ELSE top - 5 END
             WHEN fueltech_id = 'renewables' AND metric = 'emissions' THEN 0
-            WHEN NOT hi AND fueltech_id IN ('solar', 'battery_discharging', 'hydro') THEN 1
-            WHEN metric = 'price' THEN 1 ELSE round_even(total, 0) END)::INT AS significance FROM s""",
+            WHEN NOT hi AND fueltech_id IN ('distillate', 'solar', 'battery_discharging', 'hydro', 'pumps') THEN 1
+            WHEN metric = 'price' THEN 1 ELSE round_even(total, 0) END)::INT AS significance
+        FROM (SELECT *, aggregate = 'high' AS hi, CASE WHEN network_region IS NULL THEN 10 ELSE 9 END AS top,
+            round((CASE period WHEN 'interval' THEN 1 WHEN 'day' THEN 9 WHEN 'month' THEN 9 WHEN 'quarter' THEN 5 WHEN 'season' THEN 5
+                WHEN 'year' THEN 10 WHEN 'financial_year' THEN 4 ELSE 2 END) * 0.3
+            + (CASE metric WHEN 'power' THEN 1 WHEN 'energy' THEN 9 WHEN 'emissions' THEN 9 WHEN 'price' THEN 6 ELSE 10 END) * 0.25
+            + (CASE network_id WHEN 'NEM' THEN 10 ELSE 5 END) * 0.1 + (CASE WHEN network_region IS NULL THEN 10 ELSE 5 END) * 0.15
+            + (CASE WHEN fueltech_id IS NULL THEN 0 WHEN fueltech_id IN ('solar', 'wind', 'hydro', 'bioenergy', 'pumps', 'battery_charging',
+                'battery_discharging') THEN CASE WHEN aggregate = 'high' THEN 10 ELSE 3 END ELSE 5 END) * 0.1
+            + (CASE WHEN aggregate = 'high' THEN 10 ELSE 5 END) * 0.1, 6)::DOUBLE AS total FROM {source})"""
+
+
+@query(
+    "r15_significance",
+    f"""WITH {_CASES} SELECT l_orderkey, l_linenumber, significance FROM ({score_sql("cases")})""",
 )
 def _significance(t: Tables):
     parts = [F.col(c) for c in ("network_id", "network_region", "fueltech_id", "metric", "period", "aggregate")]
@@ -527,9 +564,20 @@ def _gap(t: Tables):
     return Q.gap_start(found(t), END + timedelta(days=20))
 
 
-@query("r20_highlights")
+_SCORED = f"""{_FOUND}, scored AS ({score_sql("(SELECT *, 'NEM' AS network_id FROM found)")})"""
+
+
+@query(
+    "r20_highlights",
+    f"""WITH {_SCORED},
+        week AS (SELECT record_id, interval, aggregate, metric, period, value, significance FROM scored
+            WHERE interval BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-08' AND significance >= 8
+                AND NOT (aggregate = 'low' AND fueltech_id IS NOT DISTINCT FROM 'demand'))
+        SELECT * FROM week WHERE significance >= 9 OR (SELECT count(*) FROM week WHERE significance >= 9) < 3""",
+)
 def _highlights(t: Tables):
-    return Q.highlights(stored(t), datetime(2024, 1, 1), datetime(2024, 1, 8), limit=20)
+    told = Q.highlights(stored(t), datetime(2024, 1, 1), datetime(2024, 1, 8))
+    return told.select("record_id", "interval", "aggregate", "metric", "period", "value", "significance")
 
 
 @query(

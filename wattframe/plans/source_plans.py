@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattframe.functions.timebucket import floor_minutes
@@ -56,17 +58,23 @@ def _scada(t: Tables):
 
 @query(
     "s1_report_tables",
-    """SELECT 'dispatch_price' AS name, count(*) AS records, round(sum(value), 2) AS total, 'NSW1, mainland' AS region
-        FROM events WHERE event_id % 20 >= 10 AND event_id % 20 NOT IN (15, 16)""",
+    """SELECT 'dispatch_price' AS name, event_id, value, 'NSW1, mainland' AS code
+        FROM events WHERE event_id % 20 >= 10 AND event_id % 20 NOT IN (15, 16)
+        UNION ALL SELECT 'dispatch_unit_scada', event_id, value, 'U-' || user_id FROM events WHERE event_id % 20 < 10""",
 )
 def _tables(t: Tables):
-    price = R.report_tables(R.parse_report(report_lines(t)))["dispatch_price"]
-    return price.agg(
-        F.lit("dispatch_price").alias("name"),
-        F.count(F.lit(1)).alias("records"),
-        F.round(F.sum(F.col("rrp").cast("double")), 2).alias("total"),
-        F.max("regionid").alias("region"),
-    )
+    found = R.report_tables(R.parse_report(report_lines(t)))
+    columns = {"dispatch_price": ("rrp", "regionid"), "dispatch_unit_scada": ("scadavalue", "duid")}
+    parts = [
+        rows.select(
+            F.lit(name).alias("name"),
+            F.floor(F.col("row") / 10).alias("event_id"),
+            F.col(columns[name][0]).cast("double").alias("value"),
+            F.col(columns[name][1]).alias("code"),
+        )
+        for name, rows in sorted(found.items())
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from wattframe.functions.clean import clean_code
 from wattframe.functions.timebucket import NTZ, col
 from wattframe.operators.ordered import last_known
+from wattframe.session import saved
 
 # Fields holding unit codes.
 CODE_FIELDS = ("duid",)
@@ -160,7 +161,11 @@ def table_layouts(records: DataFrame) -> list[tuple[str, tuple[str, ...]]]:
 
 
 def report_tables(records: DataFrame) -> dict[str, DataFrame]:
-    """Every table found; layouts of one table are put together by field name."""
+    """Every table found; layouts of one table are put together by field name.
+
+    Reports are parsed once: records go to the shared folder, a partition for each table, and each table reads its own.
+    """
+    records = saved(records, "reports", "table")
     out: dict[str, DataFrame] = {}
     for name, fields in table_layouts(records):
         part = report_table(records, name, fields)
