@@ -133,4 +133,11 @@ def test_groups_of_odd_rows(odd, empty):
     assert len(got) == 9 and S.near_groups(empty).count() == 0
     assert {r.component_id for r in got if r.doc_id in (1, 2, 3)} == {1} and {r.component_id for r in got if r.doc_id in (4, 5)} == {4}
     kept = S.keep_one(odd)
-    assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == [1, 4, 6, 7]
+    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {1, 4, 6, 7, None} and kept.count() == 5
+
+
+def test_every_group_keeps_a_document(documents):
+    far, other = "alpha beta gamma delta " * 9, "quite another text of words " * 9
+    docs = documents((None, far, "a"), (None, far, "a"), (5, other, "a"), (5, "one more, unlike the rest " * 9, "a"), (8, other, "b"))
+    kept = S.keep_one(docs).collect()
+    assert sorted(r.text[:5] for r in kept) == ["alpha", "one m", "quite"] and [r.doc_id for r in kept].count(5) == 2

@@ -222,6 +222,16 @@ def near_links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     return links.unionByName(large).distinct()
 
 
+def _groups(marked: DataFrame) -> DataFrame:
+    """(fp, root, component_id) for each fingerprint of `marked` (doc_id, fp); the root names a group also without ids."""
+    nodes = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = components(near_links(nodes))
+    placed = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    linked = placed.where(F.col("root").isNotNull())
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    return linked.join(least, "root").select("fp", "root", "component_id")
+
+
 def near_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row: groups of documents linked at three bits or fewer.
 
@@ -230,21 +240,21 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     part but is no one's component_id, which is null only in a group without ids. Repeated rows each keep a row.
     """
     marked = stage(fingerprints(docs.select("doc_id", "text"), shingle).drop("text"))
-    nodes = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(near_links(nodes))
-    placed = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    linked = placed.where(F.col("root").isNotNull())
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = linked.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select(
+    return marked.join(_groups(marked), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """Documents of which each group keeps the one with the smallest doc_id, and one row of those that repeat it.
+    """Documents of which each group keeps one: the smallest doc_id, null ids last, then the least hash of the text.
 
-    Rows without an id can't be told apart and go.
+    Of rows equal in doc_id and text one stays. Every group keeps a document, also one without ids and one whose
+    id another group uses too.
     """
-    kept = near_groups(docs, shingle).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    marked = stage(fingerprints(docs.select("doc_id", "text"), shingle).select("doc_id", "fp", F.xxhash64("text").alias("_hash")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_last"), "doc_id", "_hash"))
+    chosen = marked.join(_groups(marked).select("fp", "root"), "fp").groupBy("root").agg(first.alias("_first"))
+    chosen = chosen.select(F.col("_first.doc_id").alias("_id"), F.col("_first._hash").alias("_of")).distinct()
+    hashed = docs.withColumn("_hash", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of"))
+    return hashed.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
