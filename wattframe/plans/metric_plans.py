@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from wattframe.functions.lookups import NETWORKS
 from wattframe.operators import metrics as M
 from wattframe.operators import rollups as R
 from wattframe.plans.catalog import query
@@ -104,6 +106,27 @@ def _network(t: Tables):
     return M.timeseries(t.ui(), FOUR, "5m", START, END)
 
 
+@query(
+    "x11_request_4d",
+    series_sql(
+        "x_ui", FOUR, "5m",
+        where="""interval >= TIMESTAMP '2024-01-27' AND interval < TIMESTAMP '2024-01-31'
+            AND interval < (SELECT max(interval) FROM x_ui WHERE interval > TIMESTAMP '2024-01-24')""",
+    ),
+)
+def _request(t: Tables):
+    return M.request(t.ui(), FOUR, "5m", END)
+
+
+@query("n18_expand_network_two_rooftops", series_sql("x_ui", FOUR, "1d", ["network_region", "fueltech_id"]))
+def _two_rooftops(t: Tables):
+    """Half of the rooftop rows come from a second feed that the caller's registry names."""
+    east = replace(NETWORKS["NEM"], feeds=("AEMO_ROOFTOP", "ROOFTOP_HISTORY"))
+    older = (F.col("network_id") == "AEMO_ROOFTOP") & (F.dayofmonth("interval") <= 15)
+    rows = t.ui().withColumn("network_id", F.when(older, "ROOFTOP_HISTORY").otherwise(F.col("network_id")))
+    return M.timeseries(rows, FOUR, "1d", START, END, ["region", "fueltech"], networks={**NETWORKS, "NEM": east})
+
+
 @query("a1_network_week", series_sql("x_ui", FOUR, "7d"))
 def _week(t: Tables):
     return M.timeseries(t.ui(), FOUR, "7d", START, END)

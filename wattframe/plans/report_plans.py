@@ -670,15 +670,12 @@ def _get(t: Tables):
     return P.get_series(P.append_series(*_sets(t)), "SA1.energy")
 
 
-def _digest(df):
-    """Per series: points, filled points, ends and total."""
-    return df.groupBy("series_id").agg(
-        F.count(F.lit(1)).alias("points"),
-        F.count("value").alias("filled"),
-        F.min("interval").alias("start"),
-        F.max("interval").alias("last"),
-        F.round(F.sum("value"), 4).alias("total"),
-    )
+_POINTS = f"SELECT series_id, interval, {r4('round(value, 9)')} AS value FROM {{}}"
+
+
+def _points(df):
+    """Every point of every series."""
+    return df.select("series_id", "interval", F.round(F.round("value", 9), 4).alias("value"))
 
 
 def _edges(t: Tables):
@@ -692,9 +689,65 @@ def _power_set(t: Tables, region: str):
     )
 
 
-@query("a39_power_bundle")
+def power_set_sql(region: str) -> str:
+    """The series of the power bundle of an eastern region as a chain of CTEs ending in pw_set."""
+    pre = f"au.nem.{region.lower()}."
+    span = "interval BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-31'"
+    grid_ = "range(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 5 MINUTES) AS r(interval)"
+
+    def rows(series: str, table: str, value: str) -> str:
+        return f"SELECT '{pre}{series}' AS series_id, interval, {value} AS value FROM pw_{table}"
+
+    def lined(name: str) -> str:
+        return f"""pw_{name}_lined AS (SELECT interval, {line("generated", "")} AS generated FROM (
+            SELECT interval, generated FROM (SELECT r.interval AS interval FROM {grid_} WHERE EXISTS (SELECT 1 FROM pw_{name})
+                UNION SELECT interval FROM pw_{name}) LEFT JOIN pw_{name} USING (interval)))"""
+
+    parts = [
+        f"SELECT '{pre}' || fueltech_code || '.{s}' AS series_id, interval, {v} AS value FROM pw_techs"
+        for s, v in (("power", "fueltech_power"), ("emissions", "fueltech_emissions"), ("emissions_factor", "fueltech_emissions_intensity"))
+    ]
+    parts += [rows("solar_rooftop.power", "roof_lined", "generated"), rows("solar_rooftop.power_forecast", "ahead_lined", "generated")]
+    parts += [
+        rows(series, "market", value)
+        for series, value in (
+            ("price", "price"),
+            ("demand", "demand"),
+            ("demand_total", "demand_total"),
+            ("curtailment", "curtailment_total"),
+            ("curtailment_solar_utility", "curtailment_solar_total"),
+            ("curtailment_wind", "curtailment_wind_total"),
+        )
+    ]
+    for way, e, m in (("imports", "ei", "mi"), ("exports", "ee", "me")):
+        parts += [
+            rows(f"{way}.power", "flows", f"{e} * 12"),
+            rows(f"{way}.emissions", "flows", m),
+            rows(f"{way}.emissions_factor", "flows", f"CASE WHEN {e} > 0 THEN {m} / {e} ELSE 0 END"),
+        ]
+    parts.append(rows("weather.w1.temperature", "weather", "temp_air"))
+    own = f"u.network_id = 'AEMO_ROOFTOP' AND u.network_region = '{region}' AND {span}"
+    return f"""{_WEATHER}, pw_techs AS ({_power_sql("5m", f"{_NEM} AND network_region = '{region}'")}),
+    pw_best AS (SELECT interval, max(CASE WHEN NOT is_forecast THEN generated END) AS ga, max(CASE WHEN is_forecast THEN generated END) AS gf
+        FROM x_telemetry t JOIN x_units u USING (unit_code) WHERE {own} GROUP BY 1),
+    pw_roof AS (SELECT interval, round(coalesce(ga, gf), 6) AS generated FROM pw_best),
+    {lined("roof")},
+    pw_ahead AS (SELECT interval, round(sum(generated), 6) AS generated FROM x_telemetry t JOIN x_units u USING (unit_code)
+        WHERE is_forecast AND {own} GROUP BY 1),
+    {lined("ahead")},
+    pw_market AS (SELECT * FROM x_ms WHERE network_id = 'NEM' AND network_region = '{region}' AND {span}),
+    pw_flows AS (SELECT interval, coalesce(energy_imports, 0) AS ei, coalesce(energy_exports, 0) AS ee,
+        coalesce(emissions_imports, 0) AS mi, coalesce(emissions_exports, 0) AS me FROM pw_market),
+    pw_seen AS (SELECT time_bucket(INTERVAL '30 minutes', observation_time) AS interval, avg(temp_air) AS temp_air FROM obs
+        WHERE station_id = 'W1' GROUP BY 1),
+    pw_weather AS (SELECT r.interval AS interval, temp_air FROM range(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 30 MINUTES)
+        AS r(interval) LEFT JOIN pw_seen USING (interval)),
+    pw_set AS ({" UNION ALL ".join(parts)})"""
+
+
+@query("a39_power_bundle", f"WITH {power_set_sql('NSW1')} {_POINTS.format('pw_set')}")
 def _power_bundle(t: Tables):
-    return _digest(_power_set(t, "NSW1"))
+    return _points(_power_set(t, "NSW1"))
 
 
 def _energy_set(t: Tables, region: str | None, interval: str, network: str = "NEM"):
@@ -755,37 +808,35 @@ _CPI = """SELECT 'au.cpi' AS series_id, o_orderdate::TIMESTAMP AS interval, o_to
             WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'"""
 ALL_REGIONS = {"NSW1": "NEM", "QLD1": "NEM", "SA1": "NEM", "TAS1": "NEM", "VIC1": "NEM", "WEM": "WEM"}
 _MONTHLY_SETS = ", ".join(energy_set_sql(f"set_{r.lower()}", r, "1M", n, False) for r, n in ALL_REGIONS.items())
-_DIGEST = """SELECT series_id, count(*) AS points, count(value) AS filled, min(interval) AS start, max(interval) AS last,
-        round(sum(value), 4) AS total FROM {} GROUP BY 1"""
 
 
-@query("a40_energy_bundle", f"WITH {_ENERGY_SET} {_DIGEST.format('energy_set')}")
+@query("a40_energy_bundle", f"WITH {_ENERGY_SET} {_POINTS.format('energy_set')}")
 def _energy_bundle(t: Tables):
-    return _digest(_energy_set(t, "QLD1", "1d"))
+    return _points(_energy_set(t, "QLD1", "1d"))
 
 
 @query(
     "a41_monthly_bundle",
     f"""WITH {_WEATHER}, {_MONTHLY_SETS}, every AS ({_CPI}
-            {" ".join(f"UNION ALL SELECT * FROM set_{r.lower()}" for r in ALL_REGIONS)}) {_DIGEST.format("every")}""",
+            {" ".join(f"UNION ALL SELECT * FROM set_{r.lower()}" for r in ALL_REGIONS)}) {_POINTS.format("every")}""",
 )
 def _monthly_bundle(t: Tables):
     fine, daily = _rollups(t)
     out = P.monthly_bundle(fine, daily, t.ms(), R.market_daily(t.ms()), stats(t), START, END, ALL_REGIONS)
-    return _digest(out)
+    return _points(out)
 
 
 @query(
     "a42_daily_bundle",
     f"""WITH {_ENERGY_SET}, full_set AS (SELECT * FROM energy_set UNION ALL {_CPI})
-        {_DIGEST.format("full_set")}""",
+        {_POINTS.format("full_set")}""",
 )
 def _daily_bundle(t: Tables):
     fine, daily = _rollups(t)
     out = P.daily_bundle(
         fine, daily, t.ms(), R.market_daily(t.ms()), weather(t), stats(t), START, END, "QLD1", stations=["W1"]
     )
-    return _digest(out)
+    return _points(out)
 
 
 _EDGE_SET = """ep AS (SELECT interval, interconnector_region_from || '->' || interconnector_region_to AS flow,
@@ -798,19 +849,19 @@ _EDGE_SET = """ep AS (SELECT interval, interconnector_region_from || '->' || int
 @query(
     "a43_flow_bundle_7d",
     f"""WITH {_EDGE_SET}, fs AS (SELECT 'au.nem.flows.' || flow AS series_id, interval, power AS value FROM eg
-            WHERE interval >= TIMESTAMP '2024-01-24') {_DIGEST.format("fs")}""",
+            WHERE interval >= TIMESTAMP '2024-01-24') {_POINTS.format("fs")}""",
 )
 def _flow_bundle(t: Tables):
-    return _digest(P.flow_bundle(_edges(t), END, 7))
+    return _points(P.flow_bundle(_edges(t), END, 7))
 
 
 @query(
     "a43_flow_bundle_30d",
     f"""WITH {_EDGE_SET}, fs AS (SELECT 'au.nem.flows.' || flow AS series_id, interval, power AS value FROM eg)
-        {_DIGEST.format("fs")}""",
+        {_POINTS.format("fs")}""",
 )
 def _flow_bundle_30(t: Tables):
-    return _digest(P.flow_bundle(_edges(t), END, 30))
+    return _points(P.flow_bundle(_edges(t), END, 30))
 
 
 @query(
@@ -819,10 +870,10 @@ def _flow_bundle_30(t: Tables):
         turned AS (SELECT CASE flow WHEN 'VIC1->NSW1' THEN 'NSW1->VIC1' WHEN 'VIC1->SA1' THEN 'SA1->VIC1' ELSE flow END AS flow, interval,
             CASE WHEN flow IN ('VIC1->NSW1', 'VIC1->SA1') THEN CASE WHEN power <> 0 THEN -power END ELSE power END AS power FROM eg),
         every AS (SELECT 'au.nem.flows.' || flow AS series_id, interval, power AS value FROM turned WHERE interval >= TIMESTAMP '2024-01-30'
-            UNION ALL SELECT * FROM set_vic UNION ALL SELECT * FROM set_wem) {_DIGEST.format("every")}""",
+            UNION ALL SELECT * FROM set_vic UNION ALL SELECT * FROM set_wem) {_POINTS.format("every")}""",
 )
 def _map(t: Tables):
-    return _digest(P.map_feed(_edges(t), [_energy_set(t, "VIC1", "1d"), _energy_set(t, "WEM", "1d", "WEM")], END))
+    return _points(P.map_feed(_edges(t), [_energy_set(t, "VIC1", "1d"), _energy_set(t, "WEM", "1d", "WEM")], END))
 
 
 @query(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from wattframe.functions.timebucket import bucket
 from wattframe.operators import rollups as R
+from wattframe.operators.enrich import unit_intervals
 from wattframe.plans.catalog import query
 from wattframe.plans.enrich_plans import _KEYED, _MARKET_FACT, _UNIT_FACT
 from wattframe.plans.metric_plans import MARKET_DAILY_SQL, rounded
@@ -73,6 +74,25 @@ def _unit_facts(t: Tables):
     return t.spark.read.parquet(f"{at}/fact").drop(J.DAY, "version")
 
 
+@query("st1_unit_facts_late_prices", f"WITH {_UNIT_FACT} SELECT * EXCLUDE (version) FROM unit_fact")
+def _late_prices(t: Tables):
+    """Prices as a second stream, of which half come when their readings are long there."""
+    at = _folder(t)
+    market = t.market()
+    late = F.hour("interval") % 2 == 0
+    for part in (market.filter(~late), market.filter(late)):
+        part.coalesce(1).write.mode("append").parquet(f"{at}/published")
+    published = J.stream_table(t.spark, f"{at}/published", market.schema, per_batch=1)
+    stream = LateTables(t.spark, t.dir, f"{at}/events").telemetry().select(*_CLEAN)
+
+    def fact(readings, known, first, last, number):
+        return unit_intervals(readings, known, t.units(), first, last, version=number, chunk="day", carry_in=True)
+
+    keys = ["interval", "network_id", "network_region"]
+    _done(J.start_facts_of_both(stream, published, keys, fact, f"{at}/store", f"{at}/market", f"{at}/fact", f"{at}/cp", trigger=ONCE))
+    return t.spark.read.parquet(f"{at}/fact").drop(J.DAY, "version")
+
+
 @query(
     "st1_market_facts",
     f"""WITH {_MARKET_FACT} SELECT * EXCLUDE (version), NULL::DOUBLE AS energy_imports, NULL::DOUBLE AS energy_exports,
@@ -136,13 +156,26 @@ def _upsert(t: Tables):
     return t.spark.read.parquet(f"{at}/out").drop(J.DAY)
 
 
-@query("st5_records")
+@query(
+    "st5_records",
+    """WITH RECURSIVE s AS (SELECT 'au.nem.' || lower(network_region) || '.demand.interval.high' AS record_id, interval, round(demand, 4) AS value,
+            round_even(round(demand, 4), 0) AS r FROM x_ms WHERE demand IS NOT NULL AND round(demand, 4) <> 0),
+        kept(record_id, since, r, before) AS (
+            SELECT record_id, min(interval), arg_min(r, interval), NULL::TIMESTAMP FROM s GROUP BY 1
+            UNION ALL
+            SELECT k.record_id, min(s.interval), arg_min(s.r, s.interval), k.since FROM kept k
+                JOIN s ON s.record_id = k.record_id AND s.interval >= k.since + INTERVAL 50 MINUTES AND s.r > k.r GROUP BY k.record_id, k.since, k.r)
+        SELECT record_id, interval, value, before AS previous_interval,
+            sha256(record_id || '|' || strftime(interval, '%Y-%m-%d %H:%M:%S')) AS instance_id,
+            sha256(record_id || '|' || strftime(before, '%Y-%m-%d %H:%M:%S')) AS previous_instance_id
+        FROM kept k JOIN s USING (record_id) WHERE s.interval = k.since""",
+)
 def _records(t: Tables):
     at = _folder(t)
     series = t.ms().select(
         F.concat(F.lit("au.nem."), F.lower("network_region"), F.lit(".demand.interval.high")).alias("record_id"),
         "interval",
-        F.col("demand").alias("value"),
+        F.round("demand", 4).alias("value"),
         F.lit("high").alias("aggregate"),
         F.lit("interval").alias("period"),
         F.lit(0).alias("digits"),

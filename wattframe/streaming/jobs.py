@@ -8,7 +8,7 @@ batch that is run again leaves the same tables.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +19,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from wattframe.functions.timebucket import ts_lit
 from wattframe.operators.enrich import market_summary, trapezoid_energy, unit_intervals
+from wattframe.operators.records import instance_id
 from wattframe.operators.versioning import dedupe_last, upsert
 
 DAY = "yyyymmdd"
@@ -76,8 +77,8 @@ def read_days(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 def write_days(df: DataFrame, path: str, ts: str) -> None:
     """Replaces exactly the days present in `df`."""
     tagged = df if DAY in df.columns else _tagged(df, ts)
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in tagged.columns if c != DAY]), F.lit(8))
-    tagged.repartition(F.col(DAY), spread).write.mode("overwrite").option(
+    # Rows of a day go together, and Spark splits a heavy day by its measured size.
+    tagged.hint("rebalance", F.col(DAY)).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy(DAY).parquet(path)
 
@@ -102,15 +103,30 @@ def touched_days(batch: DataFrame, store: str, ts: str = "interval") -> list[tup
     The first rows of a day are paired with or filled from the last ones of the day before. Only distinct days come to
     the driver, a number the calendar bounds, so one late row recomputes a day or two whatever lies between.
     """
-    own = {r[0] for r in batch.select(F.to_date(ts)).distinct().collect() if r[0] is not None}
-    after = {d + timedelta(days=1) for d in own} - own
-    if after:
-        known = read_days(batch.sparkSession, store, StructType(batch.schema.fields))
-        wanted = [int(d.strftime("%Y%m%d")) for d in after]
-        there = {r[0] for r in known.filter(F.col(DAY).isin(wanted)).select(DAY).distinct().collect()}
-        own |= {d for d in after if int(d.strftime("%Y%m%d")) in there}
+    own = batch_days(batch, ts)
+    return runs_of_days(own | days_after(own, batch.sparkSession, store, StructType(batch.schema.fields)))
+
+
+def batch_days(batch: DataFrame, ts: str = "interval") -> set[date]:
+    """The days a batch has rows of."""
+    return {r[0] for r in batch.select(F.to_date(ts)).distinct().collect() if r[0] is not None}
+
+
+def days_after(days: set[date], spark: SparkSession, store: str, schema: StructType) -> set[date]:
+    """The days after these that a store holds rows of."""
+    after = {d + timedelta(days=1) for d in days} - days
+    if not after:
+        return set()
+    wanted = [int(d.strftime("%Y%m%d")) for d in after]
+    known = read_days(spark, store, schema)
+    there = {r[0] for r in known.filter(F.col(DAY).isin(wanted)).select(DAY).distinct().collect()}
+    return {d for d in after if int(d.strftime("%Y%m%d")) in there}
+
+
+def runs_of_days(days: set[date]) -> list[tuple[datetime, datetime]]:
+    """Neighbouring days as runs [first, last)."""
     runs: list[tuple[datetime, datetime]] = []
-    for day in sorted(own):
+    for day in sorted(days):
         first = datetime.combine(day, datetime.min.time())
         if runs and runs[-1][1] == first:
             runs[-1] = (runs[-1][0], first + timedelta(days=1))
@@ -163,6 +179,44 @@ def start_upsert(stream: DataFrame, keys: Sequence[str], order: str, ts: str, si
 # --- facts --------------------------------------------------------------------------------------
 
 
+Fact = Callable[[DataFrame, DataFrame, datetime, datetime, int], DataFrame]
+
+
+def start_facts_of_both(telemetry: DataFrame, market: DataFrame, market_keys: Sequence[str], fact: Fact, store: str, market_store: str, sink: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Keeps a fact up to date with arriving telemetry (one row per event_id) and market rows alike.
+
+    Both sources run in one query, so no two writers meet in a day: a batch merges its telemetry and its market
+    rows into their stores and recomputes the days either touches, so a price that comes after its readings
+    values them again. `fact` gets the stored telemetry from the day before a run of days on, the stored market up to
+    its end, the ends of the run and the number of the batch.
+    """
+    both = telemetry.select(F.struct("*").alias("reading"), F.lit(None).cast(market.schema).alias("published"))
+    both = both.unionByName(market.select(F.lit(None).cast(telemetry.schema).alias("reading"), F.struct("*").alias("published")))
+    keys = ["event_id", "interval"]
+
+    def work(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist()
+        try:
+            readings = batch.filter(F.col("reading").isNotNull()).select("reading.*")
+            published = batch.filter(F.col("published").isNotNull()).select("published.*")
+            days = set()
+            for rows, path, own in ((readings, store, keys), (published, market_store, list(market_keys))):
+                if not rows.isEmpty():
+                    merge_days(rows, path, own, "interval", [c for c in rows.columns if c not in own])
+                    days |= batch_days(rows)
+            for first, last in runs_of_days(days | days_after(days, spark, store, telemetry.schema)):
+                lo, hi = (int(d.strftime("%Y%m%d")) for d in (first - timedelta(days=1), last))
+                window = read_days(spark, store, telemetry.schema).filter(F.col(DAY).between(lo, hi)).drop(DAY)
+                known = read_days(spark, market_store, market.schema).filter(F.col(DAY) <= hi).drop(DAY)
+                rows = fact(window, known, first, last, number)
+                write_days(rows.filter((F.col("interval") >= ts_lit(first)) & (F.col("interval") < ts_lit(last))), sink, "interval")
+        finally:
+            batch.unpersist()
+
+    return _run(both, work, checkpoint, trigger)
+
+
 def start_unit_facts(stream: DataFrame, market: Callable[[], DataFrame], units: Callable[[], DataFrame], store: str, sink: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Keeps the unit fact up to date with arriving telemetry.
 
@@ -230,7 +284,7 @@ def start_energy(stream: DataFrame, store: str, sink: str, checkpoint: str, look
 
 # --- records and alerts ------------------------------------------------------------------------------
 
-RECORD_STATE = "value double, at timestamp, previous string"
+RECORD_STATE = "value double, at timestamp"
 RECORD_OUT = "record_id string, interval timestamp, value double, previous_interval timestamp"
 
 
@@ -239,7 +293,8 @@ def start_records(stream: DataFrame, sink: str, checkpoint: str, min_intervals:
 
     `stream` has record_id, interval, value, aggregate, period and digits, one
     row per id and interval. A record that follows the last kept one within
-    the debounce window is dropped, and the next is judged by the kept one.
+    the debounce window is dropped, and the next is judged by the kept one. Every
+    record names itself (instance_id) and the one it replaced.
     """
     window = pd.Timedelta(minutes=min_intervals * interval_minutes)
 
@@ -259,7 +314,7 @@ def start_records(stream: DataFrame, sink: str, checkpoint: str, min_intervals:
             kept.append((key[0], r.interval, r.value, at))
             value, at = rounded, r.interval
         if kept:
-            state.update((float(value), at.to_pydatetime(), key[0]))
+            state.update((float(value), at.to_pydatetime()))
             yield pd.DataFrame(kept, columns=["record_id", "interval", "value", "previous_interval"])
 
     # State keeps zoned timestamps; the session runs in UTC.
@@ -268,6 +323,10 @@ def start_records(stream: DataFrame, sink: str, checkpoint: str, min_intervals:
         judge, RECORD_OUT, RECORD_STATE, "append", GroupStateTimeout.NoTimeout
     )
     naive = out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("interval", "previous_interval")})
+    before = F.col("previous_interval")
+    naive = naive.withColumn("instance_id", instance_id(F.col("record_id"), F.col("interval"))).withColumn(
+        "previous_instance_id", F.when(before.isNotNull(), instance_id(F.col("record_id"), before))
+    )
     writer = naive.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
     return writer.outputMode("append").trigger(**(trigger or {"processingTime": "5 minutes"})).start()
 
