@@ -114,8 +114,8 @@ def flow_emissions_mix(edges: DataFrame, nodes: DataFrame, regions: Sequence[str
     wide = (
         nodes.groupBy("interval")
         .agg(*node_cols)
-        .join(flat.groupBy("interval").agg(*flow_cols), "interval", "left")
-        .fillna(0.0, subset=[f"f_{a}_{b}" for a, b in pairs])
+        .join(flat.groupBy("interval").agg(*flow_cols), "interval", "full_outer")
+        .fillna(0.0)
     )
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -73,6 +73,33 @@ def _mix(t: Tables):
     return out.withColumns({c: F.round(c, 6) for c in _FOUR})
 
 
+@query(
+    "f5_flow_balance",
+    f"""WITH {_TURNED}, s AS (SELECT interval, network_region, sum(im) AS im, sum(ex) AS ex
+            FROM (SELECT interval, a AS network_region, 0 AS im, energy AS ex FROM turned
+                UNION ALL SELECT interval, b, energy, 0 FROM turned) GROUP BY 1, 2)
+        SELECT interval, network_region, round(im, 6) AS energy_imports, round(ex, 6) AS energy_exports, true AS balanced
+        FROM s WHERE im > 0 OR ex > 0""",
+)
+def _balance(t: Tables):
+    """The mix solves its system: own and imported emissions are those of all supply at the intensity of the exports."""
+    nodes = region_intensity(t.ui())
+    out = X.flow_emissions_mix(_edges(t), nodes)
+    rows = out.join(nodes.select("interval", "network_region", "energy", "emissions"), ["interval", "network_region"], "left")
+    c = F.col
+    mix = c("emissions_exports") / c("energy_exports")
+    supply, emitted = F.coalesce("energy", F.lit(0.0)) + c("energy_imports"), F.coalesce("emissions", F.lit(0.0)) + c("emissions_imports")
+    # Without a supply, or without exports to tell the mix by, there is nothing to check.
+    open_ = (c("energy_exports") <= 0) | (supply <= 0)
+    return rows.filter((c("energy_imports") > 0) | (c("energy_exports") > 0)).select(
+        "interval",
+        "network_region",
+        F.round("energy_imports", 6).alias("energy_imports"),
+        F.round("energy_exports", 6).alias("energy_exports"),
+        (open_ | (F.abs(emitted - mix * supply) <= 1e-6 * F.greatest(F.lit(1.0), emitted))).alias("balanced"),
+    )
+
+
 @query("f6_solve_flows", _SIMPLE)
 def _solve(t: Tables):
     out = X.solve_flows(_edges(t), region_intensity(t.ui()))

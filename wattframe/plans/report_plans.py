@@ -305,23 +305,15 @@ def _capacity_history(t: Tables):
 @query(
     "a31_capacity_series",
     f"""WITH {_CAPACITY} SELECT concat_ws('.', 'capacity', lower(network_id), lower(network_region), fueltech_id) AS id,
-            network_id, network_region, fueltech_id, min(month_start) AS start, max(month_start) AS last, count(*) AS points,
-            round(sum(total_capacity), 4) AS total, arg_min(total_capacity, month_start) AS first_value
-        FROM capacity GROUP BY 2, 3, 4 HAVING max(total_capacity) <> 0""",
+            network_id, network_region, fueltech_id, min(month_start) OVER w AS start, max(month_start) OVER w AS last,
+            row_number() OVER (PARTITION BY network_id, network_region, fueltech_id ORDER BY month_start) - 1 AS position,
+            round(total_capacity, 4) AS value
+        FROM capacity WINDOW w AS (PARTITION BY network_id, network_region, fueltech_id) QUALIFY max(total_capacity) OVER w <> 0""",
 )
 def _capacity_series(t: Tables):
     series = P.capacity_series(_capacity(t))
-    return series.select(
-        "id",
-        "network_id",
-        "network_region",
-        "fueltech_id",
-        "start",
-        "last",
-        F.size("data").cast("long").alias("points"),
-        F.round(F.aggregate("data", F.lit(0.0), lambda a, v: a + v), 4).alias("total"),
-        F.col("data")[0].alias("first_value"),
-    )
+    points = series.select("id", "network_id", "network_region", "fueltech_id", "start", "last", F.posexplode("data").alias("position", "value"))
+    return points.withColumn("value", F.round("value", 4))
 
 
 @query(
@@ -575,22 +567,15 @@ def _import(t: Tables):
         q AS (SELECT substance_code, facility_code, data_quality FROM (SELECT *, row_number() OVER (
                 PARTITION BY substance_code, facility_code ORDER BY n DESC, data_quality) AS rn
             FROM (SELECT substance_code, facility_code, data_quality, count(*) AS n FROM j GROUP BY 1, 2, 3)) WHERE rn = 1)
-        SELECT substance_code, category, facility_code, min(ts) AS date_start, max(ts) AS date_end, q.data_quality,
-            count(*) AS points, sum(pollution_value) AS total FROM j JOIN q USING (substance_code, facility_code)
-        GROUP BY 1, 2, 3, 6""",
+        SELECT substance_code, category, facility_code, min(ts) OVER w AS date_start, max(ts) OVER w AS date_end, q.data_quality,
+            row_number() OVER (w ORDER BY ts, pollution_value) - 1 AS position, ts, pollution_value AS value
+        FROM j JOIN q USING (substance_code, facility_code) WINDOW w AS (PARTITION BY substance_code, category, facility_code)""",
 )
 def _pollution_series(t: Tables):
     series = P.pollution_series(_pollution(t), _substances(t), _sites(t), first_year=1996, last_year=2000)
-    return series.select(
-        "substance_code",
-        "category",
-        "facility_code",
-        "date_start",
-        "date_end",
-        "data_quality",
-        F.size("data").cast("long").alias("points"),
-        F.aggregate("data", F.lit(0.0), lambda a, p: a + p["value"]).alias("total"),
-    )
+    columns = ["substance_code", "category", "facility_code", "date_start", "date_end", "data_quality"]
+    points = series.select(*columns, F.posexplode("data").alias("position", "_point"))
+    return points.select(*columns, "position", "_point.ts", "_point.value")
 
 
 @query(
@@ -612,11 +597,12 @@ def _facility_pollution(t: Tables):
                 round(sum(generated), 4) AS power, round(sum(energy), 4) AS energy FROM x_ui GROUP BY 1, 2, 3),
         l AS (SELECT interval, network_region, fueltech_id, 'power' AS metric, power AS value FROM d
             UNION ALL SELECT interval, network_region, fueltech_id, 'energy', energy FROM d),
-        s AS (SELECT metric, network_region, fueltech_id, min(interval) AS lo, max(interval) AS hi, sum(value) AS total, count(*) AS filled
-            FROM l GROUP BY 1, 2, 3)
-        SELECT 'NEM' AS network, metric, metric || '_' || network_region || '|' || fueltech_id AS name, network_region, fueltech_id,
-            '1d' AS interval, min(lo) OVER (PARTITION BY metric) AS date_start, max(hi) OVER (PARTITION BY metric) AS date_end,
-            '+10:00' AS "offset", date_diff('day', lo, hi) + 1 AS points, filled, round(total, 4) AS total FROM s""",
+        s AS (SELECT metric, network_region, fueltech_id, min(interval) AS lo, max(interval) AS hi FROM l GROUP BY 1, 2, 3),
+        e AS (SELECT *, min(lo) OVER (PARTITION BY metric) AS date_start, max(hi) OVER (PARTITION BY metric) AS date_end FROM s),
+        p AS (SELECT *, unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS ts FROM e)
+        SELECT 'NEM' AS network, p.metric, p.metric || '_' || p.network_region || '|' || p.fueltech_id AS name, p.network_region, p.fueltech_id,
+            '1d' AS interval, date_start, date_end, '+10:00' AS "offset", date_diff('day', lo, ts) AS position, ts, value
+        FROM p LEFT JOIN l ON l.metric = p.metric AND l.network_region = p.network_region AND l.fueltech_id = p.fueltech_id AND l.interval = p.ts""",
 )
 def _series(t: Tables):
     keys = ["network_region", "fueltech_id"]
@@ -626,13 +612,8 @@ def _series(t: Tables):
         .agg(F.round(F.sum("generated"), 4).alias("power"), F.round(F.sum("energy"), 4).alias("energy"))
     )
     out = P.to_series(daily, ["power", "energy"], keys, "1d")
-    real = F.filter("data", lambda p: p["value"].isNotNull())
-    return out.select(
-        *[c for c in out.columns if c != "data"],
-        F.size("data").cast("long").alias("points"),
-        F.size(real).cast("long").alias("filled"),
-        F.round(F.aggregate(real, F.lit(0.0), lambda a, p: a + p["value"]), 4).alias("total"),
-    )
+    points = out.select(*[c for c in out.columns if c != "data"], F.posexplode("data").alias("position", "_point"))
+    return points.select("*", "_point.ts", "_point.value").drop("_point")
 
 
 _SETS = """a AS (SELECT network_region || '.energy' AS series_id, interval, round(sum(energy), 4) AS value FROM x_daily

@@ -337,25 +337,13 @@ def _interior_months(t: Tables):
             SELECT unit_code, interval, energy
             FROM (SELECT unit_code, unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS interval FROM ends)
                 LEFT JOIN days USING (unit_code, interval))
-        SELECT unit_code, min(interval) AS start, max(interval) AS last, '1d' AS interval, count(*) AS points,
-            count(energy) AS filled, round(sum(energy), 4) AS total,
-            max(CASE WHEN rn = 1 THEN energy END) AS first_value, max(CASE WHEN rn = 2 THEN energy END) AS second_value
-        FROM (SELECT *, row_number() OVER (PARTITION BY unit_code ORDER BY interval) AS rn FROM full_days) GROUP BY 1""",
+        SELECT unit_code, min(interval) OVER w AS start, max(interval) OVER w AS last, '1d' AS interval,
+            row_number() OVER (PARTITION BY unit_code ORDER BY interval) - 1 AS position, energy AS value
+        FROM full_days WINDOW w AS (PARTITION BY unit_code)""",
 )
 def _dense(t: Tables):
     series = G.dense_series(_unit_days(t), ["unit_code"], "interval", "energy", "1d")
-    real = F.filter("data", lambda v: v.isNotNull())
-    return series.select(
-        "unit_code",
-        "start",
-        "last",
-        "interval",
-        F.size("data").cast("long").alias("points"),
-        F.size(real).cast("long").alias("filled"),
-        F.round(F.aggregate(real, F.lit(0.0), lambda a, v: a + v), 4).alias("total"),
-        F.col("data")[0].alias("first_value"),
-        F.get("data", F.lit(1)).alias("second_value"),
-    )
+    return series.select("unit_code", "start", "last", "interval", F.posexplode("data").alias("position", "value"))
 
 
 @query(
