@@ -115,3 +115,18 @@ def test_cap_to_settled(spark):
 def test_validate_length(spark):
     df = frame(spark, S, ("a", at(0), 1.0), ("a", at(5), 1.0), ("b", at(0), 1.0))
     assert rows(G.validate_length(df, ["k"], "t", FIVE, at(0), at(5))) == [("b", 1, 2)]
+
+
+def test_long_grid_holds_no_folded_range(spark):
+    df = frame(spark, S, ("a", at(0), 1.0))
+    out = G.grid(df, ["k"], "t", FIVE, datetime(1999, 1, 1), datetime(2024, 1, 1, 0, 3))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 5_000
+    got = out.agg(F.count_distinct("t").alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi")).first()
+    assert got["n"] == 9131 * 288 + 1 and got["lo"] == datetime(1999, 1, 1) and got["hi"] == datetime(2024, 1, 1)
+
+
+def test_a_series_beyond_the_allowed_span_is_an_error(spark):
+    df = frame(spark, S, ("a", at(0), 1.0), ("a", at(60 * 24 * 40), 2.0))
+    with pytest.raises(Exception, match="at most 32 days"):
+        G.dense_series(df, ["k"], "t", "v", "1h").collect()
