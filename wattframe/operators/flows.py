@@ -89,7 +89,8 @@ def flow_regions(edges: DataFrame, nodes: DataFrame) -> list[str]:
 def flow_emissions_mix(edges: DataFrame, nodes: DataFrame, regions: Sequence[str] | None = None) -> DataFrame:
     """Flows carrying the consumption mix of the region they leave.
 
-    Regions are those of the data unless given.
+    Regions are those of the data unless given; intervals are those of `nodes`, as a mix without any generation is
+    undefined.
 
     Transit counts: the intensity of a region solves supply * x = own
     emissions + inflow * x(source). Each interval is one fixed-width row of
@@ -114,8 +115,8 @@ def flow_emissions_mix(edges: DataFrame, nodes: DataFrame, regions: Sequence[str
     wide = (
         nodes.groupBy("interval")
         .agg(*node_cols)
-        .join(flat.groupBy("interval").agg(*flow_cols), "interval", "full_outer")
-        .fillna(0.0)
+        .join(flat.groupBy("interval").agg(*flow_cols), "interval", "left")
+        .fillna(0.0, subset=[f"f_{a}_{b}" for a, b in pairs])
     )
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -79,7 +79,8 @@ def _mix(t: Tables):
             FROM (SELECT interval, a AS network_region, 0 AS im, energy AS ex FROM turned
                 UNION ALL SELECT interval, b, energy, 0 FROM turned) GROUP BY 1, 2)
         SELECT interval, network_region, round(im, 6) AS energy_imports, round(ex, 6) AS energy_exports, true AS balanced
-        FROM s WHERE im > 0 OR ex > 0""",
+        FROM s WHERE (im > 0 OR ex > 0) AND interval IN (SELECT interval FROM x_ui
+            WHERE network_id = 'NEM' AND generated > 0 AND fueltech_id <> 'battery_charging')""",
 )
 def _balance(t: Tables):
     """The mix solves its system: own and imported emissions are those of all supply at the intensity of the exports."""
