@@ -129,7 +129,11 @@ def test_records_across_batches_follow_a_fold(spark, tmp_path):
             if value is None or (round(v) > value and (t - last).total_seconds() >= 3000):
                 want.append((key, t, v, last))
                 value, last = round(v), t
-    assert rows(spark.read.parquet(f"{path}/out")) == sorted(want, key=repr)
+    out = spark.read.parquet(f"{path}/out")
+    assert rows(out.select("record_id", "interval", "value", "previous_interval")) == sorted(want, key=repr)
+    ids = {(r.record_id, r.interval): r.instance_id for r in out.collect()}
+    assert len(set(ids.values())) == len(want)
+    assert all(r.previous_instance_id == ids.get((r.record_id, r.previous_interval)) for r in out.collect())
 
 
 def test_energy_across_batches(spark, tmp_path):
