@@ -27,18 +27,24 @@ GENERATOR = 0b101011100011
 LENGTH = 23
 
 
-def simhash(text: bytes, shingle: int = SHINGLE) -> int:
-    """64 bits, each set if set in over half of the shingles' XXH64; zero without a word."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> list[int]:
+    """XXH64 of each run of `shingle` words, of the whole text if it has fewer; none without a word."""
     words = text.lower().split()
     if not words:
-        return 0
+        return []
     line, n = b" ".join(words), len(words)
     if n <= shingle:
-        hashes = [xxhash.xxh64_intdigest(line, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-        starts = np.concatenate([[0], ends[: n - shingle] + 1]).tolist()
-        hashes = [xxhash.xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
+        return [xxhash.xxh64_intdigest(line, SEED)]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+    starts = np.concatenate([[0], ends[: n - shingle] + 1]).tolist()
+    return [xxhash.xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
+
+
+def simhash(text: bytes, shingle: int = SHINGLE) -> int:
+    """64 bits, each set if set in over half of the shingles' XXH64; zero without a word."""
+    hashes = shingle_hashes(text, shingle)
+    if not hashes:
+        return 0
     total = np.zeros(64, np.int64)
     for lo in range(0, len(hashes), 1 << 16):
         part = np.array(hashes[lo : lo + (1 << 16)], "<u8").view(np.uint8).reshape(-1, 8)
@@ -252,8 +258,13 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     id another group uses too.
     """
     marked = stage(fingerprints(docs.select("doc_id", "text"), shingle).select("doc_id", "fp", F.xxhash64("text").alias("_hash")))
+    return keep_first(docs, marked.join(_groups(marked).select("fp", "root"), "fp"))
+
+
+def keep_first(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """The documents `keep_one` keeps, by the group (root) of each row: `placed` has doc_id, _hash (of the text), root."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("_last"), "doc_id", "_hash"))
-    chosen = marked.join(_groups(marked).select("fp", "root"), "fp").groupBy("root").agg(first.alias("_first"))
+    chosen = placed.groupBy("root").agg(first.alias("_first"))
     chosen = chosen.select(F.col("_first.doc_id").alias("_id"), F.col("_first._hash").alias("_of")).distinct()
     hashed = docs.withColumn("_hash", F.xxhash64("text"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of"))
