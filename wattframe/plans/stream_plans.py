@@ -126,11 +126,23 @@ def _rebuild(t: Tables):
         WHERE time_bucket(INTERVAL '5 minutes', ts) + INTERVAL 5 MINUTES <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1, 2""",
 )
 def _tumbling(t: Tables):
+    """The windows that were closed an hour before the newest event, as the SQL has them."""
+    newest = t.read("events").agg(F.max(F.col("ts").cast("timestamp_ntz")).alias("newest"))
+    closed = F.expr("interval + INTERVAL 5 MINUTES <= newest - INTERVAL 1 HOUR")
+    out = _tumbling_all(t)
+    return out.crossJoin(F.broadcast(newest)).filter(closed).select(*out.columns)
+
+
+@query(
+    "st3_tumbling_rollup_all",
+    "SELECT time_bucket(INTERVAL '5 minutes', ts) AS interval, event_type, round(sum(value), 4) AS value, count(*) AS readings FROM events GROUP BY 1, 2",
+)
+def _tumbling_all(t: Tables):
+    """Every window, late rows and the newest hour included."""
     at = _folder(t)
-    events = _stream(t).read("events").withColumn("ts", F.col("ts").cast("timestamp"))
-    _done(J.start_rollup(events, ["event_type"], ["value"], "ts", f"{at}/out", f"{at}/cp", trigger=ONCE))
-    out = t.spark.read.parquet(f"{at}/out")
-    return out.select(F.col("interval").cast("timestamp_ntz").alias("interval"), "event_type", F.round("value", 4).alias("value"), "readings")
+    events = LateTables(t.spark, t.dir, f"{at}/events").read("events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    _done(J.start_rollup(events, ["event_type"], ["value"], "ts", f"{at}/store", f"{at}/out", f"{at}/cp", trigger=ONCE))
+    return t.spark.read.parquet(f"{at}/out").select("interval", "event_type", F.round("value", 4).alias("value"), "readings")
 
 
 @query(
@@ -139,9 +151,9 @@ def _tumbling(t: Tables):
 )
 def _dedupe(t: Tables):
     at = _folder(t)
-    events = _stream(t).read("events").select("user_id", bucket("ts", "30m").cast("timestamp").alias("interval"), "value")
+    events = LateTables(t.spark, t.dir, f"{at}/events").read("events").select("user_id", bucket("ts", "30m").alias("interval"), "value")
     _done(J.start_dedupe(events, ["user_id", "interval"], "interval", f"{at}/out", f"{at}/cp", trigger=ONCE))
-    return t.spark.read.parquet(f"{at}/out").select("user_id", F.col("interval").cast("timestamp_ntz").alias("interval"))
+    return t.spark.read.parquet(f"{at}/out").select("user_id", "interval")
 
 
 @query(

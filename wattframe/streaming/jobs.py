@@ -159,11 +159,29 @@ def recompute(batch: DataFrame, store: str, sink: str, keys: Sequence[str], fact
 # --- ingest -----------------------------------------------------------------------------------
 
 
-def start_dedupe(stream: DataFrame, keys: Sequence[str], ts: str, sink: str, checkpoint: str, delay: str = "1 hour", trigger: dict | None = None) -> StreamingQuery:
-    """Duplicate-tolerant append: the first row of a key within the delay wins."""
-    unique = stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
-    writer = unique.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
-    return writer.outputMode("append").trigger(**(trigger or {"processingTime": "5 minutes"})).start()
+def _known_days(batch: DataFrame, path: str, schema: StructType, ts: str) -> DataFrame:
+    """The stored rows of the days a batch has rows of, and those without a day."""
+    days = [int(d.strftime("%Y%m%d")) for d in batch_days(batch, ts)]
+    return read_days(batch.sparkSession, path, schema).filter(F.col(DAY).isin(days) | F.col(DAY).isNull())
+
+
+def start_dedupe(stream: DataFrame, keys: Sequence[str], ts: str, sink: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Duplicate-tolerant append: the first row of a key wins, however late the next one comes. The key holds the time."""
+    if ts not in keys:
+        raise ValueError(f"the key must hold {ts}: rows are merged by day")
+
+    def work(batch: DataFrame, _: int) -> None:
+        batch = batch.dropDuplicates(list(keys)).persist()
+        try:
+            known = _known_days(batch, sink, StructType(batch.schema.fields), ts)
+            there = known.select(*[F.col(c).alias(f"_{c}") for c in keys])
+            same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
+            fresh = _tagged(batch, ts).join(there, same, "left_anti")
+            write_days(known.unionByName(fresh), sink, ts)
+        finally:
+            batch.unpersist()
+
+    return _run(stream, work, checkpoint, trigger)
 
 
 def start_upsert(stream: DataFrame, keys: Sequence[str], order: str, ts: str, sink: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -259,13 +277,28 @@ def start_rebuild(stream: DataFrame, rollup: Callable[[DataFrame], DataFrame], k
     return _run(stream, work, checkpoint, trigger)
 
 
-def start_rollup(stream: DataFrame, keys: Sequence[str], sums: Sequence[str], ts: str, sink: str, checkpoint: str, width: str = "5 minutes", delay: str = "1 hour", trigger: dict | None = None) -> StreamingQuery:
-    """Tumbling sums, written once a window is past the watermark."""
-    grouped = stream.withWatermark(ts, delay).groupBy(F.window(ts, width), *keys)
-    rolled = grouped.agg(*[F.sum(c).alias(c) for c in sums], F.count(F.lit(1)).alias("readings"))
-    out = rolled.select(F.col("window.start").alias("interval"), *keys, *sums, "readings")
-    writer = out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
-    return writer.outputMode("append").trigger(**(trigger or {"processingTime": "5 minutes"})).start()
+def start_rollup(stream: DataFrame, keys: Sequence[str], sums: Sequence[str], ts: str, store: str, sink: str, checkpoint: str, width: str = "5 minutes", trigger: dict | None = None) -> StreamingQuery:
+    """Tumbling sums of all rows so far, also of late ones and of windows still open.
+
+    `store` keeps the sums of each batch, a row for each window it touches, and the touched days of the sink are summed
+    from it. A batch that is run again replaces its own sums.
+    """
+
+    def work(batch: DataFrame, number: int) -> None:
+        grouped = batch.groupBy(F.window(ts, width), *keys)
+        rolled = grouped.agg(*[F.sum(c).alias(c) for c in sums], F.count(F.lit(1)).alias("readings"))
+        own = rolled.select(F.col("window.start").alias("interval"), *keys, *sums, "readings", F.lit(number).cast("long").alias("batch"))
+        own = own.persist()
+        try:
+            schema = StructType(own.schema.fields)
+            known = _known_days(own, store, schema, "interval").filter(F.col("batch") != number)
+            write_days(known.unionByName(_tagged(own, "interval")), store, "interval")
+            totals = _known_days(own, store, schema, "interval").groupBy("interval", *keys, DAY)
+            write_days(totals.agg(*[F.sum(c).alias(c) for c in (*sums, "readings")]), sink, "interval")
+        finally:
+            own.unpersist()
+
+    return _run(stream, work, checkpoint, trigger)
 
 
 def start_energy(stream: DataFrame, store: str, sink: str, checkpoint: str, lookback: timedelta = timedelta(minutes=5), trigger: dict | None = None) -> StreamingQuery:
