@@ -72,12 +72,16 @@ def train(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> Model:
     """
     own = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.octet_length("text") > 0))
     # One row for each language; the model holds as many. A join would bring all texts of a language to one task.
-    sizes = own.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).collect()
+    key = F.xxhash64("doc_id", F.lit("lang"))
+    sizes = own.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"), F.min(key).alias("least")).collect()
     if not sizes:
         return fit([], *(np.zeros(0, t) for t in (int, np.uint64, float)))
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, train_bytes / r["bytes"]))])
-    chance = F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 20)) / float(1 << 20)
-    sample = own.where(chance < F.element_at(share, F.col("lang"))).select("lang", "text")
+    # The document of the least key is always taken, so a language of a few long texts is learned too.
+    least = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], r["least"])])
+    chance = F.pmod(key, F.lit(1 << 20)) / float(1 << 20)
+    chosen = (chance < F.element_at(share, F.col("lang"))) | (key == F.element_at(least, F.col("lang")))
+    sample = own.where(chosen).select("lang", "text")
     counted = sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     got = counted.toArrow()
     names = np.array(got.column("lang").to_pylist(), object)
