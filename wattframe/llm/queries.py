@@ -8,11 +8,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattframe.llm import fingerprints, language, lines, mixing, packing, quality, simhash, suffixes, topk, warc
+from wattframe.llm import (
+    clustering,
+    fingerprints,
+    language,
+    lines,
+    mixing,
+    packing,
+    pieces,
+    quality,
+    resampling,
+    simhash,
+    suffixes,
+    topk,
+    warc,
+)
 from wattframe.llm.common import held_out, table
 from wattframe.session import tune
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +83,26 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_equal", "n_near", digest.alias("kept_sha256"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op12_subvector_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(tune(spark), sf_dir, "embeddings"))
+
+
+def op13_sentencepiece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(PIECES)
+    done = pieces.decode(pieces.encode(_documents(spark, sf_dir), path), path)
+    return done.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+        "agrees",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -81,6 +116,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_suffix_dedup,
         op9_simhash_golay,
         op10_line_dedup,
+        op11_importance_resampling,
+        op12_subvector_kmeans,
+        op13_sentencepiece_agenda,
     )
 }
 
@@ -155,9 +193,76 @@ SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coales
     sha256(unhex(coalesce(kept || substr(x, 2 * last + 1), x))) AS kept_sha256
 FROM d LEFT JOIN cut ON d.r = cut.r"""
 
+_RESAMPLING = r"""
+WITH words AS (
+    SELECT rowid_ AS r, unnest(regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w
+    FROM (SELECT text, 'd' || row_number() OVER () AS rowid_ FROM documents
+        UNION ALL SELECT text, 'b' || row_number() OVER () FROM benchmark)),
+crc AS (
+    SELECT list_transform(range(256), lambda i: list_reduce(range(8),
+        lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+vocabulary AS (
+    SELECT w, xor(list_reduce(
+        list_transform(range(strlen(w)), lambda j: ('0x' || substr(hex(encode(w)), 2 * j::INT + 1, 2))::BIGINT),
+        lambda c, b: xor(t[1 + (xor(c, b) & 255)], c >> 8), 4294967295), 4294967295) % 10000 AS bucket
+    FROM (SELECT DISTINCT w FROM words), crc),
+held AS (SELECT r, bucket, count(*) AS n FROM words JOIN vocabulary USING (w) GROUP BY ALL),
+counts AS (
+    SELECT bucket, sum(n) FILTER (r[1] = 'd') AS s, sum(n) FILTER (r[1] = 'b') AS t FROM held GROUP BY bucket),
+every AS (
+    SELECT bucket, coalesce(s, 0)::DOUBLE AS s, coalesce(t, 0)::DOUBLE AS t
+    FROM (SELECT unnest(range(10000)) AS bucket) LEFT JOIN counts USING (bucket)),
+gains AS (
+    SELECT bucket, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000))))::BIGINT AS gain
+    FROM every),
+weights AS (SELECT r, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM held JOIN gains USING (bucket) GROUP BY r),
+scored AS (
+    SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln((
+            ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+    FROM (SELECT doc_id, 'd' || row_number() OVER () AS r FROM documents) LEFT JOIN weights USING (r)),
+ranked AS (
+    SELECT *, n_features >= 20 AS able,
+        row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place FROM scored)
+SELECT doc_id, n_features, weight, score,
+    CASE WHEN able AND place <= (SELECT 10 * count(*) // 100 FROM scored WHERE n_features >= 20) THEN place END AS rank
+FROM ranked"""
+
+
+def _kmeans(rounds: int = 10) -> str:
+    """A round is one table of assigned vectors and one of moved centroids."""
+    near = """
+a{i} AS MATERIALIZED (
+    SELECT r, min_by(c, (d, c)) AS c, min(d) AS d FROM (
+        SELECT r, c, list_sum(list_transform(list_zip(x.v, y.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+        FROM x, c{i} y) GROUP BY r),"""
+    move = """
+s{i} AS (
+    SELECT c, p, sum(e)::BIGINT AS s, count(*) AS n
+    FROM (SELECT c, unnest(v) AS e, unnest(range(64)) AS p FROM a{i} JOIN x USING (r)) GROUP BY c, p),
+m{i} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY p) AS v FROM s{i} GROUP BY c),
+c{j} AS MATERIALIZED (SELECT c, coalesce(m{i}.v, c{i}.v) AS v FROM c{i} LEFT JOIN m{i} USING (c)),"""
+    steps = "".join(near.format(i=i) + move.format(i=i, j=i + 1) for i in range(rounds)) + near.format(i=rounds)
+    return f"""
+WITH x AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::BIGINT) AS v
+    FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0),
+c0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS c, v FROM x
+    QUALIFY c < 8),{steps}
+f AS (SELECT c, array_to_string(v, ',') AS centroid FROM c{rounds})
+SELECT vec_id, c::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia,
+    sum(d) OVER ()::BIGINT AS inertia, sha256(centroid) AS centroid_sha256
+FROM a{rounds} JOIN x USING (r) JOIN f USING (c)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_mix_sources": _MIX,
     "op3_warc_members": _WARC,
     "op6_impact_ordered_topk": _TOPK,
     "op8_suffix_dedup": _SUFFIXES,
+    "op11_importance_resampling": _RESAMPLING,
+    "op12_subvector_kmeans": _kmeans(),
 }
