@@ -43,21 +43,37 @@ def test_agenda_merges_as_a_plain_search(own):
 
 
 def test_ids_are_the_library_s(own, library):
-    for text in TEXTS + drawn(3000):
-        assert own.encode(text) == library.encode(text)
+    texts = TEXTS + drawn(3000)
+    assert own.encode_all(texts)[0] == library.encode(texts)
+    assert own.encode_all(texts[::-1])[0] == library.encode(texts[::-1])
+
+
+def test_stretches_together_and_alone(own):
+    texts = [t for t in map(own.library.normalize, drawn(500)) if t] + ["🎉a🎉", "\x00", "é\n\n日"]
+    assert own.together(texts) == [own.segment_ids(t) for t in texts]
+    assert own.together(["a"]) == [own.segment_ids("a")]
+
+
+def test_a_full_memory_changes_nothing(library, monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBERED", 50)
+    own = pieces.Agenda(PATH)
+    for lo in range(0, 400, 40):
+        texts = drawn(400)[lo : lo + 40]
+        assert own.encode_all(texts)[0] == library.encode(texts)
+        assert len(own.known) < 2000
 
 
 def test_whole_texts_give_the_same_as_segments(library):
     whole = pieces.Agenda(PATH)
-    whole.stretches, whole.stretch_ids = None, whole.segment_ids
-    for text in TEXTS + drawn(500):
-        assert whole.encode(text) == library.encode(text)
+    whole.stretches = None
+    texts = TEXTS + drawn(500)
+    assert whole.encode_all(texts) == (library.encode(texts), [True] * len(texts))
 
 
 def test_unknown_symbols_without_byte_fallback(own):
     lame = pieces.Agenda(PATH)
-    lame.bytes, lame.known = None, {}
-    assert lame.encode("a𓀀𓁀 𓂀") == [*own.encode("a"), lame.unknown, own.ids["▁"], lame.unknown]
+    lame.bytes = None
+    assert lame.together(["a𓀀𓁀▁𓂀"]) == [(*own.together(["a"])[0], lame.unknown, lame.unknown, own.ids["▁"], lame.unknown)]
 
 
 def test_other_vocabularies_are_refused():
@@ -79,5 +95,8 @@ def test_round_trip_of_odd_rows(spark, odd, empty, library):
 
 def test_a_disagreement_is_told_and_mended(library, monkeypatch):
     own = pieces.Agenda(PATH)
-    monkeypatch.setattr(own, "encode", lambda text: [5] if text == "the cat" else library.encode(text))
-    assert pieces.checked(own, ["the cat", "", "a cat"]) == ([library.encode(t) for t in ("the cat", "", "a cat")], [False, True, True])
+    right = own.learn
+    monkeypatch.setattr(own, "learn", lambda new: right(new) | ({"▁cat": (5,)} if "▁cat" in new else {}))
+    texts = ["the cat", "", "a dog", "the dog ", " "]
+    assert own.encode_all(texts) == (library.encode(texts), [False, True, True, True, True])
+    assert own.encode_all(["cat cat"]) == (library.encode(["cat cat"]), [False])

@@ -5,8 +5,10 @@ from __future__ import annotations
 import functools
 import heapq
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -15,18 +17,25 @@ from sentencepiece import sentencepiece_model_pb2
 from wattframe.llm.common import slices
 
 SPACE = "▁"
-#: Segments and stretches whose ids a task remembers, and the longest (in characters) it does.
+#: Stretches whose ids a task remembers before it starts anew, and the longest (in characters) it does.
 REMEMBERED, LONGEST = 1 << 19, 64
+#: Characters of a stretch up to which stretches share one agenda.
+TOGETHER = 32
+#: Stretches of one agenda, few enough for a processor's cache.
+AGENDA = 4096
 #: Bytes of text worked on at a time.
-BLOCK = 1 << 20
+BLOCK = 1 << 21
+
+_NEVER = np.iinfo(np.int32).max
 
 
 class Agenda:
     """A merge-type vocabulary: pieces with scores, merged pair by pair from the highest score, leftmost first.
 
-    Normalising is left to the library. No merge crosses two adjacent characters that stand together in no piece, so a
-    text falls into segments there, and each distinct segment is worked on once. If no piece holds a space mark behind
-    another character, the text is first cut at each run of marks, and those longer stretches are remembered too.
+    Normalising is left to the library. If no piece holds a space mark behind another character, no merge crosses the
+    start of a run of marks: a text is cut there and each distinct stretch worked on once; otherwise the whole
+    text is one stretch. Stretches of a batch share one agenda, which takes the best pair of each of them at a time;
+    a long one has a queue of its own.
     """
 
     def __init__(self, path: str):
@@ -43,9 +52,72 @@ class Agenda:
         self.bytes = [self.library.piece_to_id(f"<0x{b:02X}>") for b in range(256)] if model.trainer_spec.byte_fallback else None
         self.unknown = self.library.unk_id()
         crossing = any(SPACE in p.lstrip(SPACE) for p in self.scores)
-        self.pairs = {p[i : i + 2] for p in self.scores for i in range(len(p) - 1)}
         self.stretches = None if crossing else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.doubted: set[str] = set()
+        # What two ids side by side merge to, and its place by score.
+        self.size = len(model.pieces) + 1
+        places = {score: place for place, score in enumerate(sorted(set(self.scores.values()), reverse=True))}
+        pairs = sorted(
+            (self.ids[p[:i]] * self.size + self.ids[p[i:]], places[score], self.ids[p])
+            for p, score in self.scores.items()
+            for i in range(1, len(p))
+            if p[:i] in self.ids and p[i:] in self.ids
+        )
+        self.keys, self.places, self.into = (np.array(c, np.int64) for c in (zip(*pairs, strict=True) if pairs else ([-1], [0], [0])))
+        # A character that is no piece has the last number, which merges with nothing.
+        self.characters = np.full(0x110000, self.size - 1, np.int32)
+        for piece, i in self.ids.items():
+            if len(piece) == 1:
+                self.characters[ord(piece)] = i
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of ids side by side the place of what they merge to, and which table row says so."""
+        key = left * self.size + right
+        row = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[row] == key, self.places[row], _NEVER), row
+
+    def together(self, texts: list[str]) -> list[tuple[int, ...]]:
+        """The ids of stretches: in each step every stretch merges its best pair."""
+        symbols = self.characters[np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)].astype(np.int64)
+        owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
+        place, row = self._pairs(symbols, np.append(symbols[1:], 0))
+        place[np.append(owner[1:] != owner[:-1], True)] = _NEVER
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while True:
+            starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            lengths = np.diff(np.append(starts, len(owner)))
+            best = np.repeat(np.minimum.reduceat(place, starts), lengths)
+            live = best != _NEVER
+            if not live.all():
+                done.append((owner[~live], symbols[~live]))
+                symbols, owner, place, row, best = symbols[live], owner[live], place[live], row[live], best[live]
+            if len(symbols) == 0:
+                break
+            at = np.flatnonzero(place == best)
+            at = at[np.append(True, owner[at][1:] != owner[at][:-1])]
+            symbols[at] = self.into[row[at]]
+            stays = np.ones(len(symbols), bool)
+            stays[at + 1] = False
+            symbols, owner, place, row = symbols[stays], owner[stays], place[stays], row[stays]
+            at -= np.arange(len(at))
+            changed = np.concatenate([at, at[at > 0] - 1])
+            after = np.minimum(changed + 1, len(symbols) - 1)
+            place[changed], row[changed] = self._pairs(symbols[changed], symbols[after])
+            place[changed[(owner[changed] != owner[after]) | (changed == after)]] = _NEVER
+        owner, symbols = (np.concatenate(c) for c in zip(*done, strict=True))
+        order = np.argsort(owner, kind="stable")
+        # Tuples of numbers, unlike lists, cost the garbage collector nothing.
+        whole, ends = tuple(symbols[order].tolist()), np.cumsum(np.bincount(owner, minlength=len(texts))).tolist()
+        out = [whole[lo:hi] for lo, hi in zip([0, *ends], ends, strict=False)]
+        for k in set(owner[symbols == self.size - 1].tolist()):
+            lone = (c for c in texts[k] if c not in self.ids)
+            out[k] = tuple(t for i in out[k] for t in ([i] if i < self.size - 1 else self.spelt(next(lone))))
+        return out
+
+    def spelt(self, symbol: str) -> list[int]:
+        """What stands for a symbol that is no piece: its bytes, or the unknown id."""
+        return [self.bytes[b] for b in symbol.encode()] if self.bytes else [self.unknown]
 
     def merged(self, text: str) -> list[str]:
         """The symbols left when no adjacent pair is a piece."""
@@ -79,47 +151,68 @@ class Agenda:
                     heapq.heappush(agenda, (-score, left, right, size + len(symbols[left])))
         return [s for s in symbols if s]
 
-    def segment_ids(self, text: str) -> list[int]:
-        """The ids of a segment; a symbol that is no piece falls back to its bytes, or is unknown."""
+    def segment_ids(self, text: str) -> tuple[int, ...]:
+        """The ids of a stretch by a queue of its own; a symbol that is no piece falls back to its bytes, or is unknown."""
         out: list[int] = []
         for symbol in self.merged(text):
             own = self.ids.get(symbol)
             if own is not None:
                 out.append(own)
-            elif self.bytes:
-                out.extend(self.bytes[b] for b in symbol.encode())
             else:
-                out.append(self.unknown)
-        return out
+                out += self.spelt(symbol)
+        return tuple(out)
 
-    def remembered(self, text: str, work: Callable[[str], list[int]]) -> list[int]:
-        own = self.known.get(text)
-        if own is None:
-            own = work(text)
-            if len(text) <= LONGEST and len(self.known) < REMEMBERED:
-                self.known[text] = own
-        return own
-
-    def stretch_ids(self, text: str) -> list[int]:
-        """The ids of a stretch of text, segment by segment."""
-        cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.pairs]
-        if not cuts:
-            return self.segment_ids(text)
-        out: list[int] = []
-        for lo, hi in zip([0, *cuts], [*cuts, len(text)], strict=True):
-            out += self.remembered(text[lo:hi], self.segment_ids)
+    def learn(self, stretches: list[str]) -> dict[str, tuple[int, ...]]:
+        """The ids of stretches not met before."""
+        short = [t for t in stretches if len(t) <= TOGETHER]
+        out: dict[str, tuple[int, ...]] = {}
+        for lo in range(0, len(short), AGENDA):
+            part = short[lo : lo + AGENDA]
+            out.update(zip(part, self.together(part), strict=True))
+        for t in stretches:
+            if t not in out:
+                out[t] = self.segment_ids(t)
         return out
 
-    def encode(self, text: str) -> list[int]:
-        """The ids of a text, without begin or end ids."""
+    def cut(self, text: str) -> list[str]:
+        """A text's stretches after normalising."""
         whole = self.library.normalize(text)
-        out: list[int] = []
-        for stretch in self.stretches.findall(whole) if self.stretches else [whole] if whole else []:
-            out += self.known.get(stretch) or self.remembered(stretch, self.stretch_ids)
-        if not self.bytes:
-            # Unknown symbols side by side are one.
-            out = [t for i, t in enumerate(out) if t != self.unknown or i == 0 or out[i - 1] != t]
-        return out
+        return self.stretches.findall(whole) if self.stretches else [whole] if whole else []
+
+    def encode_all(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
+        """The ids of each text, without begin or end ids, and whether the library agrees.
+
+        Every stretch not met before is also encoded by the library, which takes it as a text without its first
+        mark. A text with a stretch that the library sees otherwise or can't take so is compared as a whole; if its
+        ids differ, the library's stand and it is said to disagree.
+        """
+        cut = [self.cut(t) for t in texts]
+        new = list(set().union(*cut).difference(self.known))
+        learnt = self.learn(new)
+        asked = self.library.encode([t[1:] for t in new], num_threads=1) if new else []
+        self.doubted.update(t for t, ids in zip(new, asked, strict=True) if t[0] != SPACE or tuple(ids) != learnt[t])
+        if len(self.known) + len(new) > REMEMBERED:
+            used = set().union(*cut)
+            self.known = {t: ids for t, ids in self.known.items() if t in used}
+            self.doubted &= used
+        self.known.update(learnt)
+        made, agrees = [], []
+        for text, stretches in zip(texts, cut, strict=True):
+            ids = list(chain.from_iterable(map(self.known.__getitem__, stretches)))
+            if not self.bytes:
+                # Unknown symbols side by side are one.
+                ids = [t for i, t in enumerate(ids) if t != self.unknown or i == 0 or ids[i - 1] != t]
+            same = self.doubted.isdisjoint(stretches)
+            if not same:
+                whole = self.library.encode(text)
+                ids, same = whole, ids == whole
+            made.append(ids)
+            agrees.append(same)
+        for t in new:
+            if len(t) > LONGEST:
+                del self.known[t]
+                self.doubted.discard(t)
+        return made, agrees
 
 
 @functools.lru_cache(maxsize=2)
@@ -127,18 +220,11 @@ def agenda(path: str) -> Agenda:
     return Agenda(path)
 
 
-def checked(own: Agenda, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
-    """The ids of each text by the agenda, and whether the library gives the same; where it doesn't, its ids stand."""
-    made, asked = [own.encode(t) for t in texts], own.library.encode(texts, num_threads=1)
-    agrees = [a == b for a, b in zip(made, asked, strict=True)]
-    return [a if same else b for a, b, same in zip(made, asked, agrees, strict=True)], agrees
-
-
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, agrees) for each document: the ids of its whole text by the vocabulary file at `path`.
 
-    The ids come from the agenda. Every batch is also encoded by the sentencepiece library; where a text's ids
-    differ, `agrees` is false and the library's ids stand. Null and empty texts have no ids. Rows are worked on one by
+    The ids come from the agenda. Each distinct stretch of a task's batches is checked against the sentencepiece library;
+    where a text's ids differ, `agrees` is false and the library's ids stand. Null and empty texts have no ids. Rows are worked on one by
     one, so repeated rows, null ids and other columns make no difference; an empty table gives an empty one.
     The file must be readable by every executor.
     """
@@ -147,8 +233,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         own = agenda(path)
         for batch in slices(batches, "text", BLOCK):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids, agrees = checked(own, texts)
-            columns = [batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(agrees, pa.bool_())]
+            ids, agrees = own.encode_all(texts)
+            ends = np.cumsum([0, *map(len, ids)])
+            flat = np.fromiter(chain.from_iterable(ids), np.int32, ends[-1])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+            columns = [batch.column("doc_id"), lists, pa.array(agrees, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "agrees"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -163,7 +252,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                ids = [i or [] for i in part.column("ids").to_pylist()]
+                lists = part.column("ids").fill_null([])
+                flat, ends = lists.flatten().to_pylist(), np.cumsum([0, *lists.value_lengths().to_pylist()]).tolist()
+                ids = [flat[lo:hi] for lo, hi in zip(ends, ends[1:], strict=False)]
                 texts = pa.array(library.decode(ids, num_threads=1) if ids else [], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, "text"])
 
