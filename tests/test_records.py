@@ -173,6 +173,15 @@ def test_search_defaults_to_whole_networks(spark):
     assert [r.total for r in R.page(df, [F.col("record_id")], 2).collect()] == [3, 3]
 
 
+def test_pages_by_key_follow_each_other(spark):
+    df = frame(spark, "v int, w string, n int", *[((None, 3, 1)[i % 3], (None, "x")[i % 2], i) for i in range(25)])
+    for order in ([("v", True), ("w", False), ("n", True)], [("v", False), ("w", True), ("n", False)]):
+        got, key = [], None
+        while page := [tuple(r) for r in R.page_after(df, order, 4, key).collect()]:
+            got, key = got + page, page[-1]
+        assert got == [tuple(r) for r in df.orderBy(*[F.col(n).asc() if up else F.col(n).desc() for n, up in order]).collect()]
+
+
 def test_repair_and_reconcile(spark):
     schema = "record_id string, interval timestamp_ntz, value double, value_unit string"
     stored = frame(spark, schema, ("a.demand.energy.day", at(0), 5.0, "GWh"), ("b", at(0), 1.0, "MW"))

@@ -1,13 +1,18 @@
 """Jobs fed in several batches leave what one batch job computes."""
 
 import random
+import time
+from datetime import timedelta
 
+import numpy as np
+import pytest
 from helpers import at, frame, rows
 from pyspark.sql import functions as F
 
 from wattframe.operators import enrich as E
 from wattframe.operators import rollups as R
 from wattframe.streaming import jobs as J
+from wattframe.streaming.state import followers
 
 ONCE = {"availableNow": True}
 SCHEMA = "event_id long, interval timestamp_ntz, network_id string, unit_code string, generated double, energy double, energy_storage double, is_forecast boolean"
@@ -85,7 +90,7 @@ def test_late_rows_mend_the_next_day(spark, tmp_path):
 def test_only_touched_days_are_recomputed(spark, tmp_path):
     s = "k int, interval timestamp_ntz"
     df = frame(spark, s, (1, at(10)), (2, at(24 * 60 * 40)))
-    assert [(a.toordinal() - at(0).toordinal(), (b - a).days) for a, b in J.touched_days(df, str(tmp_path / "none"))] == [(0, 1), (40, 1)]
+    assert J.touched_days(df, str(tmp_path / "none")) == {at(0).date(), at(24 * 60 * 40).date()}
 
 
 def test_last_row_wins_across_batches(spark, tmp_path):
@@ -129,7 +134,7 @@ def test_records_across_batches_follow_a_fold(spark, tmp_path):
             if value is None or (round(v) > value and (t - last).total_seconds() >= 3000):
                 want.append((key, t, v, last))
                 value, last = round(v), t
-    out = spark.read.parquet(f"{path}/out")
+    out = J.read_records(spark, f"{path}/out")
     assert rows(out.select("record_id", "interval", "value", "previous_interval")) == sorted(want, key=repr)
     ids = {(r.record_id, r.interval): r.instance_id for r in out.collect()}
     assert len(set(ids.values())) == len(want)
@@ -149,20 +154,127 @@ def test_energy_across_batches(spark, tmp_path):
 
 def test_silence_is_noticed_and_ends(spark, tmp_path):
     s = "network_id string, interval timestamp_ntz"
-    df = frame(spark, s, ("NEM", at(0)), ("WEM", at(0)), ("NEM", at(60)), ("WEM", at(65)), ("NEM", at(65)))
+    df = frame(spark, s, ("NEM", at(0)), ("WEM", at(0)), (None, at(0)), ("NEM", None), ("NEM", at(60)), ("WEM", at(65)), ("NEM", at(65)))
     path = str(tmp_path)
-    parts = [F.col("interval") <= F.lit(at(0)).cast("timestamp_ntz"), F.col("interval") == F.lit(at(60)).cast("timestamp_ntz"), F.col("interval") == F.lit(at(65)).cast("timestamp_ntz")]
+    parts = [F.coalesce(F.col("interval"), F.lit(at(0))) <= F.lit(at(0)).cast("timestamp_ntz"), F.col("interval") == F.lit(at(60)).cast("timestamp_ntz"), F.col("interval") == F.lit(at(65)).cast("timestamp_ntz")]
+    silent = []
     for _ in batches(spark, path, df, parts):
         stream = J.stream_table(spark, f"{path}/in", df.schema, per_batch=1)
-        J.start_silence_alert(stream, f"{path}/out", f"{path}/cp", trigger=ONCE).awaitTermination()
-    assert [(r.network_id, r.batch, r.noticed_at) for r in J.read_alerts(spark, f"{path}/out").collect()] == [("WEM", 1, at(60))]
+        J.start_silence_alert(stream, f"{path}/out", f"{path}/cp", clock="EventTime", trigger=ONCE).awaitTermination()
+        silent.append([tuple(r) for r in J.read_alerts(spark, f"{path}/out").collect()])
+    assert silent == [[], [("WEM", at(0), at(30))], []]
 
 
-def test_dedupe_within_delay(spark, tmp_path):
-    s = "k string, t timestamp, v int"
-    df = frame(spark, s, ("a", at(0), 1), ("a", at(0), 2), ("b", at(5), 3))
+def test_a_timer_tells_of_feeds_that_all_have_stopped(spark, tmp_path):
+    """After one file nothing comes any more, and no batch has rows: the alerts come all the same."""
+    df = frame(spark, "network_id string, interval timestamp_ntz", ("NEM", at(0)), ("WEM", at(5)))
     path = str(tmp_path)
-    for _ in batches(spark, path, df, [F.col("v") != 2, F.col("v") == 2]):
-        stream = J.stream_table(spark, f"{path}/in", df.schema, per_batch=1)
-        J.start_dedupe(stream, ["k", "t"], "t", f"{path}/out", f"{path}/cp", trigger=ONCE).awaitTermination()
-    assert rows(spark.read.parquet(f"{path}/out").select("k", "v")) == [("a", 1), ("b", 3)]
+    df.write.parquet(f"{path}/in")
+    job = J.start_silence_alert(
+        J.stream_table(spark, f"{path}/in", df.schema), f"{path}/out", f"{path}/cp", timedelta(seconds=2), trigger={"processingTime": "1 second"}
+    )
+    try:
+        until = time.time() + 90
+        found = []
+        while time.time() < until and len(found) < 2:
+            time.sleep(1)
+            found = rows(J.read_alerts(spark, f"{path}/out").select("network_id", "last_seen")) if (tmp_path / "out").exists() else []
+        assert found == [("NEM", at(0)), ("WEM", at(5))]
+        assert job.exception() is None
+    finally:
+        job.stop()
+
+
+def fold(data, gap=3000):
+    """The records among (id, time, value) rows, one after the other in order of time."""
+    kept, standing = [], {}
+    for key, t, v in sorted(data, key=lambda d: (d[0], d[1])):
+        value, last = standing.get(key, (None, None))
+        if value is None or (round(v) > value and (t - last).total_seconds() >= gap):
+            kept.append((key, t, v, last))
+            standing[key] = (round(v), t)
+    return sorted(kept, key=repr)
+
+
+@pytest.mark.parametrize("period", ["interval", "day"])
+@pytest.mark.parametrize("aggregate", ["high", "low"])
+def test_late_rows_are_judged_again(spark, tmp_path, period, aggregate):
+    rng = random.Random(4)
+    sign = 1 if aggregate == "high" else -1
+    data = [("rs"[i % 2], at(5 * (i // 2)), sign * round(rng.uniform(1, 300) + i / 4, 1), i) for i in range(1600)]
+    df = frame(spark, "record_id string, interval timestamp_ntz, value double, n int", *data)
+    df = df.select("record_id", "interval", "value", F.lit(aggregate).alias("aggregate"), F.lit(period).alias("period"), F.lit(0).alias("digits"), "n")
+    path = str(tmp_path)
+    first, second = (F.col("n") % 11 != 0) & (F.col("n") > 500), (F.col("n") % 11 != 0) & (F.col("n") <= 500)
+    arrived = []
+    for part, keep in ((first, lambda n: n % 11 and n > 500), (second, lambda n: n % 11 and n <= 500), (F.col("n") % 11 == 0, lambda n: n % 11 == 0)):
+        df.filter(part).write.mode("append").parquet(f"{path}/in")
+        stream = J.stream_table(spark, f"{path}/in", df.schema).drop("n")
+        J.start_records(stream, f"{path}/out", f"{path}/cp", trigger=ONCE).awaitTermination()
+        arrived += [d for d in data if keep(d[3])]
+        want = fold([(k, t, sign * v) for k, t, v, _ in arrived], 3000 if period == "interval" else 1)
+        got = J.read_records(spark, f"{path}/out").select("record_id", "interval", "value", "previous_interval")
+        assert rows(got) == sorted([(k, t, sign * v, last) for k, t, v, last in want], key=repr)
+    withdrawn = spark.read.parquet(f"{path}/out").filter("NOT kept")
+    assert withdrawn.count() > 0
+
+
+def test_rows_that_can_be_records_are_enough():
+    """Whatever stands before a day, chaining the rows found gives what chaining all of them does."""
+    rng = np.random.default_rng(1)
+    for trial in range(300):
+        n = int(rng.integers(1, 60))
+        at_ = np.sort(rng.choice(288, n, replace=False)) * 300_000_000
+        value, gap = rng.integers(0, 12, n).astype(float), int(rng.choice([0, 600, 3000, 90_000])) * 1_000_000
+        found, stands = followers(at_, value, gap)
+
+        def chain(rows, standing, last, at_=at_, value=value, gap=gap):
+            out = []
+            for i in rows:
+                if value[i] > standing and (last is None or at_[i] - last >= gap):
+                    out.append(int(i))
+                    standing, last = value[i], at_[i]
+            return out, standing
+
+        for standing, last in [(-np.inf, None)] + [(float(rng.integers(-1, 12)), -int(rng.integers(1, 4000)) * 1_000_000) for _ in range(6)]:
+            whole, end = chain(range(n), standing, last)
+            assert whole == chain(found, standing, last)[0], trial
+            assert end >= stands, trial
+
+
+def test_a_late_price_mends_the_days_of_a_gap(spark, tmp_path):
+    """Prices of day 1 come last; days 2 to 4 have none, day 5 has one at noon."""
+    s = "event_id long, " + SCHEMA.split(", ", 1)[1]
+    df = frame(spark, s, *[(i, at(60 * i), "NEM", "C1", 60.0, 5.0, None, False) for i in range(24 * 6)])
+    m = "interval timestamp_ntz, network_id string, network_region string, price double, is_forecast boolean"
+    prices = frame(spark, m, (at(0), "NEM", "NSW1", 10.0, False), (at(60 * 24 * 4 + 720), "NEM", "NSW1", 70.0, False), (at(60 * 24), "NEM", "NSW1", None, False), (at(600), "NEM", "NSW1", 30.0, False))
+    path = str(tmp_path)
+    rewritten = []
+    for part in (F.col("interval") != F.lit(at(600)).cast("timestamp_ntz"), F.col("interval") == F.lit(at(600)).cast("timestamp_ntz")):
+        prices.filter(part).write.mode("append").parquet(f"{path}/market")
+        df.write.mode("ignore").parquet(f"{path}/in")
+        telemetry, published = J.stream_table(spark, f"{path}/in", df.schema), J.stream_table(spark, f"{path}/market", prices.schema)
+
+        def fact(seen, known, first, last, number):
+            rewritten.append((first, last))
+            return E.unit_intervals(seen, known, units(spark), first, last, version=number, chunk="day", carry_in=True)
+
+        J.start_facts_of_both(
+            telemetry, published, ["interval", "network_id", "network_region"], fact, f"{path}/store", f"{path}/known", f"{path}/fact", f"{path}/cp", trigger=ONCE
+        ).awaitTermination()
+    got = spark.read.parquet(f"{path}/fact")
+    want = E.unit_intervals(df, prices, units(spark), at(0), at(60 * 24 * 6)).drop("version")
+    assert rows(got.select(*sorted(want.columns))) == rows(want.select(*sorted(want.columns)))
+    assert rewritten[-1] == (at(0), at(60 * 24 * 5)), "day 6 has its price from day 5 and stays"
+    assert {r[0] for r in got.filter(F.dayofmonth("interval") == 6).select("version").distinct().collect()} == {0}
+
+
+def test_the_first_to_arrive_wins(spark, tmp_path):
+    s = "k string, t timestamp_ntz, v int, n int"
+    df = frame(spark, s, ("a", at(0), 9, 4), ("a", at(0), 2, 3), ("b", at(5), 3, 1), ("a", at(0), 1, 0), ("c", at(0), None, 9), ("c", at(0), 5, 8))
+    path = str(tmp_path)
+    for _ in batches(spark, path, df.repartition(3), [F.col("n") >= 3, F.col("n") < 3]):
+        stream = J.stream_table(spark, f"{path}/in", df.schema)
+        J.start_dedupe(stream, ["k", "t"], "t", f"{path}/out", f"{path}/cp", ["n"], trigger=ONCE).awaitTermination()
+    out = spark.read.parquet(f"{path}/out")
+    assert rows(out.select("k", "v", "n", "arrived.batch")) == [("a", 2, 3, 0), ("b", 3, 1, 1), ("c", 5, 8, 0)]

@@ -726,6 +726,26 @@ def page(df: DataFrame, order: Sequence[Column], limit: int, page_number: int =
     return df.orderBy(*order).offset(skip).limit(limit).withColumn("total", total)
 
 
+def page_after(df: DataFrame, order: Sequence[tuple[str, bool]], limit: int, last: Sequence | None = None) -> DataFrame:
+    """The `limit` rows that follow the row whose order columns hold `last`, or the first ones.
+
+    `order` names columns, each with whether it ascends (nulls first) or descends (nulls last), and should end in a
+    unique one. Rows up to the last key are filtered at the scan, so however deep the page, a task keeps `limit` rows.
+    """
+    rows = df
+    if last is not None:
+        after = F.lit(False)
+        for (name, ascends), value in reversed(list(zip(order, last, strict=True))):
+            c = F.col(name)
+            if value is None:
+                beyond = c.isNotNull() if ascends else F.lit(False)
+            else:
+                beyond = c > F.lit(value) if ascends else (c < F.lit(value)) | c.isNull()
+            after = F.coalesce(beyond, F.lit(False)) | (c.eqNullSafe(F.lit(value)) & after)
+        rows = df.filter(after)
+    return rows.orderBy(*[F.col(n).asc() if up else F.col(n).desc() for n, up in order]).limit(limit)
+
+
 def history(records: DataFrame, record: str, before: datetime, n: int | None = None) -> DataFrame:
     """The records of one id before a time, newest first."""
     rows = records.filter((F.col("record_id") == record) & (F.col("interval") < ts_lit(before)))

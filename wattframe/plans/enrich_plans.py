@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from wattframe.functions.timebucket import guard_intervals
 from wattframe.operators import enrich as E
 from wattframe.operators.flows import edge_energy, flow_emissions
 from wattframe.plans.catalog import query
@@ -121,6 +122,28 @@ def _one_network(t: Tables):
     return E.unit_intervals(t.telemetry(), t.market(), t.units(), START, END, networks=["NEM"], chunk="day")
 
 
+@query(
+    "e15_guard",
+    """WITH s AS (SELECT network_id, min(interval) AS lo, max(interval) AS hi FROM x_telemetry GROUP BY 1)
+        SELECT network_id, minutes, date_diff('minute', lo, hi) // minutes AS intervals, date_diff('minute', lo, hi) / minutes <= 1000 AS allowed
+        FROM s, (VALUES (5::BIGINT), (30), (60), (1440)) AS step(minutes)""",
+)
+def _guard(t: Tables):
+    """A request for the whole span of each network at several steps: how many intervals it has, and whether it may pass."""
+    spans = t.telemetry().groupBy("network_id").agg(F.min("interval").alias("lo"), F.max("interval").alias("hi")).collect()
+
+    def asked(network: str, lo: datetime, hi: datetime, minutes: int) -> tuple:
+        step = timedelta(minutes=minutes)
+        try:
+            guard_intervals(lo, hi, step)
+        except ValueError:
+            return network, minutes, (hi - lo) // step, False
+        return network, minutes, (hi - lo) // step, True
+
+    rows = [asked(*s, minutes) for s in spans for minutes in (5, 30, 60, 1440)]
+    return t.spark.createDataFrame(rows, "network_id string, minutes long, intervals long, allowed boolean")
+
+
 @query(
     "e3_emissions",
     f"""SELECT event_id, CASE WHEN generated > 0 THEN coalesce({r4("emissions_factor_co2 * generated")}, 0) ELSE 0 END AS emissions,

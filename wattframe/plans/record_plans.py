@@ -537,6 +537,17 @@ def _page(t: Tables):
     return Q.page(rows, [F.col("value").desc(), F.col("event_id")], 50, 3)
 
 
+@query("w5_page_after", "SELECT event_id, ts, value FROM events ORDER BY value DESC, event_id LIMIT 50 OFFSET 100")
+def _page_after(t: Tables):
+    """The third page, each found by the last key of the one before."""
+    rows, order = t.read("events").select("event_id", "ts", "value"), [("value", False), ("event_id", True)]
+    key = None
+    for _ in range(2):
+        last = Q.page_after(rows, order, 50, key).agg(F.min("value"), F.max_by("event_id", F.struct(-F.col("value"), "event_id"))).first()
+        key = tuple(last)
+    return Q.page_after(rows, order, 50, key)
+
+
 @query(
     "r18_history",
     f"""WITH {_FOUND} SELECT record_id, interval, value FROM found WHERE record_id = 'au.nem.power.interval.high'

@@ -7,6 +7,7 @@ the shared folder.
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,41 +19,37 @@ from wattframe.plans.catalog import query
 from wattframe.plans.enrich_plans import _KEYED, _MARKET_FACT, _UNIT_FACT
 from wattframe.plans.metric_plans import MARKET_DAILY_SQL, rounded
 from wattframe.plans.tables import Tables
-from wattframe.session import shared_folder
+from wattframe.session import saved, shared_folder
 from wattframe.streaming import jobs as J
 
 ONCE = {"availableNow": True}
 
 
-class StreamTables(Tables):
-    """The same domain tables, their events read as a stream."""
+def _late(ts: str = "ts") -> list:
+    """The parts in which rows arrive: the second half of the month, the first, then late rows of every day."""
+    late, half = F.col("event_id") % 7 == 0, F.dayofmonth(ts) > 15
+    return [~late & half, ~late & ~half, late]
 
-    def read(self, name: str) -> DataFrame:
-        if name != "events":
-            return super().read(name)
-        schema = super().read(name).schema
-        return J.stream_table(self.spark, self.dir, schema, glob="events.parquet")
 
+def _feed(folder: str, rows: DataFrame, parts, start) -> None:
+    """Writes one part after the other to a folder, each by as many tasks as it has, and runs the job on what is new.
 
-class LateTables(Tables):
-    """The same domain tables, their events streamed as three files out of order, with late rows of every day in the last."""
+    `start` gets the folder's rows as a stream and starts the job, with the same checkpoint each time.
+    """
+    for part in parts:
+        rows.filter(part).write.mode("append").parquet(folder)
+        start(J.stream_table(rows.sparkSession, folder, rows.schema)).awaitTermination()
 
-    def __init__(self, spark, sf_dir: str, folder: str):
-        super().__init__(spark, sf_dir)
-        self.folder = folder
 
-    def read(self, name: str) -> DataFrame:
-        if name != "events":
-            return super().read(name)
-        events = super().read(name)
-        late, half = F.col("event_id") % 7 == 0, F.dayofmonth("ts") > 15
-        for part in (events.filter(~late & half), events.filter(~late & ~half), events.filter(late)):
-            part.coalesce(1).write.mode("append").parquet(self.folder)
-        return J.stream_table(self.spark, self.folder, events.schema, per_batch=1)
+class LateTables(Tables):
+    """The same domain tables, their events a stream of what has arrived in a folder."""
 
+    def __init__(self, t: Tables, events: DataFrame):
+        super().__init__(t.spark, t.dir)
+        self.events = events
 
-def _stream(t: Tables) -> StreamTables:
-    return StreamTables(t.spark, t.dir)
+    def read(self, name: str) -> DataFrame:
+        return self.events if name == "events" else super().read(name)
 
 
 def _folder(t: Tables) -> str:
@@ -63,36 +60,61 @@ def _done(job) -> None:
     job.awaitTermination()
 
 
+def _feed_telemetry(t: Tables, at: str, start) -> None:
+    """Feeds a job with telemetry in three parts out of order."""
+    _feed(f"{at}/events", t.read("events"), _late(), lambda events: start(LateTables(t, events).telemetry().select(*_CLEAN)))
+
+
 _CLEAN = ["event_id", "interval", "network_id", "unit_code", "generated", "energy", "energy_storage", "is_forecast"]
 
 
 @query("st1_unit_facts", f"WITH {_UNIT_FACT} SELECT * EXCLUDE (version) FROM unit_fact")
 def _unit_facts(t: Tables):
     at = _folder(t)
-    stream = LateTables(t.spark, t.dir, f"{at}/events").telemetry().select(*_CLEAN)
-    _done(J.start_unit_facts(stream, t.market, t.units, f"{at}/store", f"{at}/fact", f"{at}/cp", trigger=ONCE))
+    _feed_telemetry(t, at, lambda stream: J.start_unit_facts(stream, t.market, t.units, f"{at}/store", f"{at}/fact", f"{at}/cp", trigger=ONCE))
     return t.spark.read.parquet(f"{at}/fact").drop(J.DAY, "version")
 
 
-@query("st1_unit_facts_late_prices", f"WITH {_UNIT_FACT} SELECT * EXCLUDE (version) FROM unit_fact")
-def _late_prices(t: Tables):
-    """Prices as a second stream, of which half come when their readings are long there."""
+def _facts_of_both(t: Tables, market: DataFrame, late) -> DataFrame:
+    """Unit facts of two streams: telemetry in three parts, prices in two, of which the late ones come with the last part."""
     at = _folder(t)
-    market = t.market()
-    late = F.hour("interval") % 2 == 0
-    for part in (market.filter(~late), market.filter(late)):
-        part.coalesce(1).write.mode("append").parquet(f"{at}/published")
-    published = J.stream_table(t.spark, f"{at}/published", market.schema, per_batch=1)
-    stream = LateTables(t.spark, t.dir, f"{at}/events").telemetry().select(*_CLEAN)
+    prices = iter([market.filter(~late), None, market.filter(late)])
 
     def fact(readings, known, first, last, number):
         return unit_intervals(readings, known, t.units(), first, last, version=number, chunk="day", carry_in=True)
 
-    keys = ["interval", "network_id", "network_region"]
-    _done(J.start_facts_of_both(stream, published, keys, fact, f"{at}/store", f"{at}/market", f"{at}/fact", f"{at}/cp", trigger=ONCE))
+    def start(stream):
+        part = next(prices)
+        if part is not None:
+            part.write.mode("append").parquet(f"{at}/published")
+        published = J.stream_table(t.spark, f"{at}/published", market.schema)
+        keys = ["interval", "network_id", "network_region"]
+        return J.start_facts_of_both(stream, published, keys, fact, f"{at}/store", f"{at}/market", f"{at}/fact", f"{at}/cp", trigger=ONCE)
+
+    _feed_telemetry(t, at, start)
     return t.spark.read.parquet(f"{at}/fact").drop(J.DAY, "version")
 
 
+@query("st1_unit_facts_late_prices", f"WITH {_UNIT_FACT} SELECT * EXCLUDE (version) FROM unit_fact")
+def _late_prices(t: Tables):
+    """Prices as a second stream, of which half come when their readings are long there."""
+    return _facts_of_both(t, t.market(), F.hour("interval") % 2 == 0)
+
+
+_GAP = "dayofmonth(interval) BETWEEN 10 AND 12"
+
+
+@query(
+    "st1_unit_facts_price_gap",
+    f"""WITH gapped AS (SELECT * REPLACE (CASE WHEN NOT ({_GAP}) THEN price END AS price) FROM x_market),
+        {_UNIT_FACT.replace("FROM x_market", "FROM gapped")} SELECT * EXCLUDE (version) FROM unit_fact""",
+)
+def _price_gap(t: Tables):
+    """No prices for three days, and the last ones before them late: they are carried through the gap."""
+    market = t.market().withColumn("price", F.when(~F.expr(_GAP), F.col("price")))
+    return _facts_of_both(t, market, (F.dayofmonth("interval") == 9) & (F.hour("interval") >= 12))
+
+
 @query(
     "st1_market_facts",
     f"""WITH {_MARKET_FACT} SELECT * EXCLUDE (version), NULL::DOUBLE AS energy_imports, NULL::DOUBLE AS energy_exports,
@@ -101,8 +123,7 @@ def _late_prices(t: Tables):
 )
 def _market_facts(t: Tables):
     at = _folder(t)
-    stream = LateTables(t.spark, t.dir, f"{at}/events").telemetry().select(*_CLEAN)
-    _done(J.start_market_facts(stream, t.market, t.units, f"{at}/store", f"{at}/fact", f"{at}/cp", trigger=ONCE))
+    _feed_telemetry(t, at, lambda stream: J.start_market_facts(stream, t.market, t.units, f"{at}/store", f"{at}/fact", f"{at}/cp", trigger=ONCE))
     return t.spark.read.parquet(f"{at}/fact").drop(J.DAY, "version")
 
 
@@ -120,40 +141,42 @@ def _rebuild(t: Tables):
     return rounded(t.spark.read.parquet(f"{at}/daily").drop(J.DAY), 4)
 
 
-@query(
-    "st3_tumbling_rollup",
-    """SELECT time_bucket(INTERVAL '5 minutes', ts) AS interval, event_type, round(sum(value), 4) AS value, count(*) AS readings FROM events
-        WHERE time_bucket(INTERVAL '5 minutes', ts) + INTERVAL 5 MINUTES <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1, 2""",
-)
-def _tumbling(t: Tables):
-    """The windows that were closed an hour before the newest event, as the SQL has them."""
-    newest = t.read("events").agg(F.max(F.col("ts").cast("timestamp_ntz")).alias("newest"))
-    closed = F.expr("interval + INTERVAL 5 MINUTES <= newest - INTERVAL 1 HOUR")
-    out = _tumbling_all(t)
-    return out.crossJoin(F.broadcast(newest)).filter(closed).select(*out.columns)
+_TUMBLING = """SELECT time_bucket(INTERVAL '5 minutes', ts) AS interval, event_type, round(sum(value), 4) AS value, count(*) AS readings
+        FROM events GROUP BY 1, 2"""
 
 
-@query(
-    "st3_tumbling_rollup_all",
-    "SELECT time_bucket(INTERVAL '5 minutes', ts) AS interval, event_type, round(sum(value), 4) AS value, count(*) AS readings FROM events GROUP BY 1, 2",
-)
-def _tumbling_all(t: Tables):
+@query("st3_tumbling_rollup", _TUMBLING)
+@query("st3_tumbling_rollup_all", _TUMBLING)
+def _tumbling(t: Tables):
     """Every window, late rows and the newest hour included."""
     at = _folder(t)
-    events = LateTables(t.spark, t.dir, f"{at}/events").read("events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    _done(J.start_rollup(events, ["event_type"], ["value"], "ts", f"{at}/store", f"{at}/out", f"{at}/cp", trigger=ONCE))
+    events = t.read("events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    _feed(
+        f"{at}/events", events, _late(),
+        lambda stream: J.start_rollup(stream, ["event_type"], ["value"], "ts", f"{at}/store", f"{at}/out", f"{at}/cp", trigger=ONCE),
+    )
     return t.spark.read.parquet(f"{at}/out").select("interval", "event_type", F.round("value", 4).alias("value"), "readings")
 
 
+_PART = "CASE WHEN event_id % 7 = 0 THEN 2 WHEN day(ts) > 15 THEN 0 ELSE 1 END"
+
+
 @query(
     "st4_dedupe_first",
-    "SELECT DISTINCT user_id, time_bucket(INTERVAL '30 minutes', ts) AS interval FROM events",
+    f"""SELECT user_id, time_bucket(INTERVAL '30 minutes', ts) AS interval, arg_min(value, ({_PART}, event_id)) AS value, min(({_PART}, event_id))[2] AS event_id,
+            min({_PART})::BIGINT AS batch FROM events GROUP BY 1, 2""",
 )
 def _dedupe(t: Tables):
+    """The value of each half-hour that arrived first, in the order of three parts and of event_id inside a part."""
     at = _folder(t)
-    events = LateTables(t.spark, t.dir, f"{at}/events").read("events").select("user_id", bucket("ts", "30m").alias("interval"), "value")
-    _done(J.start_dedupe(events, ["user_id", "interval"], "interval", f"{at}/out", f"{at}/cp", trigger=ONCE))
-    return t.spark.read.parquet(f"{at}/out").select("user_id", "interval")
+    events = t.read("events").withColumn("interval", bucket("ts", "30m"))
+
+    def start(stream):
+        rows = stream.select("user_id", "interval", "value", "event_id")
+        return J.start_dedupe(rows, ["user_id", "interval"], "interval", f"{at}/out", f"{at}/cp", ["event_id"], trigger=ONCE)
+
+    _feed(f"{at}/events", events, _late(), start)
+    return t.spark.read.parquet(f"{at}/out").select("user_id", "interval", "value", "event_id", "arrived.batch")
 
 
 @query(
@@ -162,9 +185,15 @@ def _dedupe(t: Tables):
             row_number() OVER (PARTITION BY user_id, time_bucket(INTERVAL '30 minutes', ts) ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1""",
 )
 def _upsert(t: Tables):
+    """The events come in their order, in two parts."""
     at = _folder(t)
-    events = _stream(t).read("events").select("user_id", bucket("ts", "30m").alias("interval"), "value", "event_id")
-    _done(J.start_upsert(events, ["user_id", "interval"], "event_id", "interval", f"{at}/out", f"{at}/cp", trigger=ONCE))
+    events = t.read("events").withColumn("interval", bucket("ts", "30m")).select("user_id", "interval", "value", "event_id")
+    middle = events.agg(F.max("event_id") / 2).scalar()
+    early = F.col("event_id") <= middle
+    _feed(
+        f"{at}/events", events, [early, ~early],
+        lambda stream: J.start_upsert(stream, ["user_id", "interval"], "event_id", "interval", f"{at}/out", f"{at}/cp", trigger=ONCE),
+    )
     return t.spark.read.parquet(f"{at}/out").drop(J.DAY)
 
 
@@ -183,6 +212,7 @@ def _upsert(t: Tables):
         FROM kept k JOIN s USING (record_id) WHERE s.interval = k.since""",
 )
 def _records(t: Tables):
+    """The demand of every region, in three parts out of order: late readings are judged where they belong."""
     at = _folder(t)
     series = t.ms().select(
         F.concat(F.lit("au.nem."), F.lower("network_region"), F.lit(".demand.interval.high")).alias("record_id"),
@@ -192,10 +222,11 @@ def _records(t: Tables):
         F.lit("interval").alias("period"),
         F.lit(0).alias("digits"),
     )
-    series.write.parquet(f"{at}/source")
-    stream = J.stream_table(t.spark, f"{at}/source", series.schema)
-    _done(J.start_records(stream, f"{at}/out", f"{at}/cp", trigger=ONCE))
-    return t.spark.read.parquet(f"{at}/out")
+    series = saved(series, "series")
+    late, half = F.minute("interval") % 7 == 0, F.dayofmonth("interval") > 15
+    parts = [~late & half, ~late & ~half, late]
+    _feed(f"{at}/source", series, parts, lambda stream: J.start_records(stream, f"{at}/out", f"{at}/cp", trigger=ONCE))
+    return J.read_records(t.spark, f"{at}/out")
 
 
 @query(
@@ -210,13 +241,10 @@ def _energy(t: Tables):
     from wattframe.plans.enrich_plans import keyed_telemetry
 
     at = _folder(t)
-    rows = keyed_telemetry(t)
     # Out of order, and the readings before midnight last.
     late, half = F.hour("interval") == 23, F.dayofmonth("interval") > 15
-    for part in (rows.filter(~late & half), rows.filter(~late & ~half), rows.filter(late)):
-        part.coalesce(1).write.mode("append").parquet(f"{at}/source")
-    stream = J.stream_table(t.spark, f"{at}/source", rows.schema, per_batch=1)
-    _done(J.start_energy(stream, f"{at}/store", f"{at}/energy", f"{at}/cp", trigger=ONCE))
+    parts = [~late & half, ~late & ~half, late]
+    _feed(f"{at}/source", keyed_telemetry(t), parts, lambda stream: J.start_energy(stream, f"{at}/store", f"{at}/energy", f"{at}/cp", trigger=ONCE))
     return t.spark.read.parquet(f"{at}/energy").drop(J.DAY)
 
 
@@ -224,14 +252,18 @@ def _energy(t: Tables):
     "st7_feed_silence",
     """WITH s AS (SELECT network_id, max(interval) AS last_seen FROM x_telemetry WHERE network_id <> 'WEM' OR interval < TIMESTAMP '2024-01-20' GROUP BY 1),
         c AS (SELECT max(last_seen) AS now FROM s)
-        SELECT network_id, last_seen, now AS noticed_at FROM s, c WHERE last_seen + INTERVAL 30 MINUTES < now""",
+        SELECT network_id, last_seen, last_seen + INTERVAL 30 MINUTES AS silent_since FROM s, c WHERE last_seen + INTERVAL 30 MINUTES < now""",
 )
 def _silence(t: Tables):
+    """A replay in three parts out of order, so the newest reading of all feeds is the time."""
     at = _folder(t)
     heard = (F.col("network_id") != "WEM") | (F.col("interval") < F.lit("2024-01-20").cast("timestamp_ntz"))
-    stream = _stream(t).telemetry().filter(heard)
-    _done(J.start_silence_alert(stream, f"{at}/out", f"{at}/cp", trigger=ONCE))
-    return J.read_alerts(t.spark, f"{at}/out").drop("batch")
+
+    def start(stream):
+        return J.start_silence_alert(stream.filter(heard), f"{at}/out", f"{at}/cp", clock="EventTime", lateness=timedelta(days=366), trigger=ONCE)
+
+    _feed_telemetry(t, at, start)
+    return J.read_alerts(t.spark, f"{at}/out")
 
 
 @query(

@@ -10,17 +10,19 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from datetime import date, datetime, timedelta
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.window import Window
 
-from wattframe.functions.timebucket import ts_lit
 from wattframe.operators.enrich import market_summary, trapezoid_energy, unit_intervals
 from wattframe.operators.records import instance_id
 from wattframe.operators.versioning import dedupe_last, upsert
+from wattframe.streaming.state import FeedWatch, RecordDays, keyed_state
 
 DAY = "yyyymmdd"
 
@@ -97,14 +99,14 @@ def merge_days(batch: DataFrame, path: str, keys: Sequence[str], ts: str, column
     write_days(merged, path, ts)
 
 
-def touched_days(batch: DataFrame, store: str, ts: str = "interval") -> list[tuple[datetime, datetime]]:
-    """Runs [first, last) of days to recompute: those a batch touches, and the day after each if the store has it.
+def touched_days(batch: DataFrame, store: str, ts: str = "interval") -> set[date]:
+    """The days to recompute: those a batch touches, and the day after each if the store has it.
 
     The first rows of a day are paired with or filled from the last ones of the day before. Only distinct days come to
     the driver, a number the calendar bounds, so one late row recomputes a day or two whatever lies between.
     """
     own = batch_days(batch, ts)
-    return runs_of_days(own | days_after(own, batch.sparkSession, store, StructType(batch.schema.fields)))
+    return own | days_after(own, batch.sparkSession, store, StructType(batch.schema.fields))
 
 
 def batch_days(batch: DataFrame, ts: str = "interval") -> set[date]:
@@ -123,35 +125,37 @@ def days_after(days: set[date], spark: SparkSession, store: str, schema: StructT
     return {d for d in after if int(d.strftime("%Y%m%d")) in there}
 
 
-def runs_of_days(days: set[date]) -> list[tuple[datetime, datetime]]:
-    """Neighbouring days as runs [first, last)."""
-    runs: list[tuple[datetime, datetime]] = []
-    for day in sorted(days):
-        first = datetime.combine(day, datetime.min.time())
-        if runs and runs[-1][1] == first:
-            runs[-1] = (runs[-1][0], first + timedelta(days=1))
-        else:
-            runs.append((first, first + timedelta(days=1)))
-    return runs
+def day_number(day: date) -> int:
+    return day.year * 10_000 + day.month * 100 + day.day
+
+
+def of_days(df: DataFrame, days: set[date], before: int = 0) -> DataFrame:
+    """The rows of these days of a day-partitioned table, and of so many days before each; other files aren't read."""
+    wanted = {d - timedelta(days=n) for d in days for n in range(before + 1)}
+    return df.filter(F.col(DAY).isin(sorted(map(day_number, wanted))))
+
+
+def span(days: set[date]) -> tuple[datetime, datetime]:
+    """From the first of the days to the end of the last."""
+    first, last = (datetime.combine(d, datetime.min.time()) for d in (min(days), max(days)))
+    return first, last + timedelta(days=1)
 
 
 def recompute(batch: DataFrame, store: str, sink: str, keys: Sequence[str], fact: Callable[[DataFrame, datetime, datetime], DataFrame], ts: str = "interval") -> None:
     """Merge a batch into the store and rewrite the touched days of the sink from it.
 
-    `fact` gets the stored rows from the day before a run of days on, and its ends; rows outside the run are left out.
-    The batch is read once from its source, however many steps follow.
+    `fact` gets the stored rows of the touched days and the day before each, and the ends of the whole span; its rows on
+    other days are left out. All days are recomputed in one job, however they lie. The batch is read once from
+    its source, however many steps follow.
     """
     batch = batch.persist()
     try:
         if batch.isEmpty():
             return
         merge_days(batch, store, keys, ts, [c for c in batch.columns if c not in keys])
-        schema = StructType(batch.schema.fields)
-        for first, last in touched_days(batch, store, ts):
-            lo, hi = (int(d.strftime("%Y%m%d")) for d in (first - timedelta(days=1), last))
-            window = read_days(batch.sparkSession, store, schema).filter(F.col(DAY).between(lo, hi)).drop(DAY)
-            rows = fact(window, first, last).filter((F.col(ts) >= ts_lit(first)) & (F.col(ts) < ts_lit(last)))
-            write_days(rows, sink, ts)
+        days = touched_days(batch, store, ts)
+        window = of_days(read_days(batch.sparkSession, store, StructType(batch.schema.fields)), days, 1).drop(DAY)
+        write_days(of_days(_tagged(fact(window, *span(days)), ts), days), sink, ts)
     finally:
         batch.unpersist()
 
@@ -165,21 +169,32 @@ def _known_days(batch: DataFrame, path: str, schema: StructType, ts: str) -> Dat
     return read_days(batch.sparkSession, path, schema).filter(F.col(DAY).isin(days) | F.col(DAY).isNull())
 
 
-def start_dedupe(stream: DataFrame, keys: Sequence[str], ts: str, sink: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Duplicate-tolerant append: the first row of a key wins, however late the next one comes. The key holds the time."""
+ARRIVED = "arrived"
+
+
+def start_dedupe(stream: DataFrame, keys: Sequence[str], ts: str, sink: str, checkpoint: str, order: Sequence[str] = (), trigger: dict | None = None) -> StreamingQuery:
+    """Duplicate-tolerant append: the row of a key that arrived first wins, however late the next one comes.
+
+    The order of arrival is the batch, then the columns `order` (those of the source that tell it, an offset or a
+    sequence number), then the rest of the row, and is kept with each key as `arrived`. So the winner depends neither on
+    the layout of a batch nor on how often it is run. The key holds the time, by which rows are merged by day.
+    """
     if ts not in keys:
         raise ValueError(f"the key must hold {ts}: rows are merged by day")
 
-    def work(batch: DataFrame, _: int) -> None:
-        batch = batch.dropDuplicates(list(keys)).persist()
+    def work(batch: DataFrame, number: int) -> None:
+        own = [*order, *[c for c in batch.columns if c not in (*keys, *order)]]
+        arrived = F.struct(F.lit(number).cast("long").alias("batch"), *[F.col(c) for c in own])
+        new = batch.select("*", arrived.alias(ARRIVED)).groupBy(*keys)
+        new = new.agg(F.min_by(F.struct(*own, ARRIVED) if own else F.struct(ARRIVED), ARRIVED).alias("row"))
+        new = _tagged(new.select(*keys, "row.*").select(*batch.columns, ARRIVED), ts).persist()
         try:
-            known = _known_days(batch, sink, StructType(batch.schema.fields), ts)
-            there = known.select(*[F.col(c).alias(f"_{c}") for c in keys])
-            same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
-            fresh = _tagged(batch, ts).join(there, same, "left_anti")
-            write_days(known.unionByName(fresh), sink, ts)
+            schema = StructType([f for f in new.schema.fields if f.name != DAY])
+            known = _known_days(new, sink, schema, ts).filter(F.col(f"{ARRIVED}.batch") != number)
+            first = known.unionByName(new).groupBy(*keys, DAY).agg(F.min_by(F.struct(*own, ARRIVED), ARRIVED).alias("row"))
+            write_days(first.select(*keys, DAY, "row.*"), sink, ts)
         finally:
-            batch.unpersist()
+            new.unpersist()
 
     return _run(stream, work, checkpoint, trigger)
 
@@ -200,17 +215,45 @@ def start_upsert(stream: DataFrame, keys: Sequence[str], order: str, ts: str, si
 Fact = Callable[[DataFrame, DataFrame, datetime, datetime, int], DataFrame]
 
 
+def _last_prices(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The last priced row of each day and region in the layout of `rows`, all but keys and price null; null where a day has no price."""
+    price = F.when(F.col("price").isNotNull(), F.struct("interval", "price"))
+    last = rows.groupBy(DAY, *by).agg(F.max_by(price, F.when(price.isNotNull(), F.col("interval"))).alias("last"), F.min("interval").alias("first"))
+    here = {"interval": F.coalesce("last.interval", "first"), "price": F.col("last.price"), **{k: F.col(k) for k in by}}
+    others = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema if f.name not in (*here, DAY)]
+    return last.select(*[c.alias(n) for n, c in here.items()], *others, DAY)
+
+
+def _healed_days(changed: set[date], prices: DataFrame, by: Sequence[str], stored: DataFrame) -> set[date]:
+    """The stored days that prices of these days are carried into: up to the day of the region's next price, or all later ones.
+
+    Read from the table of last prices and the list of stored days alone.
+    """
+    spark = prices.sparkSession
+    days = spark.createDataFrame([(day_number(d),) for d in changed], "changed int")
+    there = prices.select(F.col(DAY).alias("changed"), *by).join(F.broadcast(days), "changed", "left_semi")
+    next_price = F.min(F.when(F.col("price").isNotNull() & (F.col(DAY) > F.col("changed")), F.col(DAY))).alias("until")
+    until = there.join(prices.select(*by, DAY, "price"), list(by)).groupBy("changed", *by).agg(next_price)
+    until = until.groupBy("changed").agg(F.max(F.coalesce("until", F.lit(99_999_999))).alias("until"))
+    carried = stored.select(DAY).distinct().join(F.broadcast(until), F.col(DAY).between(F.col("changed"), F.col("until")))
+    return {datetime.strptime(str(r[0]), "%Y%m%d").date() for r in carried.select(DAY).distinct().collect()}
+
+
 def start_facts_of_both(telemetry: DataFrame, market: DataFrame, market_keys: Sequence[str], fact: Fact, store: str, market_store: str, sink: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Keeps a fact up to date with arriving telemetry (one row per event_id) and market rows alike.
 
     Both sources run in one query, so no two writers meet in a day: a batch merges its telemetry and its market
-    rows into their stores and recomputes the days either touches, so a price that comes after its readings
-    values them again. `fact` gets the stored telemetry from the day before a run of days on, the stored market up to
-    its end, the ends of the run and the number of the batch.
+    rows into their stores and recomputes in one job the days either touches. `<market_store>-last` holds the last
+    price of each region and day and is rewritten for the days that change. By it a late price also mends the days it is
+    carried into, through a gap of any length up to the region's next price; and `fact` gets, instead of
+    all history, the market rows of the days in hand and the last prices of all others, beside the stored
+    telemetry of those days and the day before each, the ends of their span and the number of the batch.
     """
     both = telemetry.select(F.struct("*").alias("reading"), F.lit(None).cast(market.schema).alias("published"))
     both = both.unionByName(market.select(F.lit(None).cast(telemetry.schema).alias("reading"), F.struct("*").alias("published")))
     keys = ["event_id", "interval"]
+    by = [k for k in market_keys if k != "interval"]
+    last_store = f"{market_store}-last"
 
     def work(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -219,16 +262,26 @@ def start_facts_of_both(telemetry: DataFrame, market: DataFrame, market_keys: Se
             readings = batch.filter(F.col("reading").isNotNull()).select("reading.*")
             published = batch.filter(F.col("published").isNotNull()).select("published.*")
             days = set()
-            for rows, path, own in ((readings, store, keys), (published, market_store, list(market_keys))):
-                if not rows.isEmpty():
-                    merge_days(rows, path, own, "interval", [c for c in rows.columns if c not in own])
-                    days |= batch_days(rows)
-            for first, last in runs_of_days(days | days_after(days, spark, store, telemetry.schema)):
-                lo, hi = (int(d.strftime("%Y%m%d")) for d in (first - timedelta(days=1), last))
-                window = read_days(spark, store, telemetry.schema).filter(F.col(DAY).between(lo, hi)).drop(DAY)
-                known = read_days(spark, market_store, market.schema).filter(F.col(DAY) <= hi).drop(DAY)
-                rows = fact(window, known, first, last, number)
-                write_days(rows.filter((F.col("interval") >= ts_lit(first)) & (F.col("interval") < ts_lit(last))), sink, "interval")
+            if not readings.isEmpty():
+                merge_days(readings, store, keys, "interval", [c for c in readings.columns if c not in keys])
+                days |= batch_days(readings)
+            days |= days_after(days, spark, store, telemetry.schema)
+            if not published.isEmpty():
+                merge_days(published, market_store, list(market_keys), "interval", [c for c in published.columns if c not in market_keys])
+                changed = batch_days(published)
+                write_days(_last_prices(of_days(read_days(spark, market_store, market.schema), changed), by), last_store, "interval")
+                days |= changed | days_after(changed, spark, store, telemetry.schema)
+                last = read_days(spark, last_store, market.schema)
+                days |= _healed_days(changed, last, by, read_days(spark, store, telemetry.schema))
+            if not days:
+                return
+            first, end = span(days)
+            window = of_days(read_days(spark, store, telemetry.schema), days, 1).drop(DAY)
+            near = of_days(read_days(spark, market_store, market.schema), days, 1)
+            last = read_days(spark, last_store, market.schema).filter(F.col(DAY) <= day_number(max(days)))
+            here = sorted({day_number(d - timedelta(days=n)) for d in days for n in (0, 1)})
+            known = near.unionByName(last.filter(~F.col(DAY).isin(here))).drop(DAY)
+            write_days(of_days(_tagged(fact(window, known, first, end, number), "interval"), days), sink, "interval")
         finally:
             batch.unpersist()
 
@@ -317,77 +370,131 @@ def start_energy(stream: DataFrame, store: str, sink: str, checkpoint: str, look
 
 # --- records and alerts ------------------------------------------------------------------------------
 
-RECORD_STATE = "value double, at timestamp"
-RECORD_OUT = "record_id string, interval timestamp, value double, previous_interval timestamp"
+RECORD_DAY = "record_id string, day int, at long, value double, turned double, gap long, stands double"
+RECORD = "record_id string, interval timestamp_ntz, value double, turned double, previous_interval timestamp_ntz, kept boolean"
+
+
+def _chained(rows: pd.DataFrame) -> pd.DataFrame:
+    """The records of one id among the rows that may be, in order of time; the first may say what stood before."""
+    kept, standing, at = [], -np.inf, None
+    for r in rows.sort_values(["at", "known"]).itertuples(index=False):
+        if r.known:
+            standing, at = r.turned, r.at
+        elif r.turned > standing and (at is None or r.at - at >= max(r.gap, 1)):
+            kept.append((r.record_id, r.at, r.value, r.turned, at))
+            standing, at = r.turned, r.at
+    return pd.DataFrame(kept, columns=["record_id", "at", "value", "turned", "before"]).astype({"before": "Int64"})
 
 
 def start_records(stream: DataFrame, sink: str, checkpoint: str, min_intervals: int = 10, interval_minutes: int = 5, trigger: dict | None = None) -> StreamingQuery:
-    """Keeps the standing record of each id in state and emits new ones.
+    """Keeps the records of each id, judged anew when late rows come.
+
+    `stream` has record_id, interval, value, aggregate, period and digits, one row per id and interval; the last that
+    comes counts. A record that follows the last kept one within the debounce window is dropped, and the next is
+    judged by the kept one. Every record names itself (instance_id) and the one it replaced.
 
-    `stream` has record_id, interval, value, aggregate, period and digits, one
-    row per id and interval. A record that follows the last kept one within
-    the debounce window is dropped, and the next is judged by the kept one. Every
-    record names itself (instance_id) and the one it replaced.
+    The rows of an id and day are one key of state, so a batch of one id is spread by its days. A day hands on the few
+    rows that can be records whatever stood before it, kept by day in `<sink>-days`. From the earliest day a batch
+    touches, an id's days that can still hold a record (their best beats what must stand by then) are chained, starting
+    from the record before. Records that no longer stand stay in the sink with kept = false; read the standing ones with
+    `read_records`. Null and zero values are no readings.
     """
-    window = pd.Timedelta(minutes=min_intervals * interval_minutes)
-
-    def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        value, at = (state.get[0], pd.Timestamp(state.get[1])) if state.exists else (None, None)
-        rows = pd.concat(list(batches), ignore_index=True).sort_values("interval")
-        kept = []
-        for r in rows.itertuples(index=False):
-            if not r.value or pd.isna(r.value):
-                continue
-            rounded = round(r.value, int(r.digits))
-            if value is not None:
-                better = rounded > value if r.aggregate == "high" else rounded < value
-                near = r.period == "interval" and r.interval - at < window
-                if r.interval <= at or not better or near:
-                    continue
-            kept.append((key[0], r.interval, r.value, at))
-            value, at = rounded, r.interval
-        if kept:
-            state.update((float(value), at.to_pydatetime()))
-            yield pd.DataFrame(kept, columns=["record_id", "interval", "value", "previous_interval"])
-
-    # State keeps zoned timestamps; the session runs in UTC.
-    typed = stream.withColumn("interval", F.col("interval").cast("timestamp"))
-    out = typed.groupBy("record_id").applyInPandasWithState(
-        judge, RECORD_OUT, RECORD_STATE, "append", GroupStateTimeout.NoTimeout
-    )
-    naive = out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("interval", "previous_interval")})
-    before = F.col("previous_interval")
-    naive = naive.withColumn("instance_id", instance_id(F.col("record_id"), F.col("interval"))).withColumn(
-        "previous_instance_id", F.when(before.isNotNull(), instance_id(F.col("record_id"), before))
-    )
-    writer = naive.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
-    return writer.outputMode("append").trigger(**(trigger or {"processingTime": "5 minutes"})).start()
+    spark, days = stream.sparkSession, f"{sink}-days"
+    gap = timedelta(minutes=min_intervals * interval_minutes)
+    usable = stream.filter(F.coalesce(F.col("value") != 0, F.lit(False)) & ~F.isnan("value"))
+    zoned = F.col("interval").cast("timestamp")
+    rows = usable.select(
+        "record_id", F.date_format("interval", "yyyyMMdd").cast("int").alias("day"), F.unix_micros(zoned).alias("at"),
+        F.col("value").cast("double").alias("value"), "aggregate", "period", F.col("digits").cast("int").alias("digits"),
+    )
+    judged = rows.groupBy("record_id", "day").transformWithStateInPandas(RecordDays(gap), RECORD_DAY, "Update", "None")
+    candidates, records = (StructType.fromDDL(s) for s in (RECORD_DAY, RECORD))
+    stamp = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
 
+    def work(batch: DataFrame, _: int) -> None:
+        batch = batch.withColumn(DAY, F.col("day")).persist()
+        try:
+            changed = batch.select("record_id", DAY).distinct()
+            touched = [r[0] for r in changed.select(DAY).distinct().collect()]
+            if not touched:
+                return
+            stored = read_days(spark, days, candidates).filter(F.col(DAY).isin(touched))
+            write_days(stored.join(changed, ["record_id", DAY], "left_anti").unionByName(batch), days, "at")
+            since = changed.groupBy("record_id").agg(F.min(DAY).alias("since"))
+            told = read_days(spark, sink, records)
+            held = told.join(since, "record_id")
+            before = held.filter(F.col("kept") & (F.col(DAY) < F.col("since"))).groupBy("record_id")
+            before = before.agg(F.max_by(F.struct("interval", "value", "turned"), "interval").alias("b"))
+            # Rows from there on, of days whose best beats what stood at the end of some day before it.
+            ahead = read_days(spark, days, candidates).filter(F.col(DAY) >= min(touched)).join(since, "record_id").filter(F.col(DAY) >= F.col("since"))
+            so_far = Window.partitionBy("record_id").orderBy(DAY).rowsBetween(Window.unboundedPreceding, -1)
+            best = ahead.groupBy("record_id", DAY).agg(F.max("turned").alias("best"), F.max("stands").alias("stands"))
+            open_days = best.withColumn("must", F.max("stands").over(so_far)).join(before, "record_id", "left")
+            beats = (F.col("best") > F.coalesce("must", F.lit(float("-inf")))) & (F.col("best") > F.coalesce("b.turned", F.lit(float("-inf"))))
+            chain = ahead.join(open_days.filter(beats).select("record_id", DAY), ["record_id", DAY], "left_semi")
+            chain = chain.select("record_id", "at", "value", "turned", "gap", F.lit(False).alias("known"))
+            at = F.unix_micros(F.col("b.interval").cast("timestamp"))
+            chain = chain.unionByName(before.select("record_id", at.alias("at"), "b.value", "b.turned", F.lit(0).cast("long").alias("gap"), F.lit(True).alias("known")))
+            shape = "record_id string, at long, value double, turned double, before long"
+            now = chain.groupBy("record_id").applyInPandas(_chained, shape).select(
+                "record_id", stamp("at").alias("interval"), "value", "turned", stamp("before").alias("previous_interval"), F.lit(True).alias("kept")
+            )
+            now = _tagged(now, "interval").persist()
+            gone = held.filter(F.col("kept") & (F.col(DAY) >= F.col("since"))).drop("since")
+            gone = gone.join(now.select("record_id", "interval"), ["record_id", "interval"], "left_anti").withColumn("kept", F.lit(False))
+            new = now.unionByName(gone).persist()
+            rewritten = [r[0] for r in new.select(DAY).distinct().collect()]
+            rest = told.filter(F.col(DAY).isin(rewritten)).join(new.select("record_id", "interval"), ["record_id", "interval"], "left_anti")
+            write_days(rest.unionByName(new), sink, "interval")
+            new.unpersist()
+            now.unpersist()
+        finally:
+            batch.unpersist()
 
-def start_silence_alert(stream: DataFrame, sink: str, checkpoint: str, limit: timedelta = timedelta(minutes=30), clock: Callable[[], datetime] | None = None, trigger: dict | None = None) -> StreamingQuery:
-    """After every batch, which feeds have been silent for longer than the limit.
+    with keyed_state(spark):
+        writer = judged.writeStream.outputMode("update").foreachBatch(work).option("checkpointLocation", checkpoint)
+        return writer.trigger(**(trigger or {"processingTime": "5 minutes"})).start()
 
-    A batch is boiled down to one row per network before anything else; the
-    last-seen table is one tiny version per batch. Without a clock the newest
-    reading of all feeds is the time.
-    """
-    schema = StructType.fromDDL("network_id string, last_seen timestamp_ntz")
 
-    def work(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        seen = batch.groupBy("network_id").agg(F.max("interval").alias("last_seen"))
-        if number > 0:
-            before = spark.read.schema(schema).parquet(f"{sink}/seen/batch={number - 1}")
-            seen = seen.unionByName(before).groupBy("network_id").agg(F.max("last_seen").alias("last_seen"))
-        seen.write.mode("overwrite").parquet(f"{sink}/seen/batch={number}")
-        state = spark.read.schema(schema).parquet(f"{sink}/seen/batch={number}")
-        now = ts_lit(clock()) if clock else state.agg(F.max("last_seen")).scalar()
-        silent = state.filter(F.col("last_seen") + F.lit(limit) < now).withColumn("noticed_at", now)
-        silent.write.mode("overwrite").parquet(f"{sink}/alerts/batch={number}")
+def read_records(spark: SparkSession, sink: str) -> DataFrame:
+    """The records that stand, each with its name and that of the one it replaced."""
+    kept = read_days(spark, sink, StructType.fromDDL(RECORD)).filter("kept").drop("kept", "turned", DAY)
+    before = F.col("previous_interval")
+    return kept.withColumn("instance_id", instance_id(F.col("record_id"), F.col("interval"))).withColumn(
+        "previous_instance_id", F.when(before.isNotNull(), instance_id(F.col("record_id"), before))
+    )
 
-    return _run(stream, work, checkpoint, trigger)
 
+def start_silence_alert(stream: DataFrame, sink: str, checkpoint: str, limit: timedelta = timedelta(minutes=30), clock: str = "ProcessingTime", lateness: timedelta = timedelta(hours=1), trigger: dict | None = None) -> StreamingQuery:
+    """Tells which feeds have been silent for longer than the limit, and which are heard again.
 
-def read_alerts(spark: SparkSession, sink: str) -> DataFrame:
-    schema = "network_id string, last_seen timestamp_ntz, noticed_at timestamp_ntz, batch int"
-    return spark.read.schema(schema).option("basePath", f"{sink}/alerts").parquet(f"{sink}/alerts/batch=*")
+    Each feed keeps its newest reading and one timer. With the clock "ProcessingTime" (live) a timer is due `limit` after
+    the feed was last heard and fires by itself, also when every feed has stopped and no rows come. With "EventTime"
+    (replays) the newest reading of all feeds is the time, and rows later than `lateness` aren't looked at.
+    A task boils its rows down to one for each feed before they are shuffled. `sink` holds a row for every change:
+    network_id, last_seen, silent.
+    """
+    spark = stream.sparkSession
+
+    def newest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.Table.from_batches([batch]).group_by("network_id").aggregate([("interval", "max")])
+            yield from found.rename_columns(["network_id", "interval"]).select(["network_id", "interval"]).to_batches()
+
+    rows = stream.select("network_id", F.col("interval").cast("timestamp").alias("interval"))
+    rows = rows.filter("network_id IS NOT NULL AND interval IS NOT NULL").mapInArrow(newest, "network_id string, interval timestamp")
+    if clock == "EventTime":
+        rows = rows.withWatermark("interval", f"{int(lateness.total_seconds())} seconds")
+    watch = FeedWatch(limit, clock, lateness)
+    told = rows.groupBy("network_id").transformWithStateInPandas(watch, "network_id string, last_seen timestamp, silent boolean", "Append", clock)
+    told = told.withColumn("last_seen", F.col("last_seen").cast("timestamp_ntz"))
+    with keyed_state(spark):
+        writer = told.writeStream.outputMode("append").format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
+        return writer.trigger(**(trigger or {"processingTime": "1 minute"})).start()
+
+
+def read_alerts(spark: SparkSession, sink: str, limit: timedelta = timedelta(minutes=30)) -> DataFrame:
+    """The feeds silent now, their newest reading and since when they are overdue."""
+    told = spark.read.schema("network_id string, last_seen timestamp_ntz, silent boolean").parquet(sink)
+    last = told.groupBy("network_id").agg(F.max(F.struct("last_seen", "silent")).alias("last"))
+    return last.filter("last.silent").select("network_id", "last.last_seen", (F.col("last.last_seen") + F.lit(limit)).alias("silent_since"))
