@@ -10,8 +10,8 @@ from wattframe.llm.common import written
 
 #: Shorter lines are left alone.
 MIN_CHARS = 20
-#: Edits (insert, delete or replace one code point) within which two lines count as the same.
-EDITS = 1
+#: Code points of a line above which its variants are made in one pass over it.
+LONG = 1024
 
 
 def _document(text: Column) -> Column:
@@ -42,6 +42,29 @@ def _occurrences(docs: DataFrame, min_chars: int, halves: bool) -> DataFrame:
     )
 
 
+def _long_variants(lines: DataFrame) -> DataFrame:
+    """(me, key, place) of the variants of long lines, in time that grows with a line and not with its square.
+
+    The key of a string is the exclusive or of a hash of each code point and its place. That of a variant is the part
+    before the deletion together with the part behind it, moved by one place, so one pass over a line's code
+    points gives all its variants.
+    """
+    points = lines.select("me", "start", "stop", F.posexplode(F.split("line", "")).alias("i", "c"))
+    so_far = Window.partitionBy("me").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    moved = F.xxhash64(F.col("i") - 1, "c")
+    sums = points.select(
+        "me", "start", "stop", "i",
+        F.coalesce(F.bit_xor(F.xxhash64("i", "c")).over(so_far), F.lit(0)).alias("before"),
+        F.coalesce(F.bit_xor(moved).over(so_far), F.lit(0)).bitwiseXOR(moved).alias("moved"),
+    )
+    whole = points.groupBy("me").agg(F.bit_xor(F.xxhash64("i", "c")).alias("whole"), F.bit_xor(moved).alias("all"))
+    sums = sums.join(whole.withColumnRenamed("me", "_me"), F.col("me") == F.col("_me"))
+    place = F.col("i") + 1
+    key = F.col("before").bitwiseXOR(F.col("all")).bitwiseXOR(F.col("moved"))
+    variants = sums.where(place.between(F.col("start"), F.col("stop"))).select("me", key.alias("key"), place.alias("place"))
+    return variants.unionByName(whole.select("me", F.col("whole").alias("key"), F.lit(0).alias("place")))
+
+
 def _neighbours(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """For each distinct line the earliest earlier line within one edit: (h, g, near)."""
     # Lines that share a half with another line; no other line can have a partner.
@@ -76,30 +99,38 @@ def _neighbours(docs: DataFrame, distinct: DataFrame) -> DataFrame:
         lambda i: F.struct(F.xxhash64(F.overlay("line", F.lit(""), i, F.lit(1))).alias("key"), i.alias("place")),
     )
     whole = F.array(F.struct(F.col("h").alias("key"), F.lit(0).alias("place")))
-    variants = found.select(
-        F.struct("first", "h", "g").alias("me"), F.explode(F.concat(deleted, whole)).alias("v")
-    ).select("me", "v.key", "v.place")
+    me = F.struct("first", "h", "g").alias("me")
+    short = found.where(n <= LONG + 1).select(me, F.explode(F.concat(deleted, whole)).alias("v")).select("me", "v.key", "v.place")
+    long = found.where(n > LONG).select(me, "line", start.alias("start"), stop.alias("stop"))
+    variants = short.unionByName(_long_variants(long))
     # Lines that agree but for the code point at one place are one replacement apart; a line equal to another's
     # variant is one deletion away. Either way the earliest of a bucket answers for all, so no pairs are made.
     by_key, by_place = Window.partitionBy("key"), Window.partitionBy("key", "place")
+    here = F.struct("me", "place")
     met = variants.select(
         "me",
         "place",
-        F.min("me").over(by_place).alias("replaced"),
+        F.min(here).over(by_place).alias("replaced"),
         F.min(F.when(F.col("place") == 0, F.col("me"))).over(by_key).alias("shorter"),
-        F.min(F.when(F.col("place") > 0, F.col("me"))).over(by_key).alias("longer"),
+        F.min(F.when(F.col("place") > 0, here)).over(by_key).alias("longer"),
     )
-    near = F.when(F.col("place") == 0, F.col("longer")).otherwise(F.least("replaced", "shorter"))
-    best = met.select("me", near.alias("near")).where("near.first < me.first")
+    shorter = F.when(F.col("shorter").isNotNull(), F.struct(F.col("shorter").alias("me"), "place"))
+    near = F.when(F.col("place") == 0, F.col("longer")).otherwise(F.least("replaced", shorter))
+    best = met.select("me", near.alias("near")).where("near.me.first < me.first")
     best = best.groupBy("me").agg(F.min("near").alias("near"))
     text = found.select("h", "g", "line")
-    checked = (
-        best.select("me.h", "me.g", F.col("near.h").alias("h2"), F.col("near.g").alias("g2"), F.col("near.first").alias("near"))
+    pairs = (
+        best.select("me.h", "me.g", F.col("near.me.h").alias("h2"), F.col("near.me.g").alias("g2"), F.col("near.me.first").alias("near"), "near.place")
         .join(text, ["h", "g"])
         .join(text.withColumnsRenamed({"h": "h2", "g": "g2", "line": "line2"}), ["h2", "g2"])
-        .where(F.levenshtein("line", "line2", EDITS) >= 0)
     )
-    return checked.select("h", "g", "near")
+    # The place is where the longer line, or each of two as long, has the code point that the edit is about.
+    without = lambda c: F.overlay(c, F.lit(""), F.col("place"), F.lit(1))
+    more = F.char_length("line") - F.char_length("line2")
+    one_edit = (
+        F.when(more == 0, without("line") == without("line2")).when(more == 1, without("line") == F.col("line2")).when(more == -1, F.col("line") == without("line2"))
+    )
+    return pairs.where(one_edit).select("h", "g", "near")
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -140,19 +171,23 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     gone = repeated_lines(docs.select("doc_id", "text"), min_chars).select(
         F.col("doc_id").alias("_id"), F.col("doc").alias("_doc"), F.col("gone").alias("_gone")
     )
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (_document(F.col("text")) == F.col("_doc")), "left")
-    lines = F.split("text", "\n")
+    # The documents travel as one column, so their own columns may have any names.
+    rows = docs.select(F.struct("*").alias("_row"))
+    own = F.col("_row.text")
+    joined = rows.join(gone, F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (_document(own) == F.col("_doc")), "left")
+    lines = F.split(own, "\n")
     places = F.transform("_gone", lambda x: x["pos"])
     left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(places, i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)
+    text = F.when(F.col("_gone").isNull(), own).otherwise(left)
     count = lambda near: F.coalesce(F.size(F.filter("_gone", lambda x: x["near"] == near)), F.lit(0)).cast("long")
-    out = joined.select(
-        *[c for c in docs.columns if c not in ("text", "n_lines", "n_equal", "n_near")],
-        text.alias("text"),
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        count(False).alias("n_equal"),
-        count(True).alias("n_near"),
-    )
+    made = {
+        "text": text,
+        "n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"),
+        "n_equal": count(False),
+        "n_near": count(True),
+    }
+    out = joined.select("_row", F.struct(*[c.alias(n) for n, c in made.items()]).alias("_made"))
+    columns = {c: F.col("_row").getField(c) for c in docs.columns if c not in made} | {n: F.col("_made").getField(n) for n in made}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out
+        columns["n_chars"] = F.char_length(F.col("_made.text")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[c.alias(n) for n, c in columns.items()])

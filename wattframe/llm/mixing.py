@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wattframe.llm.common import WORD, running_totals
+from wattframe.llm.common import WORD, running_totals, written
 from wattframe.session import stage
 
 WEIGHTS = (5, 2, 1)
@@ -62,8 +62,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epoc
     )
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
-    """How many words of each document the mix takes: (doc_id, source, size, source_size, target, taken).
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """How many words of each document the mix takes: (doc_id, source, size, source_size, target, taken) and the columns `keep`.
 
     Within a source documents go by md5(seed:doc_id), then doc_id and size; the source's rounded target is cut
     from its words laid end to end in that order, as many whole times as it goes in and then exactly at the
@@ -76,6 +76,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EP
     """
     sized = stage(
         docs.select(
+            *keep,
             "doc_id",
             "source",
             words(F.col("text")).alias("size"),
@@ -107,7 +108,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EP
     begins = F.col("_start") + F.col("_end") - size
     part = F.greatest(F.lit(0), F.least(size, left - begins))
     return placed.select(
-        "doc_id", "source", "size", "source_size", "target", (rounds * size + part).cast("long").alias("taken")
+        *keep, "doc_id", "source", "size", "source_size", "target", (rounds * size + part).cast("long").alias("taken")
     )
 
 
@@ -121,21 +122,17 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
 
     Documents of which nothing is taken go; so do those without a word.
     """
-    plan = mix(docs, **parameters).where("taken > 0").select("doc_id", "source", "size", "taken").distinct()
-    plan = plan.select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("taken").alias("_taken")
-    )
-    plan = plan.groupBy("_id", "_source", "_size").agg(F.max("_taken").alias("_taken"))
-    same = (
-        F.col("doc_id").eqNullSafe(F.col("_id"))
-        & F.col("source").eqNullSafe(F.col("_source"))
-        & (words(F.col("text")) == F.col("_size"))
-    )
+    # Rows are numbered once and for all, so that repeated ones each get what the mix takes of them; they travel as one
+    # column, so their own columns may have any names.
+    rows = written(docs.select(F.monotonically_increasing_id().alias("_number"), F.struct("*").alias("_row")), "numbered")
+    plan = mix(rows.select("_number", "_row.doc_id", "_row.source", "_row.text"), **parameters, keep=("_number",))
+    plan = plan.where("taken > 0").select(F.col("_number").alias("_of"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
     n = F.ceil(F.col("_taken") / F.col("_size")).cast("int")
-    copies = docs.join(plan, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), n)))
+    copies = rows.join(plan, F.col("_number") == F.col("_of")).withColumn("_copy", F.explode(F.sequence(F.lit(1), n)))
     here = F.least(F.col("_size"), F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")).cast("int")
-    text = F.when(here < F.col("_size"), leading_words(F.col("text"), here)).otherwise(F.col("text"))
-    cut = copies.withColumn("text", text)
+    own = F.col("_row.text")
+    cut = F.when(here < F.col("_size"), leading_words(own, here)).otherwise(own)
+    changed = {"text": cut}
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return cut.select(*docs.columns)
+        changed["n_chars"] = F.char_length(cut).cast(docs.schema["n_chars"].dataType)
+    return copies.select(*[changed.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])

@@ -266,6 +266,7 @@ def keep_first(docs: DataFrame, placed: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("_last"), "doc_id", "_hash"))
     chosen = placed.groupBy("root").agg(first.alias("_first"))
     chosen = chosen.select(F.col("_first.doc_id").alias("_id"), F.col("_first._hash").alias("_of")).distinct()
-    hashed = docs.withColumn("_hash", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of"))
-    return hashed.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
+    # The documents travel as one column, so their own columns may have any names.
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_hash"))
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of"))
+    return rows.join(chosen, same, "left_semi").dropDuplicates(["_doc", "_hash"]).select("_row.*")

@@ -24,11 +24,25 @@ LEVELS = 12
 
 def scaled(vector: Column, scale: int = SCALE) -> Column:
     """floor(scale * x) for each component as a double; null for a vector with a null or non-finite component."""
-    usable = F.forall(vector, lambda x: F.coalesce((x == x) & (F.abs(x) < float("inf")), F.lit(False)))
-    whole = F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
+    raw = F.transform(vector, lambda x: F.lit(float(scale)) * x.cast("double"))
+    usable = F.forall(raw, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
+    # floor gives a long; beyond 2^53 a double is whole as it is.
+    whole = F.transform(raw, lambda x: F.when(F.abs(x) < float(1 << 53), F.floor(x).cast("double")).otherwise(x))
     return F.when(usable, whole)
 
 
+def exact_products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """The inner products of integers held in doubles, exact; one beyond a long counts as the nearest long."""
+    bound = np.abs(vectors).max(initial=0) * np.abs(query).max(initial=0) * max(1, len(query))
+    if bound < 1 << 53:
+        return (vectors @ query).astype(np.int64)
+    if bound < 1 << 62:
+        return vectors.astype(np.int64) @ query.astype(np.int64)
+    own = [int(x) for x in query]
+    sums = (sum(int(a) * b for a, b in zip(v, own, strict=True)) for v in vectors)
+    return np.array([min(max(s, -(1 << 63)), (1 << 63) - 1) for s in sums], np.int64)
+
+
 class ImpactIndex:
     """Postings of one block: for each dimension, ids in segments of like impact.
 
@@ -73,18 +87,22 @@ class ImpactIndex:
         for s in reversed(order):
             left[self.segments[s][0]].append(abs(self.segments[s][1]))
         checks = {len(order) * c // 8 for c in range(4, 8)} | {len(order)}
-        possible = np.ones((m, n), bool)
+        possible = ~same
+        # Twice what rounding can add to a sum of doubles, of the largest one there may be.
+        rounding = (weight @ np.abs(self.vectors).max(0, initial=0) * 1e-12)[:, None] + 1e-6
         for done, s in enumerate(order, 1):
             d, impact, members = self.segments[s]
             score[:, members] += queries[:, d, None] * impact
             left[d].pop()
             undone[d] = max(left[d], default=0.0)
             if done in checks:
-                error = (weight @ (undone + self.slack))[:, None] + 1e-6
-                low = np.where(same, -np.inf, score - error)
+                error = (weight @ (undone + self.slack))[:, None] + rounding
+                # Scores beyond a long are all the nearest one.
+                high, low = (np.clip(x, -float(1 << 63), float(1 << 63)) for x in (score + error, score - error))
+                low = np.where(same, -np.inf, low)
                 if n > k:
                     bar = np.partition(low, n - k, axis=1)[:, n - k, None]
-                    possible = (score + error >= bar) & ~same
+                    possible = (high >= bar) & ~same
                 else:
                     possible = ~same
                 if possible.sum() <= max(4 * k * m, n * m // 50):
@@ -92,8 +110,9 @@ class ImpactIndex:
         out = []
         for q in range(m):
             members = np.flatnonzero(possible[q])
-            exact = (self.vectors[members] @ queries[q]).astype(np.int64)
-            best = np.lexsort((ids[members], -exact))[:k]
+            exact = exact_products(self.vectors[members], queries[q])
+            # ~x turns the order of all longs around, the least one's too.
+            best = np.lexsort((ids[members], ~exact))[:k]
             out.append((ids[members][best], exact[best]))
         return out
 
@@ -104,7 +123,8 @@ def top_inner_products(
     """Each query's k highest integer inner products with every other row: (query_id, rank, vec_id, score).
 
     Components become floor(scale * x). Ties go to the smaller id. Rows with a null id, a null vector, or a null
-    or non-finite component take no part. Vectors of different lengths never meet. Rows that repeat an id count
+    or non-finite component take no part. Vectors of different lengths never meet; empty ones meet with score 0. Scores are
+    exact at any size, and one beyond a long counts as the nearest long. Rows that repeat an id count
     once, the one with the least vector; fewer rows than k give fewer results, an empty table none.
 
     Blocks of vectors meet blocks of queries: every row is shuffled once for each block of queries and every
