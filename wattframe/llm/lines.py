@@ -50,19 +50,20 @@ def _long_variants(lines: DataFrame) -> DataFrame:
     points gives all its variants.
     """
     points = lines.select("me", "start", "stop", F.posexplode(F.split("line", "")).alias("i", "c"))
-    so_far = Window.partitionBy("me").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    line = Window.partitionBy("me")
+    so_far = line.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     moved = F.xxhash64(F.col("i") - 1, "c")
     sums = points.select(
         "me", "start", "stop", "i",
         F.coalesce(F.bit_xor(F.xxhash64("i", "c")).over(so_far), F.lit(0)).alias("before"),
         F.coalesce(F.bit_xor(moved).over(so_far), F.lit(0)).bitwiseXOR(moved).alias("moved"),
+        F.bit_xor(moved).over(line).alias("all"),
     )
-    whole = points.groupBy("me").agg(F.bit_xor(F.xxhash64("i", "c")).alias("whole"), F.bit_xor(moved).alias("all"))
-    sums = sums.join(whole.withColumnRenamed("me", "_me"), F.col("me") == F.col("_me"))
     place = F.col("i") + 1
     key = F.col("before").bitwiseXOR(F.col("all")).bitwiseXOR(F.col("moved"))
     variants = sums.where(place.between(F.col("start"), F.col("stop"))).select("me", key.alias("key"), place.alias("place"))
-    return variants.unionByName(whole.select("me", F.col("whole").alias("key"), F.lit(0).alias("place")))
+    whole = points.groupBy("me").agg(F.bit_xor(F.xxhash64("i", "c")).alias("key"), F.lit(0).alias("place"))
+    return variants.unionByName(whole)
 
 
 def _neighbours(docs: DataFrame, distinct: DataFrame) -> DataFrame:
