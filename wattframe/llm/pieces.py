@@ -220,6 +220,11 @@ def agenda(path: str) -> Agenda:
     return Agenda(path)
 
 
+@functools.lru_cache(maxsize=2)
+def library(path: str) -> sentencepiece.SentencePieceProcessor:
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, agrees) for each document: the ids of its whole text by the vocabulary file at `path`.
 
@@ -248,14 +253,14 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """`encoded` with the column text: its ids decoded by the library. Null ids count as none."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = agenda(path).library
+        own = library(path)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 lists = part.column("ids").fill_null([])
                 flat, ends = lists.flatten().to_pylist(), np.cumsum([0, *lists.value_lengths().to_pylist()]).tolist()
                 ids = [flat[lo:hi] for lo, hi in zip(ends, ends[1:], strict=False)]
-                texts = pa.array(library.decode(ids, num_threads=1) if ids else [], pa.string())
+                texts = pa.array(own.decode(ids, num_threads=1) if ids else [], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, "text"])
 
     rest = encoded.drop("text")
