@@ -228,6 +228,37 @@ def test_a_sixth_region_keeps_its_flows(spark):
     assert got["SNOWY1"].emissions_imports == pytest.approx(5.0)
 
 
+def test_a_network_of_many_parts_is_solved_part_by_part(spark):
+    """Rings, a chain, a lone region and repeated rows, against one dense solve of each interval."""
+    rng = np.random.default_rng(11)
+    links = [(f"R{i:02}", f"R{(i + 1) % 7:02}") for i in range(7)] + [("S1", "S2"), ("S2", "S3"), ("S1", "S2")]
+    names = sorted({n for link in links for n in link} | {"LONE"})
+    edge_rows = [(at(5 * i), a, b, float(rng.uniform(-40, 40))) for i in range(25) for a, b in links]
+    node_rows = [(at(5 * i), r, float(rng.uniform(1, 90)), float(rng.uniform(0, 50)), 0.0) for i in range(25) for r in [*names, "S1"]]
+    extra = [(at(0), None, "S1", 5.0), (at(0), "S1", "S1", 5.0)]
+    out = X.flow_emissions_mix(frame(spark, EDGES, *edge_rows, *extra), frame(spark, NODES, *node_rows, (at(0), None, 1.0, 1.0, 1.0)), regions=())
+    got = {(r.interval, r.network_region): r for r in out.collect()}
+    assert len(got) == 25 * len(names)
+    where = {r: i for i, r in enumerate(names)}
+    for moment in {e[0] for e in edge_rows}:
+        flow, energy, out = np.zeros((len(names),) * 2), np.zeros(len(names)), np.zeros(len(names))
+        for _, a, b, v in [e for e in edge_rows if e[0] == moment]:
+            i, j = (where[a], where[b]) if v >= 0 else (where[b], where[a])
+            flow[i, j] += abs(v)
+        for _, r, e, m, _ in [x for x in node_rows if x[0] == moment]:
+            energy[where[r]] += e
+            out[where[r]] += m
+        x = np.linalg.solve(np.diag(energy + flow.sum(axis=0)) - flow.T, out)
+        for r, i in where.items():
+            row = got[moment, r]
+            assert row.energy_imports == pytest.approx(flow[:, i].sum()) and row.energy_exports == pytest.approx(flow[i].sum())
+            assert row.emissions_exports == pytest.approx(flow[i].sum() * x[i]) and row.emissions_imports == pytest.approx((flow[:, i] * x).sum())
+
+
+def test_no_nodes_give_no_mix(spark):
+    assert X.flow_emissions_mix(frame(spark, EDGES, (at(0), "NSW1", "QLD1", 1.0)), frame(spark, NODES)).count() == 0
+
+
 # --- ingest -------------------------------------------------------------------------------------
 
 

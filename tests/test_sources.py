@@ -3,6 +3,7 @@ import json
 import zipfile
 from datetime import datetime
 
+import pytest
 from helpers import at, frame, rows
 from pyspark.sql import functions as F
 
@@ -66,6 +67,43 @@ def test_zip_reader_opens_nested_zips(spark, tmp_path):
     assert duids == {"BW01", "DEEP1", "BW,02"}
 
 
+def test_members_of_one_archive_go_to_many_tasks(spark, tmp_path):
+    def packed(members, how=zipfile.ZIP_DEFLATED):
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w", how) as z:
+            for name, data in members.items():
+                z.writestr(name, data)
+        return buffer.getvalue()
+
+    reports = {f"d{i}.csv": "I,A,T,1,X,Y\n" + "".join(f"D,A,T,1,{i},{j}\n" for j in range(50 + i)) for i in range(30)}
+    days = {f"day{i}.zip": packed({f"h{i}.csv": f"I,A,T,1,X,Y\nD,A,T,1,{100 + i},0\n"}) for i in range(20)}
+    deep = packed({"x.zip": packed({"y.zip": packed({"z.csv": "I,A,T,1,X,Y\nD,A,T,1,999,0\n"}, zipfile.ZIP_BZIP2)})}, zipfile.ZIP_STORED)
+    (tmp_path / "all.zip").write_bytes(packed({**reports, **days, "deep.zip": deep, "empty.csv": "", "none.zip": packed({})}))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        lines = R.read_zip_lines(spark, str(tmp_path))
+        assert lines.select(F.spark_partition_id()).distinct().count() > 3
+        got = R.parse_report(lines).groupBy(F.col("values")[0].cast("int").alias("x")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    want = {i: 50 + i for i in range(30)} | {100 + i: 1 for i in range(20)} | {999: 1}
+    assert {r.x: r["count"] for r in got} == want
+
+
+def test_a_member_is_read_in_steps_and_checked(tmp_path):
+    data = b"".join(b"D,A,T,1,%d\n" % i for i in range(300_000))
+    with zipfile.ZipFile(tmp_path / "big.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("big.csv", data)
+    ((_, _, method, crc, content),) = R._members("big", (tmp_path / "big.zip").read_bytes())
+    assert R._Inflated(content, method, crc).readall() == data
+    assert len(R._Inflated(content, method, crc).read(1000)) == 1000
+    with pytest.raises(zipfile.BadZipFile):
+        R._Inflated(content, method, crc + 1).readall()
+    with pytest.raises(zipfile.BadZipFile):
+        R._Inflated(content[: len(content) // 2], method, crc).readall()
+
+
 def test_reports_feed_the_processors(spark, tmp_path):
     (tmp_path / "r.csv").write_text(REPORT)
     tables = R.read_multi_table(spark, str(tmp_path))

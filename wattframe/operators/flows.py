@@ -6,7 +6,8 @@ from collections.abc import Iterator, Sequence
 from datetime import datetime, timedelta
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,83 +80,113 @@ def flow_emissions(edges: DataFrame, intensity: DataFrame) -> DataFrame:
     )
 
 
-def flow_regions(edges: DataFrame, nodes: DataFrame) -> list[str]:
-    """Every region an edge or node names, besides the usual ones; a handful of names, on the driver."""
-    named = nodes.select("network_region").unionByName(edges.select(F.col(FROM).alias("network_region")))
-    named = named.unionByName(edges.select(F.col(TO).alias("network_region"))).distinct()
-    return sorted({*NEM_REGIONS, *(r[0] for r in named.collect() if r[0] is not None)})
+_MIX_SCHEMA = (
+    "interval timestamp_ntz, network_region string, energy_imports double, energy_exports double, "
+    "emissions_imports double, emissions_exports double"
+)
 
 
-def flow_emissions_mix(edges: DataFrame, nodes: DataFrame, regions: Sequence[str] | None = None) -> DataFrame:
+def flow_emissions_mix(edges: DataFrame, nodes: DataFrame, regions: Sequence[str] = NEM_REGIONS) -> DataFrame:
     """Flows carrying the consumption mix of the region they leave.
 
-    Regions are those of the data unless given; intervals are those of `nodes`, as a mix without any generation is
-    undefined.
+    Intervals are those of `nodes`, as a mix without any generation is undefined; each lists `regions` and
+    whatever other regions its own rows name. Repeated rows of a region or pair add up; rows without a region
+    and flows of a region to itself are left out.
 
-    Transit counts: the intensity of a region solves supply * x = own
-    emissions + inflow * x(source). Each interval is one fixed-width row of
-    conditional sums (combined before the shuffle), and a task solves a whole
-    Arrow batch of the small systems at once.
+    Transit counts: the intensity of a region solves supply * x = own emissions + inflow * x(source). An
+    interval is one row with the list of its generation and flows, as long as the network is large, and a task
+    solves the connected parts of all intervals of an Arrow batch at once, those of a size together.
     """
-    regions = list(regions) if regions is not None else flow_regions(edges, nodes)
-    n = len(regions)
-    pairs = [(a, b) for a in range(n) for b in range(n) if a != b]
-    flat = normalise_edges(edges)
-    flow_cols = [
-        F.sum(F.when((F.col(FROM) == regions[a]) & (F.col(TO) == regions[b]), F.col("energy")).otherwise(0.0)).alias(
-            f"f_{a}_{b}"
-        )
-        for a, b in pairs
-    ]
-    node_cols = [
-        F.sum(F.when(F.col("network_region") == r, F.coalesce(m, F.lit(0.0))).otherwise(0.0)).alias(f"{m[:2]}_{i}")
-        for m in ("energy", "emissions")
-        for i, r in enumerate(regions)
-    ]
-    wide = (
-        nodes.groupBy("interval")
-        .agg(*node_cols)
-        .join(flat.groupBy("interval").agg(*flow_cols), "interval", "left")
-        .fillna(0.0, subset=[f"f_{a}_{b}" for a, b in pairs])
+    r, zero = F.col("network_region"), F.lit(0.0)
+    own = nodes.filter(r.isNotNull()).select(
+        "interval", r.alias("a"), r.alias("b"), F.coalesce("energy", zero).alias("energy"), F.coalesce("emissions", zero).alias("emissions")
     )
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                yield _solve_batch(pdf, regions, pairs)
-
-    schema = (
-        "interval timestamp_ntz, network_region string, energy_imports double, energy_exports double, "
-        "emissions_imports double, emissions_exports double"
+    flows = normalise_edges(edges).filter(F.col(FROM) != F.col(TO)).select(
+        "interval", F.col(FROM).alias("a"), F.col(TO).alias("b"), F.coalesce("energy", zero).alias("energy"), F.lit(None).cast("double").alias("emissions")
     )
-    return wide.mapInPandas(solve, schema)
-
-
-def _solve_batch(pdf: pd.DataFrame, regions: Sequence[str], pairs: list[tuple[int, int]]) -> pd.DataFrame:
-    """Least-squares intensities of every interval in the batch."""
-    n, size = len(regions), len(pdf)
-    flow = np.zeros((size, n, n))
-    for a, b in pairs:
-        flow[:, a, b] = pdf[f"f_{a}_{b}"]
-    own = np.stack([pdf[f"en_{i}"] for i in range(n)], axis=1)
-    emitted = np.stack([pdf[f"em_{i}"] for i in range(n)], axis=1)
-    imports, exports = flow.sum(axis=1), flow.sum(axis=2)
-    system = np.einsum("si,ij->sij", own + imports, np.eye(n)) - flow.transpose(0, 2, 1)
-    # The pseudo-inverse gives the least-squares answer also for idle regions.
-    mix = np.maximum(np.einsum("sij,sj->si", np.linalg.pinv(system, rcond=n * np.finfo(float).eps), emitted), 0.0)
-    return pd.DataFrame(
-        {
-            "interval": np.repeat(pdf["interval"].to_numpy(), n),
-            "network_region": list(regions) * size,
-            "energy_imports": imports.ravel(),
-            "energy_exports": exports.ravel(),
-            "emissions_imports": np.einsum("sij,si->sj", flow, mix).ravel(),
-            "emissions_exports": (exports * mix).ravel(),
-        }
+    fields = ("a", "b", "energy", "emissions")
+    listed = [F.struct(F.lit(n).alias("a"), F.lit(n).alias("b"), zero.alias("energy"), zero.alias("emissions")) for n in regions]
+    rows = F.collect_list(F.struct(*fields))
+    networks = (
+        own.unionByName(flows)
+        .groupBy("interval")
+        .agg((F.concat(rows, F.array(*listed)) if listed else rows).alias("rows"), F.count("emissions").alias("known"))
+        .filter(F.col("known") > 0)
+        .select("interval", "rows")
     )
+    return networks.mapInArrow(_solve_batches, _MIX_SCHEMA)
+
+
+def _solve_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            yield _solve_batch(batch)
+
+
+def _solve_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The flows of every interval of a batch; rows with emissions are a region's own, the others flows."""
+    lists = batch.column("rows")
+    a, b, energy, emissions = lists.flatten().flatten()
+    when = pc.list_parent_indices(lists).to_numpy()
+    energy = energy.to_numpy(zero_copy_only=False)
+    own = emissions.is_valid().to_numpy(zero_copy_only=False)
+    emitted = emissions.fill_null(0.0).to_numpy(zero_copy_only=False)
+
+    # A place is a region in an interval, numbered by interval and name.
+    names = pa.concat_arrays([a, b]).dictionary_encode()
+    order = np.argsort(np.array(names.dictionary.to_pylist(), dtype=object))
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    codes = rank[names.indices.to_numpy()].reshape(2, -1)
+    places, at = np.unique(when * len(order) + codes, return_inverse=True)
+    source, target = at.reshape(2, -1)
+    n, flow = len(places), energy[~own]
+    source_own, source, target = source[own], source[~own], target[~own]
+    imports, exports = np.bincount(target, flow, n), np.bincount(source, flow, n)
+    supply = imports + np.bincount(source_own, energy[own], n)
+    emitted = np.bincount(source_own, emitted[own], n)
+
+    part = _parts(n, source, target)
+    by_part = np.argsort(part, kind="stable")
+    _, first, of, sizes = np.unique(part[by_part], return_index=True, return_inverse=True, return_counts=True)
+    within, system = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+    within[by_part], system[by_part] = np.arange(n) - first[of], of
+    mix = np.zeros(n)
+    for k in np.unique(sizes):
+        alike = np.flatnonzero(sizes == k)
+        row = np.full(len(sizes), -1)
+        row[alike] = np.arange(len(alike))
+        members = by_part[first[alike][:, None] + np.arange(k)]
+        left = supply[members][:, :, None] * np.eye(k)
+        flows = row[system[source]] >= 0
+        s, t = source[flows], target[flows]
+        np.subtract.at(left, (row[system[s]], within[t], within[s]), flow[flows])
+        # The pseudo-inverse gives the least-squares answer also for idle regions.
+        mix[members] = np.einsum("sij,sj->si", np.linalg.pinv(left, rcond=k * np.finfo(float).eps), emitted[members])
+    mix = np.maximum(mix, 0.0)
+    region = names.dictionary.take(pa.array(order)).take(pa.array(places % len(order)))
+    columns = [imports, exports, np.bincount(target, flow * mix[source], n), exports * mix]
+    return pa.RecordBatch.from_arrays(
+        [batch.column("interval").take(pa.array(places // len(order))), region, *(pa.array(c, pa.float64()) for c in columns)],
+        names=["interval", "network_region", "energy_imports", "energy_exports", "emissions_imports", "emissions_exports"],
+    )
+
+
+def _parts(n: int, source: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The least place that each place is linked with."""
+    part = np.arange(n)
+    while True:
+        least = np.minimum(part[source], part[target])
+        joined = part.copy()
+        np.minimum.at(joined, source, least)
+        np.minimum.at(joined, target, least)
+        joined = joined[joined]
+        if (joined == part).all():
+            return part
+        part = joined
 
 
-def solve_flows(edges: DataFrame, nodes: DataFrame, mix: bool = False, regions: Sequence[str] | None = None) -> DataFrame:
+def solve_flows(edges: DataFrame, nodes: DataFrame, mix: bool = False, regions: Sequence[str] = NEM_REGIONS) -> DataFrame:
     """Flow emissions by source intensity, or by consumption mix."""
     return flow_emissions_mix(edges, nodes, regions) if mix else flow_emissions(edges, nodes)
 

@@ -67,7 +67,44 @@ def _simple(t: Tables):
     return out.withColumns({c: F.round(c, 6) for c in _FOUR})
 
 
-@query("f5_flow_emissions_mix")
+def _mix_sql(regions=X.NEM_REGIONS) -> str:
+    """The system of each interval solved by elimination; a region without supply has no intensity.
+
+    No pivoting is needed: every diagonal is at least the sum of its row's other entries.
+    """
+    n = range(len(regions))
+    supply = [f"sum(CASE WHEN r = '{regions[i]}' THEN own ELSE 0 END) + sum(CASE WHEN b = '{regions[i]}' THEN energy ELSE 0 END)" for i in n]
+    flow = {(i, j): f"sum(CASE WHEN a = '{regions[j]}' AND b = '{regions[i]}' THEN energy ELSE 0 END)" for i in n for j in n if i != j}
+    cells = [f"{supply[i]} AS a{i}{i}" for i in n] + [f"-({v}) AS a{i}{j}" for (i, j), v in flow.items()]
+    cells += [f"sum(CASE WHEN r = '{regions[i]}' THEN emitted ELSE 0 END) AS b{i}" for i in n]
+    steps = [f"""e0 AS (SELECT interval, {", ".join(cells)} FROM (
+            SELECT interval, network_region AS r, own, emitted, NULL AS a, NULL AS b, 0 AS energy FROM g
+            UNION ALL SELECT interval, NULL, 0, 0, a, b, energy FROM turned) GROUP BY interval)"""]
+    for k in n:
+        share = {i: f"CASE WHEN a{k}{k} > 1e-9 THEN a{i}{k} / a{k}{k} ELSE 0 END" for i in n if i > k}
+        kept = [f"a{i}{j}" for i in n for j in n if i <= k] + [f"b{i}" for i in n if i <= k]
+        new = [f"a{i}{j} - ({share[i]}) * a{k}{j} AS a{i}{j}" for i in share for j in n] + [f"b{i} - ({share[i]}) * b{k} AS b{i}" for i in share]
+        steps.append(f"e{k + 1} AS (SELECT interval, {', '.join(kept + new)} FROM e{k})")
+    last = f"e{len(regions)}"
+    for k in reversed(n):
+        rest = "".join(f" - a{k}{j} * x{j}" for j in n if j > k)
+        steps.append(f"y{k} AS (SELECT *, CASE WHEN a{k}{k} > 1e-9 THEN (b{k}{rest}) / a{k}{k} ELSE 0 END AS x{k} FROM {last})")
+        last = f"y{k}"
+    mix = " UNION ALL ".join(f"SELECT interval, '{regions[i]}' AS network_region, greatest(x{i}, 0) AS x FROM {last}" for i in n)
+    return f"""WITH {_TURNED}, g AS (SELECT interval, network_region, sum(energy) AS own, sum(emissions) AS emitted
+            FROM x_ui WHERE network_id = 'NEM' AND generated > 0 AND fueltech_id <> 'battery_charging' GROUP BY 1, 2),
+        {", ".join(steps)}, mix AS ({mix}),
+        ends AS (SELECT t.interval, t.a AS network_region, 0 AS im, energy AS ex, 0 AS eim, energy * x AS eex
+                FROM turned t JOIN mix m ON m.interval = t.interval AND m.network_region = t.a
+            UNION ALL SELECT t.interval, t.b, energy, 0, energy * x, 0
+                FROM turned t JOIN mix m ON m.interval = t.interval AND m.network_region = t.a),
+        s AS (SELECT interval, network_region, sum(im) AS im, sum(ex) AS ex, sum(eim) AS eim, sum(eex) AS eex FROM ends GROUP BY 1, 2)
+        SELECT m.interval, m.network_region, round(coalesce(im, 0), 6) AS energy_imports, round(coalesce(ex, 0), 6) AS energy_exports,
+            round(coalesce(eim, 0), 6) AS emissions_imports, round(coalesce(eex, 0), 6) AS emissions_exports
+        FROM mix m LEFT JOIN s USING (interval, network_region) WHERE interval IN (SELECT interval FROM g)"""
+
+
+@query("f5_flow_emissions_mix", _mix_sql())
 def _mix(t: Tables):
     out = X.flow_emissions_mix(_edges(t), region_intensity(t.ui()))
     return out.withColumns({c: F.round(c, 6) for c in _FOUR})

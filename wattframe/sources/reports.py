@@ -7,7 +7,9 @@ fields...) and the `D` rows below it are its records.
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -27,7 +29,10 @@ ARCHIVE_PATTERN = r"([a-zA-Z0-9_#%]+?)(?:#|%23)(\d{8,14})(?:_(\d{8,16}))?\.(zip|
 NAME_DATES = ("yyyyMMdd", "yyyyMMddHHmm", "yyyyMMddHHmmss")
 
 LINE_SCHEMA = "file string, block long, row long, line string"
+_MEMBER_SCHEMA = "file string, zipped boolean, method int, crc long, content binary"
 _BLOCK_ROWS = 100_000
+_STEP = 1 << 16
+_SPLIT_BYTES = 1 << 24
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -49,35 +54,121 @@ def read_zip_lines(spark: SparkSession, path: str) -> DataFrame:
     return unzip_lines(spark.read.format("binaryFile").load(path))
 
 
-def unzip_lines(files: DataFrame) -> DataFrame:
-    """Lines of the reports in a frame of zip files (path, content)."""
-    return files.select("path", "content").mapInPandas(_unzip, LINE_SCHEMA)
+def unzip_lines(files: DataFrame, levels: int = 2) -> DataFrame:
+    """Lines of the reports in a frame of zip files (path, content).
 
-
-def _members(name: str, content: bytes) -> Iterator[tuple[str, io.TextIOBase]]:
+    An archive's directory gives a row for each member, still compressed, and members are dealt to tasks, so one
+    large archive is inflated by many; so are the members of archives inside it, down to `levels`. Deeper ones are
+    opened by the task of the archive that holds them. A member is inflated in steps, never whole, and checked
+    against its checksum. An archive itself is one binary value, which Spark limits to 2 GB. A null content is skipped.
+    """
+    members = files.filter(F.col("content").isNotNull()).select(
+        F.col("path").alias("file"),
+        F.lit(True).alias("zipped"),
+        F.lit(zipfile.ZIP_STORED).alias("method"),
+        F.lit(None).cast("long").alias("crc"),
+        F.col("content"),
+    )
+    for _ in range(levels):
+        members = members.mapInPandas(_split, _MEMBER_SCHEMA).repartition("file")
+    return members.mapInPandas(_unzip, LINE_SCHEMA)
+
+
+class _Inflated(io.RawIOBase):
+    """The bytes of a stored or deflated member, inflated as they are read."""
+
+    def __init__(self, content: bytes, method: int, crc: int | None):
+        self._left, self._crc, self._seen = memoryview(content), crc, 0
+        self._zip = zlib.decompressobj(-15) if method == zipfile.ZIP_DEFLATED else None
+
+    def readable(self) -> bool:
+        return True
+
+    def _step(self, n: int) -> bytes:
+        if self._zip is None:
+            out, self._left = bytes(self._left[:n]), self._left[n:]
+            return out
+        while not self._zip.eof:
+            # What a step did not use comes first in the next one.
+            waiting = self._zip.unconsumed_tail
+            if not waiting:
+                waiting, self._left = bytes(self._left[:_STEP]), self._left[_STEP:]
+                if not waiting:
+                    raise zipfile.BadZipFile("a member ends before its data does")
+            out = self._zip.decompress(waiting, n)
+            if out:
+                return out
+        return b""
+
+    def readinto(self, buffer) -> int:
+        out = self._step(len(buffer))
+        if out:
+            self._seen = zlib.crc32(out, self._seen)
+            buffer[: len(out)] = out
+        elif self._crc is not None and self._seen != self._crc:
+            raise zipfile.BadZipFile("a member differs from its checksum")
+        return len(out)
+
+
+def _members(name: str, content: bytes) -> Iterator[tuple[str, bool, int, int | None, bytes]]:
+    """Members of an archive that are reports or archives, as they are stored."""
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        for member in archive.namelist():
-            inner = f"{name}!{member}"
-            if member.lower().endswith(".zip"):
-                yield from _members(inner, archive.read(member))
-            elif member.lower().endswith(".csv"):
-                with archive.open(member) as stream:
-                    yield inner, io.TextIOWrapper(stream, encoding="utf-8", errors="replace")
+        for info in archive.infolist():
+            zipped = info.filename.lower().endswith(".zip")
+            if not zipped and not info.filename.lower().endswith(".csv"):
+                continue
+            inner, plain = f"{name}!{info.filename}", info.flag_bits & 1 == 0
+            if plain and info.compress_type in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+                # The local header repeats the name and may have other extra fields than the directory.
+                names, extra = struct.unpack_from("<HH", content, info.header_offset + 26)
+                first = info.header_offset + 30 + names + extra
+                yield inner, zipped, info.compress_type, info.CRC, content[first : first + info.compress_size]
+            else:
+                yield inner, zipped, zipfile.ZIP_STORED, None, archive.read(info)
+
+
+def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The members of archives; reports as they are."""
+    for pdf in batches:
+        rows, size = [], 0
+        for name, zipped, method, crc, content in pdf.itertuples(index=False):
+            crc = None if pd.isna(crc) else int(crc)
+            inner = _members(name, _Inflated(content, method, crc).readall()) if zipped else [(name, zipped, method, crc, content)]
+            for row in inner:
+                rows.append(row)
+                size += len(row[-1])
+                if size > _SPLIT_BYTES:
+                    yield _member_frame(rows)
+                    rows, size = [], 0
+        if rows:
+            yield _member_frame(rows)
+
+
+def _member_frame(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["file", "zipped", "method", "crc", "content"])
+    return out.astype({"crc": "Int64"})
 
 
 def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Lines of each archive, streamed out in bounded batches."""
+    """Lines of each member, streamed out in bounded batches."""
     for pdf in batches:
-        for name, content in zip(pdf["path"], pdf["content"], strict=True):
-            for inner, stream in _members(name, content):
-                lines, first = [], 0
-                for number, line in enumerate(stream):
-                    lines.append(line.rstrip("\r\n"))
-                    if len(lines) == _BLOCK_ROWS:
-                        yield _frame(inner, first, lines)
-                        lines, first = [], number + 1
-                if lines:
-                    yield _frame(inner, first, lines)
+        while len(pdf):
+            for name, zipped, method, crc, content in pdf.itertuples(index=False):
+                if not zipped:
+                    yield from _member_lines(name, _Inflated(content, method, None if pd.isna(crc) else int(crc)))
+            deeper = pdf[pdf["zipped"].astype(bool)]
+            pdf = pd.concat(list(_split([deeper])) or [deeper.iloc[:0]])
+
+
+def _member_lines(name: str, stream: io.RawIOBase) -> Iterator[pd.DataFrame]:
+    lines, first = [], 0
+    for number, line in enumerate(io.TextIOWrapper(io.BufferedReader(stream, _STEP), encoding="utf-8", errors="replace")):
+        lines.append(line.rstrip("\r\n"))
+        if len(lines) == _BLOCK_ROWS:
+            yield _frame(name, first, lines)
+            lines, first = [], number + 1
+    if lines:
+        yield _frame(name, first, lines)
 
 
 def _frame(name: str, first: int, lines: list[str]) -> pd.DataFrame:
