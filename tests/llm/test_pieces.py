@@ -25,6 +25,20 @@ def drawn(n):
     return ["".join(draw.choice(" ▁ab\n.é日thein12") for _ in range(draw.randrange(80))) for _ in range(n)]
 
 
+def listed(ids, ends):
+    return [ids[lo:hi].tolist() for lo, hi in zip(ends, ends[1:], strict=False)]
+
+
+def encoded(own, texts):
+    ids, ends, agrees = own.encode_all(texts)
+    return listed(ids, ends), agrees.tolist()
+
+
+def together(own, texts):
+    ids, counts = own.together(texts)
+    return [tuple(i) for i in listed(ids, [0, *counts.cumsum()])]
+
+
 def plain(scores, text):
     """Merge the best adjacent pair, the leftmost of equals, until none is a piece."""
     symbols = list(text)
@@ -44,14 +58,14 @@ def test_agenda_merges_as_a_plain_search(own):
 
 def test_ids_are_the_library_s(own, library):
     texts = TEXTS + drawn(3000)
-    assert own.encode_all(texts)[0] == library.encode(texts)
-    assert own.encode_all(texts[::-1])[0] == library.encode(texts[::-1])
+    assert encoded(own, texts)[0] == library.encode(texts)
+    assert encoded(own, texts[::-1])[0] == library.encode(texts[::-1])
 
 
 def test_stretches_together_and_alone(own):
     texts = [t for t in map(own.library.normalize, drawn(500)) if t] + ["🎉a🎉", "\x00", "é\n\n日"]
-    assert own.together(texts) == [own.segment_ids(t) for t in texts]
-    assert own.together(["a"]) == [own.segment_ids("a")]
+    assert together(own, texts) == [own.segment_ids(t) for t in texts]
+    assert together(own, ["a"]) == [own.segment_ids("a")]
 
 
 def test_a_full_memory_changes_nothing(library, monkeypatch):
@@ -59,7 +73,7 @@ def test_a_full_memory_changes_nothing(library, monkeypatch):
     own = pieces.Agenda(PATH)
     for lo in range(0, 400, 40):
         texts = drawn(400)[lo : lo + 40]
-        assert own.encode_all(texts)[0] == library.encode(texts)
+        assert encoded(own, texts)[0] == library.encode(texts)
         assert len(own.known) < 2000
 
 
@@ -67,13 +81,13 @@ def test_whole_texts_give_the_same_as_segments(library):
     whole = pieces.Agenda(PATH)
     whole.stretches = None
     texts = TEXTS + drawn(500)
-    assert whole.encode_all(texts) == (library.encode(texts), [True] * len(texts))
+    assert encoded(whole, texts) == (library.encode(texts), [True] * len(texts))
 
 
 def test_unknown_symbols_without_byte_fallback(own):
     lame = pieces.Agenda(PATH)
     lame.bytes = None
-    assert lame.together(["a𓀀𓁀▁𓂀"]) == [(*own.together(["a"])[0], lame.unknown, lame.unknown, own.ids["▁"], lame.unknown)]
+    assert together(lame, ["a𓀀𓁀▁𓂀"]) == [(*together(own, ["a"])[0], lame.unknown, lame.unknown, own.ids["▁"], lame.unknown)]
 
 
 def test_other_vocabularies_are_refused():
@@ -95,8 +109,34 @@ def test_round_trip_of_odd_rows(spark, odd, empty, library):
 
 def test_a_disagreement_is_told_and_mended(library, monkeypatch):
     own = pieces.Agenda(PATH)
-    right = own.learn
-    monkeypatch.setattr(own, "learn", lambda new: right(new) | ({"▁cat": (5,)} if "▁cat" in new else {}))
+    right = own.together
+
+    def wrong(stretches):
+        ids, counts = right(stretches)
+        if "▁cat" in stretches:
+            ids[counts[: stretches.index("▁cat")].sum()] = 5
+        return ids, counts
+
+    monkeypatch.setattr(own, "together", wrong)
     texts = ["the cat", "", "a dog", "the dog ", " "]
-    assert own.encode_all(texts) == (library.encode(texts), [False, True, True, True, True])
-    assert own.encode_all(["cat cat"]) == (library.encode(["cat cat"]), [False])
+    assert encoded(own, texts) == (library.encode(texts), [False, True, True, True, True])
+    assert encoded(own, ["cat cat"]) == (library.encode(["cat cat"]), [False])
+
+
+def test_unknown_symbols_side_by_side_are_one(own):
+    lame = pieces.Agenda(PATH)
+    lame.bytes = None
+    ids, agrees = encoded(lame, ["a𓀀𓁀b", "", "𓀀"])
+    unknown, mark = lame.unknown, own.ids["▁"]
+    # The library spells bytes here, so whole texts are compared and its ids stand.
+    assert ids == own.library.encode(["a𓀀𓁀b", "", "𓀀"]) and agrees == [False, True, False]
+    assert unknown not in ids[0] and mark == ids[2][0]
+
+
+def test_long_stretches_are_not_remembered(own, library):
+    fresh = pieces.Agenda(PATH)
+    texts = ["x" * 500 + " the cat " + "日本" * 400, "the " + "ab" * 200, "the"]
+    for _ in range(2):
+        assert encoded(fresh, texts) == (library.encode(texts), [True] * 3)
+        assert max(map(len, fresh.known)) <= pieces.LONGEST
+        assert len(fresh.known) == len(fresh.counts) == len(fresh.doubted) and len(fresh.ids_of) == fresh.counts.sum()

@@ -53,8 +53,7 @@ class Agenda:
         self.unknown = self.library.unk_id()
         crossing = any(SPACE in p.lstrip(SPACE) for p in self.scores)
         self.stretches = None if crossing else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.doubted: set[str] = set()
+        self.forget()
         # What two ids side by side merge to, and its place by score.
         self.size = len(model.pieces) + 1
         places = {score: place for place, score in enumerate(sorted(set(self.scores.values()), reverse=True))}
@@ -71,14 +70,19 @@ class Agenda:
             if len(piece) == 1:
                 self.characters[ord(piece)] = i
 
+    def forget(self) -> None:
+        """Remember no stretch: where each stands in `ids_of`, how many ids it has there, and if the library sees it otherwise."""
+        self.known: dict[str, int] = {}
+        self.ids_of, self.counts, self.doubted = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, bool)
+
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of ids side by side the place of what they merge to, and which table row says so."""
         key = left * self.size + right
         row = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[row] == key, self.places[row], _NEVER), row
 
-    def together(self, texts: list[str]) -> list[tuple[int, ...]]:
-        """The ids of stretches: in each step every stretch merges its best pair."""
+    def together(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of stretches, one after the other, and how many each has: in each step every stretch merges its best pair."""
         symbols = self.characters[np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)].astype(np.int64)
         owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
         place, row = self._pairs(symbols, np.append(symbols[1:], 0))
@@ -107,13 +111,15 @@ class Agenda:
             place[changed[(owner[changed] != owner[after]) | (changed == after)]] = _NEVER
         owner, symbols = (np.concatenate(c) for c in zip(*done, strict=True))
         order = np.argsort(owner, kind="stable")
-        # Tuples of numbers, unlike lists, cost the garbage collector nothing.
-        whole, ends = tuple(symbols[order].tolist()), np.cumsum(np.bincount(owner, minlength=len(texts))).tolist()
-        out = [whole[lo:hi] for lo, hi in zip([0, *ends], ends, strict=False)]
-        for k in set(owner[symbols == self.size - 1].tolist()):
-            lone = (c for c in texts[k] if c not in self.ids)
-            out[k] = tuple(t for i in out[k] for t in ([i] if i < self.size - 1 else self.spelt(next(lone))))
-        return out
+        owner, symbols = owner[order], symbols[order]
+        lone = symbols == self.size - 1
+        if lone.any():
+            spelt = [self.spelt(c) for k in np.unique(owner[lone]).tolist() for c in texts[k] if c not in self.ids]
+            widths = np.ones(len(symbols), np.int64)
+            widths[lone] = [len(ids) for ids in spelt]
+            owner, symbols, lone = (np.repeat(c, widths) for c in (owner, symbols, lone))
+            symbols[lone] = list(chain.from_iterable(spelt))
+        return symbols.astype(np.int32), np.bincount(owner, minlength=len(texts))
 
     def spelt(self, symbol: str) -> list[int]:
         """What stands for a symbol that is no piece: its bytes, or the unknown id."""
@@ -162,57 +168,85 @@ class Agenda:
                 out += self.spelt(symbol)
         return tuple(out)
 
-    def learn(self, stretches: list[str]) -> dict[str, tuple[int, ...]]:
-        """The ids of stretches not met before."""
-        short = [t for t in stretches if len(t) <= TOGETHER]
-        out: dict[str, tuple[int, ...]] = {}
-        for lo in range(0, len(short), AGENDA):
-            part = short[lo : lo + AGENDA]
-            out.update(zip(part, self.together(part), strict=True))
-        for t in stretches:
-            if t not in out:
-                out[t] = self.segment_ids(t)
-        return out
+    def learn(self, stretches: list[str]) -> None:
+        """Remember the ids of stretches not met before, the shortest first, and if the library agrees."""
+        stretches = sorted(stretches, key=len)
+        short = sum(len(t) <= TOGETHER for t in stretches)
+        done = [self.together(stretches[lo : min(lo + AGENDA, short)]) for lo in range(0, short, AGENDA)]
+        alone = [self.segment_ids(t) for t in stretches[short:]]
+        done.append((np.array([i for ids in alone for i in ids], np.int32), np.array([len(ids) for ids in alone], np.int64)))
+        ids, counts = (np.concatenate(c) for c in zip(*done, strict=True))
+
+        asked = self.library.encode([t[1:] for t in stretches], num_threads=1)
+        theirs = np.fromiter(map(len, asked), np.int64, len(asked))
+        other = np.fromiter(chain.from_iterable(asked), np.int32, theirs.sum())
+        doubted = theirs != counts
+        alike = np.flatnonzero(~doubted)
+        differs = ids[np.repeat(~doubted, counts)] != other[np.repeat(~doubted, theirs)]
+        doubted[np.repeat(alike, counts[alike])[differs]] = True
+        doubted |= np.fromiter((t[0] != SPACE for t in stretches), bool, len(stretches))
+        self.known.update(zip(stretches, range(len(self.counts), len(self.counts) + len(stretches)), strict=True))
+        self.ids_of = np.concatenate([self.ids_of, ids])
+        self.counts = np.concatenate([self.counts, counts])
+        self.doubted = np.concatenate([self.doubted, doubted])
+
+    def keep(self, stretches: list[str]) -> None:
+        """Remember these stretches alone."""
+        places = np.fromiter(map(self.known.__getitem__, stretches), np.int64, len(stretches))
+        self.ids_of, self.counts, self.doubted = self.ids_at(places), self.counts[places], self.doubted[places]
+        self.known = dict(zip(stretches, range(len(stretches)), strict=True))
+
+    def ids_at(self, places: np.ndarray) -> np.ndarray:
+        """The ids of remembered stretches, one after the other."""
+        counts = self.counts[places]
+        starts = (np.cumsum(self.counts) - self.counts)[places]
+        return self.ids_of[np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())]
 
     def cut(self, text: str) -> list[str]:
         """A text's stretches after normalising."""
         whole = self.library.normalize(text)
         return self.stretches.findall(whole) if self.stretches else [whole] if whole else []
 
-    def encode_all(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
-        """The ids of each text, without begin or end ids, and whether the library agrees.
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all texts, without begin or end ids, where those of each end (from 0), and whether the library agrees.
 
         Every stretch not met before is also encoded by the library, which takes it as a text without its first
         mark. A text with a stretch that the library sees otherwise or can't take so is compared as a whole; if its
         ids differ, the library's stand and it is said to disagree.
         """
         cut = [self.cut(t) for t in texts]
-        new = list(set().union(*cut).difference(self.known))
-        learnt = self.learn(new)
-        asked = self.library.encode([t[1:] for t in new], num_threads=1) if new else []
-        self.doubted.update(t for t, ids in zip(new, asked, strict=True) if t[0] != SPACE or tuple(ids) != learnt[t])
+        stretches = list(chain.from_iterable(cut))
+        met = set(stretches)
+        new = met.difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
-            used = set().union(*cut)
-            self.known = {t: ids for t, ids in self.known.items() if t in used}
-            self.doubted &= used
-        self.known.update(learnt)
-        made, agrees = [], []
-        for text, stretches in zip(texts, cut, strict=True):
-            ids = list(chain.from_iterable(map(self.known.__getitem__, stretches)))
+            self.keep(list(met - new))
+        if new:
+            self.learn(list(new))
+        places = np.fromiter(map(self.known.__getitem__, stretches), np.int64, len(stretches))
+        held = np.array([len(c) for c in cut], np.int64)
+        ids = self.ids_at(places)
+        ends = np.append(0, np.cumsum(self.counts[places]))[np.append(0, np.cumsum(held))]
+        agrees = np.ones(len(texts), bool)
+        doubted = np.unique(np.repeat(np.arange(len(texts)), held)[self.doubted[places]]).tolist()
+        if doubted or not self.bytes:
+            own = np.split(ids, ends[1:-1])
             if not self.bytes:
                 # Unknown symbols side by side are one.
-                ids = [t for i, t in enumerate(ids) if t != self.unknown or i == 0 or ids[i - 1] != t]
-            same = self.doubted.isdisjoint(stretches)
-            if not same:
-                whole = self.library.encode(text)
-                ids, same = whole, ids == whole
-            made.append(ids)
-            agrees.append(same)
-        for t in new:
-            if len(t) > LONGEST:
-                del self.known[t]
-                self.doubted.discard(t)
-        return made, agrees
+                own = [i[np.append(True, (i[1:] != self.unknown) | (i[:-1] != self.unknown))[: len(i)]] for i in own]
+            for k in doubted:
+                whole = np.array(self.library.encode(texts[k]), np.int32)
+                agrees[k], own[k] = np.array_equal(whole, own[k]), whole
+            ids, ends = np.concatenate(own), np.append(0, np.cumsum([len(i) for i in own]))
+        long = sum(len(t) > LONGEST for t in new)
+        if long:
+            # They were learnt last.
+            left = len(self.counts) - long
+            for t in new:
+                if len(t) > LONGEST:
+                    del self.known[t]
+            self.counts, self.doubted = self.counts[:left], self.doubted[:left]
+            self.ids_of = self.ids_of[: self.counts.sum()]
+        return ids, ends, agrees
 
 
 @functools.lru_cache(maxsize=2)
@@ -238,11 +272,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         own = agenda(path)
         for batch in slices(batches, "text", BLOCK):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids, agrees = own.encode_all(texts)
-            ends = np.cumsum([0, *map(len, ids)])
-            flat = np.fromiter(chain.from_iterable(ids), np.int32, ends[-1])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-            columns = [batch.column("doc_id"), lists, pa.array(agrees, pa.bool_())]
+            if not texts:
+                continue
+            ids, ends, agrees = own.encode_all(texts)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+            columns = [batch.column("doc_id"), lists, pa.array(agrees)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "agrees"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -258,7 +292,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 lists = part.column("ids").fill_null([])
-                flat, ends = lists.flatten().to_pylist(), np.cumsum([0, *lists.value_lengths().to_pylist()]).tolist()
+                flat, ends = lists.flatten().to_numpy().tolist(), np.append(0, np.cumsum(lists.value_lengths().to_numpy())).tolist()
                 ids = [flat[lo:hi] for lo, hi in zip(ends, ends[1:], strict=False)]
                 texts = pa.array(own.decode(ids, num_threads=1) if ids else [], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, "text"])
