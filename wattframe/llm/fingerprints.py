@@ -31,9 +31,12 @@ def syncmers(data: Column, k: int = K, s: int = S) -> Column:
     """
     inner = k - s + 1
 
+    def nth(h: Column, j: Column, q: int) -> Column:
+        return F.get(h, j + q if q else j)
+
     def least(h: Column, j: Column, edge: int) -> Column:
         others = [q for q in range(inner) if q != edge]
-        return reduce(lambda x, y: x & y, [F.get(h, j + edge) <= F.get(h, j + q) for q in others])
+        return reduce(lambda x, y: x & y, [nth(h, j, edge) <= nth(h, j, q) for q in others])
 
     def whole(d: Column) -> Column:
         last = F.octet_length(d) - (k - 1)
@@ -62,17 +65,25 @@ def syncmers(data: Column, k: int = K, s: int = S) -> Column:
     return let(data, whole)
 
 
-def sketch(hashes: Column, data: Column, kept: int = KEPT) -> Column:
-    """The `kept` smallest hashes; of a text too short for an anchor those of all its short pieces, of an empty one nothing."""
-    pieces = F.sequence(F.lit(1), F.greatest(F.octet_length(data) - (SHORT - 1), F.lit(1)))
-    whole = F.when(F.octet_length(data) > 0, F.transform(pieces, lambda i: F.xxhash64(F.substring(data, i, F.lit(SHORT)))))
-    whole = whole.otherwise(F.array().cast("array<bigint>"))
+def smallest(hashes: Column, kept: int = KEPT) -> Column:
+    """The `kept` smallest of some hashes, each once, by their upper half."""
+    return F.slice(F.sort_array(F.array_distinct(F.transform(hashes, lambda h: F.shiftrightunsigned(h, 32)))), 1, kept)
+
+
+def merged(*sketches: Column, kept: int = KEPT) -> Column:
+    """The smallest hashes of several sketches together."""
+    return F.slice(F.sort_array(F.array_distinct(F.concat(*sketches))), 1, kept)
+
+
+def or_pieces(sketch: Column, data: Column, kept: int = KEPT) -> Column:
+    """A sketch; of a text too short for an anchor that of all its short pieces, of an empty one nothing."""
+    starts = F.sequence(F.lit(1), F.greatest(F.octet_length(data) - (SHORT - 1), F.lit(1)))
+    pieces = F.transform(starts, lambda i: F.xxhash64(F.substring(data, i, F.lit(SHORT))))
+    return F.when((F.size(sketch) > 0) | (F.octet_length(data) == 0), sketch).otherwise(smallest(pieces, kept))
 
-    def smallest(found: Column) -> Column:
-        used = F.when(F.size(found) > 0, found).otherwise(whole)
-        return F.slice(F.sort_array(F.array_distinct(F.transform(used, lambda h: F.shiftrightunsigned(h, 32)))), 1, kept)
 
-    return let(hashes, smallest)
+def hashes_of(anchors: Column) -> Column:
+    return F.transform(anchors, lambda x: x["hash"])
 
 
 def printed(hashes: Column) -> Column:
@@ -89,7 +100,7 @@ def likeness(a: Column, b: Column, kept: int = KEPT) -> Column:
 def fingerprint(text: Column, kept: int = KEPT) -> Column:
     """The printed fingerprint of a text column; null counts as empty."""
     data = F.coalesce(text, F.lit("")).cast("binary")
-    return printed(sketch(F.transform(syncmers(data), lambda x: x["hash"]), data, kept))
+    return printed(let(smallest(hashes_of(syncmers(data)), kept), lambda x: or_pieces(x, data, kept)))
 
 
 def _at_most(bounds: list[int], value: Column) -> Column:
@@ -141,22 +152,28 @@ def fingerprints(docs: DataFrame, k: int = K, s: int = S, kept: int = KEPT) -> D
     the start of the next document in ascending doc_id, or all it has; after the last comes the first. Columns:
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_anchors.
 
-    Texts are shuffled once, by range of id; everything else happens inside that range. Anchors of the edited
-    text are those of the kept head plus those of the seam, since an anchor depends on its own bytes only.
-    Null text counts as empty, and two empty texts are alike. Repeated rows follow one another and each keep a row.
+    Texts are shuffled once, by range of id; everything else happens inside that range. An anchor depends on its own
+    bytes only, so those of the edited text are those of the kept head, those of the start of the next document, which
+    that document's row hands over as a sketch, and the few across the seam. Null text counts as empty, and two empty
+    texts are alike. Repeated rows follow one another and each keep a row.
     """
     w = Window.partitionBy("_range").orderBy("_guest", "doc_id", "text")
     seated = with_next(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
-    seen = seated.withColumn("_next", F.coalesce(F.lead("text").over(w), F.lit("")))
-    seen = seen.select(
+    seen = seated.select(
+        "*",
+        F.coalesce(F.lead("text").over(w), F.lit("")).alias("_next"),
+        F.coalesce(F.lag(cut).over(w), F.lit(0)).alias("_lent"),
+        F.row_number().over(w).alias("_nth"),
+    ).select(
         "*",
         n.cast("long").alias("n_chars"),
         F.col("text").cast("binary").alias("_data"),
         F.left("text", n - cut).alias("_head"),
         F.left("_next", cut).alias("_tail"),
-    ).drop("_next")
+        F.octet_length(F.left("text", "_lent")).alias("_lent_bytes"),
+    ).drop("_next", "_lent")
     head_bytes = F.octet_length("_head")
     seen = seen.select(
         "*",
@@ -164,20 +181,31 @@ def fingerprints(docs: DataFrame, k: int = K, s: int = S, kept: int = KEPT) -> D
         head_bytes.alias("_kept"),
         F.concat(
             F.substring(F.col("_head").cast("binary"), F.greatest(head_bytes - (k - 2), F.lit(1)), F.lit(k - 1)),
-            F.col("_tail").cast("binary"),
+            F.substring(F.col("_tail").cast("binary"), F.lit(1), F.lit(k - 1)),
         ).alias("_seam"),
         syncmers(F.col("_data"), k, s).alias("_own"),
-    ).drop("_head", "_tail")
-    hashes = F.transform("_own", lambda x: x["hash"])
-    stays = F.transform(F.filter("_own", lambda x: x["pos"] <= F.col("_kept") - (k - 1)), lambda x: x["hash"])
+    ).drop("_head", "_tail", "text")
+
+    def inside(n_bytes: str) -> Column:
+        """Anchors that end within the first bytes; they are in order of place."""
+        return F.filter("_own", lambda x: x["pos"] <= F.col(n_bytes) - (k - 1))
+
     made = seen.select(
         "*",
         F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"),
-        sketch(hashes, F.col("_data"), kept).alias("_a"),
-        sketch(F.concat(stays, F.transform(syncmers(F.col("_seam"), k, s), lambda x: x["hash"])), F.col("_edited").cast("binary"), kept).alias("_b"),
+        let(smallest(hashes_of(F.col("_own")), kept), lambda x: or_pieces(x, F.col("_data"), kept)).alias("_a"),
+        smallest(hashes_of(inside("_kept")), kept).alias("_stays"),
+        smallest(hashes_of(inside("_lent_bytes")), kept).alias("_lends"),
+        smallest(hashes_of(syncmers(F.col("_seam"), k, s)), kept).alias("_across"),
         F.size("_own").cast("long").alias("n_anchors"),
-    ).drop("_own", "_seam", "_edited", "_data")
-    paired = made.withColumn("_c", F.lead("_a").over(w)).where(F.col("_guest") == 0)
+        # Of any 2 k - s bytes some k-mer counts, so only a shorter text can do without anchors.
+        F.when(F.octet_length("_edited") < 2 * k, F.col("_edited")).cast("binary").alias("_short"),
+    ).drop("_own", "_seam", "_data", "_edited")
+    after = Window.partitionBy("_range").orderBy("_nth")
+    borrowed = F.coalesce(F.lead("_lends").over(after), F.array().cast("array<bigint>"))
+    paired = made.select("*", F.lead("_a").over(after).alias("_c"), merged("_stays", "_across", borrowed, kept=kept).alias("_found"))
+    found = F.when(F.col("_short").isNull(), F.col("_found")).otherwise(or_pieces(F.col("_found"), F.col("_short"), kept))
+    paired = paired.where(F.col("_guest") == 0).withColumn("_b", found)
     return paired.select(
         "doc_id",
         "n_chars",
