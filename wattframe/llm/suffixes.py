@@ -220,7 +220,8 @@ def repeated_runs(docs: DataFrame, span: int = SPAN, inner: int = INNER, hot: in
 
     `docs` has doc_id, doc (a hash of the text) and text.
     """
-    runs = _runs_of(docs, span, inner)
+    # Found once and written, for finding them costs more than reading them back.
+    runs = written(_runs_of(docs, span, inner), "windows")
     seen = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("alone").alias("alone"))
     shared = written(runs.join(seen.where("n > 1 OR NOT alone").select("anchor"), "anchor", "left_semi"), "runs")
     distinct = shared.groupBy("anchor", "content").agg(
