@@ -15,7 +15,7 @@ from wattframe.llm.common import held_out, slices, utf8
 #: log2 of the number of weights.
 BITS = 18
 #: About so many labelled documents are learned from, chosen by hash of the id, in so many passes.
-TRAIN_DOCS = 8_000
+TRAIN_DOCS = 20_000
 PASSES = 4
 #: Step size, its smoothing, and the penalties on the sum and on the squares of the weights.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.01, 0.01
