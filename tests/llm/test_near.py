@@ -1,7 +1,10 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline as C
 from wattframe.llm import near as N
+from wattframe.llm import simhash as H
 
 
 def jaccard(a, b):
@@ -73,3 +76,31 @@ def test_odd_rows(spark, odd, empty):
     got = N.keep_one(odd)
     assert got.columns == odd.columns and {r.doc_id for r in got.collect()} == {1, 4, 6, 7, None} and got.count() == 5
     assert N.keep_one(empty).count() == 0
+
+
+def test_the_codebook_is_the_golay_code():
+    book = H.codebook()
+    apart = (H.LENGTH - book @ book.T) / 2
+    assert book.shape == (4096, H.LENGTH) and apart[~np.eye(4096, dtype=bool)].min() == 7
+    segments = (book > 0) @ (1 << np.arange(H.LENGTH))
+    assert (H.codewords(segments).max(1) == np.arange(4096)).all()
+
+
+def test_codewords_are_the_nearest_to_simhash_bits():
+    rng = np.random.default_rng(5)
+    for size in (1, 2, 7, 300):
+        own = np.unique(rng.integers(0, 1 << 63, size, np.uint64))
+        totals, words = N.totals(own), N.nearest_codewords(own)
+        assert np.abs(totals).max() <= size and (totals % 2 == size % 2).all()
+        for scores, found in zip(totals @ H.codebook().T, words, strict=True):
+            assert len(set(found)) == N.NEAREST and sorted(scores[found]) == sorted(scores)[-N.NEAREST :]
+        assert len(set(N.golay_keys(own).tolist())) == N.SEGMENTS * N.NEAREST
+
+
+def test_similar_sets_share_keys_and_others_none():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        a, b = (rng.integers(0, 1 << 63, 270, np.uint64) for _ in range(2))
+        near = np.concatenate([a[:240], b[:30]])
+        assert len(np.intersect1d(N.golay_keys(a), N.golay_keys(near))) > 0
+        assert len(np.intersect1d(N.golay_keys(a), N.golay_keys(b))) == 0

@@ -88,6 +88,15 @@ def _syndromes() -> tuple[np.ndarray, np.ndarray]:
 _SINGLE, _ERROR = _syndromes()
 
 
+def codebook() -> np.ndarray:
+    """All codewords by their 12 leading bits: 4096 x 23, 1 for a set bit and -1 for any other."""
+    leading = np.arange(1 << 12)
+    word = leading << 11
+    for i in range(12):
+        word ^= np.where(leading >> i & 1, _SINGLE[11 + i], 0)
+    return ((word[:, None] >> np.arange(LENGTH) & 1) * 2 - 1).astype(np.float32)
+
+
 def codewords(segment: np.ndarray) -> np.ndarray:
     """The codewords (their 12 leading bits) nearest to each segment and to it with one bit turned: n x 6, -1 for none.
 
