@@ -220,3 +220,20 @@ def test_series_tree(spark, tmp_path):
     df = frame(spark, "stat string, region string, v double", ("power", "NSW1", 1.0), ("power", "VIC1", 2.0))
     W.write_series(df, str(tmp_path / "out"), ["stat", "region"])
     assert (tmp_path / "out" / "stat=power" / "region=NSW1").is_dir()
+
+
+def test_a_pollution_file_holds_many_reports(spark):
+    import pyarrow as pa
+
+    from wattframe.plans.source_plans import REPORTS, _report_files
+
+    def report(n):
+        emission = f"<emission><substance>S</substance><destination>Air</destination><quantity_in_kg>{n}</quantity_in_kg></emission>"
+        return f"<report><facility_name>F</facility_name><jurisdiction_facility_id>N{n}</jurisdiction_facility_id><emissions>{emission}</emissions></report>"
+
+    rows = [report(n) for n in range(2 * REPORTS + 1)] + [None]
+    files = [f for b in _report_files([pa.RecordBatch.from_arrays([pa.array(rows)], ["value"])]) for f in b.column(0).to_pylist()]
+    assert len(files) == 3 and not list(_report_files([]))
+    got = S.parse_pollution(S.split_reports(spark.createDataFrame([(f,) for f in [*files, None]], "value string"))).collect()
+    assert sorted(r.quantity_kg for r in got) == [float(n) for n in range(2 * REPORTS + 1)]
+    assert {r.npi_facility_id for r in got} == {f"N{n}" for n in range(2 * REPORTS + 1)}

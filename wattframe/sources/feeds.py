@@ -312,6 +312,12 @@ def parse_pollution(reports: DataFrame) -> DataFrame:
     )
 
 
+def split_reports(files: DataFrame, xml: str = "value") -> DataFrame:
+    """The reports of whole XML files held in a column, a row each."""
+    parsed = F.from_xml(F.col(xml), f"report array<struct<{REPORT_SCHEMA}>>")
+    return files.select(F.explode(parsed["report"]).alias("r")).select("r.*")
+
+
 def read_pollution_xml(spark: SparkSession, path: str) -> DataFrame:
     """Pollutant reports from XML files."""
     return parse_pollution(spark.read.format("xml").option("rowTag", "report").schema(REPORT_SCHEMA).load(path))
