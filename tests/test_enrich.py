@@ -321,3 +321,31 @@ def test_curtailment_needs_all_fields(spark):
 def test_region_factor_limit(spark):
     with pytest.raises(ValueError):
         E.region_factor(None, None, timedelta(minutes=5), datetime(2024, 1, 1), datetime(2024, 2, 1))
+
+
+def test_prices_are_joined_before_rows_are_repeated(spark):
+    from wattframe.plans.enrich_plans import unit_fact
+    from wattframe.plans.tables import Tables
+
+    plan = unit_fact(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(sequence(") < plan.index("Join")
+
+
+def test_priced_steps_over_midnight_and_for_two_networks_of_a_region(spark):
+    def at(day, hour, minute=0):
+        return datetime(2024, 1, day, hour, minute)
+
+    rows = [("U1", "R", at(1, 23, 50), at(2, 0, 5)), ("U2", "Q", at(1, 0), at(1, 0)), ("U3", None, at(1, 0), at(1, 0, 5))]
+    rows = spark.createDataFrame(rows, "unit_code string, network_region string, interval timestamp_ntz, _until timestamp_ntz")
+    prices = [(at(1, 23, 55), "R", 1.0), (at(2, 0), "R", 2.0), (at(2, 0, 5), "R", 3.0), (at(2, 0, 5), "R", 4.0)]
+    prices = spark.createDataFrame(prices, "interval timestamp_ntz, network_region string, price double")
+    got = sorted((r.unit_code, r.interval, r.price) for r in E.priced_steps(rows, prices).collect() if r.unit_code == "U1")
+    assert got == [
+        ("U1", at(1, 23, 50), None),
+        ("U1", at(1, 23, 55), 1.0),
+        ("U1", at(2, 0), 2.0),
+        ("U1", at(2, 0, 5), 3.0),
+        ("U1", at(2, 0, 5), 4.0),
+    ]
+    rest = sorted((r.unit_code, r.interval, r.price) for r in E.priced_steps(rows, prices).collect() if r.unit_code != "U1")
+    assert rest == [("U2", at(1, 0), None), ("U3", at(1, 0), None), ("U3", at(1, 0, 5), None)]

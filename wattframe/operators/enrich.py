@@ -16,14 +16,14 @@ from wattframe.functions.lookups import (
     interval_minutes,
     lookup,
 )
-from wattframe.functions.timebucket import floor_minutes, guard_intervals, ts_lit
+from wattframe.functions.timebucket import NTZ, epoch_seconds, floor_minutes, guard_intervals, step_lit, ts_lit
 from wattframe.operators.gapfill import (
     LOOKBACK,
     TAIL,
     gapfill,
     locf,
-    locf_bounded,
     rescale_energy,
+    runs,
     spread,
 )
 from wattframe.operators.ingest import relabel_region
@@ -113,6 +113,45 @@ def carried_prices(market: DataFrame, start: datetime, end: datetime, chunk="mon
     return spread(published, keys, "interval", FIVE, end, hold=["price"], chunk=chunk)
 
 
+def daily_prices(prices: DataFrame) -> DataFrame:
+    """(network_region, _day, _rank, _from, _prices): the prices of a day's steps in a row, from the first one on.
+
+    `prices` (carried) have no holes after a network's first one, so neither have the days. A region of several
+    networks has a row for each `_rank`; those beyond 0 hold what is there besides.
+    """
+    at = F.col("interval")
+    steps = prices.filter(at == floor_minutes("interval", 5)).groupBy("network_region", "interval")
+    ranked = steps.agg(F.array_sort(F.collect_list("price")).alias("all")).select(
+        "network_region", "interval", F.posexplode("all").alias("_rank", "price")
+    )
+    in_order = F.array_sort(F.collect_list(F.struct("interval", "price")))
+    return ranked.groupBy("network_region", F.to_date("interval").alias("_day"), "_rank").agg(
+        F.min("interval").alias("_from"), F.transform(in_order, lambda x: x["price"]).alias("_prices")
+    )
+
+
+def priced_steps(rows: DataFrame, prices: DataFrame) -> DataFrame:
+    """Each row repeated on the five-minute steps from `interval` to `_until`, with the carried price of its region.
+
+    Rows are cut by day and meet a day's prices before they are repeated, so what is shuffled grows with the readings.
+    Tasks are as many as the session's shuffle partitions: merged by their size before, they would hold too much after.
+    """
+    days = F.explode(F.sequence(F.to_date("interval"), F.to_date("_until"), F.expr("INTERVAL 1 DAY")))
+    midnight = F.col("_day").cast(NTZ)
+    cut = rows.withColumn("_day", days).withColumns(
+        {
+            "interval": F.greatest("interval", midnight),
+            "_until": F.least("_until", midnight + F.expr("INTERVAL 1 DAY") - step_lit(FIVE)),
+        }
+    )
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = cut.repartition(tasks, "unit_code", "_day").join(daily_prices(prices), ["network_region", "_day"], "left")
+    steps = known.withColumn("_t", F.explode(F.sequence("interval", "_until", step_lit(FIVE))))
+    place = ((epoch_seconds("_t") - epoch_seconds("_from")) / 300).cast("int")
+    out = steps.withColumn("price", F.get("_prices", place)).filter((F.coalesce("_rank", F.lit(0)) == 0) | F.col("price").isNotNull())
+    return out.withColumn("interval", F.col("_t")).drop("_t", "_day", "_until", "_rank", "_from", "_prices")
+
+
 def unit_intervals(
     telemetry: DataFrame,
     market: DataFrame,
@@ -167,18 +206,8 @@ def unit_intervals(
             ),
         )
     )
-    held = locf_bounded(
-        rooftop,
-        ["network_id", "unit_code"],
-        "interval",
-        ["generated", "energy"],
-        FIVE,
-        start,
-        end,
-        LOOKBACK,
-        TAIL,
-        chunk=chunk,
-    )
+    seeded = rooftop.filter((F.col("interval") >= ts_lit(start - LOOKBACK)) & (F.col("interval") <= ts_lit(end)))
+    held = runs(seeded, ["network_id", "unit_code"], "interval", FIVE, end, tail=TAIL, chunk=chunk).drop("_next")
     solar = (
         held.join(rooftop_dims, "unit_code")
         .withColumn("fueltech_group_id", F.lit("solar"))
@@ -186,9 +215,9 @@ def unit_intervals(
         .withColumn("energy_storage", F.lit(None).cast("double"))
     )
 
-    both = plain.unionByName(solar).filter((F.col("interval") >= ts_lit(start)) & (F.col("interval") < ts_lit(end)))
-    prices = carried_prices(market, start, end, chunk, carry_in).select("interval", "network_region", "price")
-    priced = both.join(prices, ["interval", "network_region"], "left")
+    both = plain.withColumn("_until", F.col("interval")).unionByName(solar)
+    priced = priced_steps(both, carried_prices(market, start, end, chunk, carry_in))
+    priced = priced.filter((F.col("interval") >= ts_lit(start)) & (F.col("interval") < ts_lit(end)))
     energy, factor = F.col("energy"), F.col("emissions_factor_co2")
     fact = priced.select(
         "interval",

@@ -117,6 +117,32 @@ def interpolate_with_tail(
     return known.withColumn(col, F.coalesce(F.col(col), line, held)).select(*df.columns)
 
 
+def runs(
+    df: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    step,
+    end=None,
+    line: Sequence[str] = (),
+    tail: timedelta | None = None,
+    chunk: str | None = "month",
+) -> DataFrame:
+    """Each row with `_until`, the last grid step it stands for, and `_next`, the next row's time and `line` columns.
+
+    The steps themselves are those of `spread`; whoever joins by row does it here, before rows are repeated.
+    """
+    step = step_lit(step) if isinstance(step, timedelta) else step
+    known = next_row(df, keys, ts, line, chunk=chunk)
+    at, after = F.col(ts), F.col("_next")
+    last = at if end is None else ts_lit(end) - step
+    if tail is not None:
+        last = F.least(last, at + step_lit(tail)) if end is not None else at + step_lit(tail)
+    stop = F.when(after.isNull(), last).otherwise(after["ts"] - step)
+    if end is not None:
+        stop = F.least(stop, ts_lit(end) - step)
+    return known.withColumn("_until", F.greatest(stop, at))
+
+
 def spread(
     df: DataFrame,
     keys: Sequence[str],
@@ -137,15 +163,9 @@ def spread(
     Nothing is created before the first row.
     """
     step = step_lit(step) if isinstance(step, timedelta) else step
-    known = next_row(df, keys, ts, line, chunk=chunk)
     at, after = F.col(ts), F.col("_next")
-    last = at if end is None else ts_lit(end) - step
-    if tail is not None:
-        last = F.least(last, at + step_lit(tail)) if end is not None else at + step_lit(tail)
-    stop = F.when(after.isNull(), last).otherwise(after["ts"] - step)
-    if end is not None:
-        stop = F.least(stop, ts_lit(end) - step)
-    steps = known.withColumn("_t", F.explode(F.sequence(at, F.greatest(stop, at), step)))
+    known = runs(df, keys, ts, step, end, line, tail, chunk)
+    steps = known.withColumn("_t", F.explode(F.sequence(at, F.col("_until"), step)))
     now, t0, t1 = epoch_seconds("_t"), epoch_seconds(ts), epoch_seconds(after["ts"])
     real = F.col("_t") == at
 
