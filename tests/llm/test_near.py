@@ -72,6 +72,26 @@ def test_a_group_hidden_among_others_of_its_keys_is_found(spark, documents):
     assert got == want
 
 
+def test_links_found_at_first_are_not_joined_up_again(spark, documents, monkeypatch):
+    rng, given = random.Random(21), []
+    monkeypatch.setattr(N, "components", lambda links, own=N.components: given.append(links.count()) or own(links))
+    words = [str(rng.randrange(10**6)) for _ in range(300)]
+    copies = [" ".join(words[:k] + ["x"] + words[k:]) for k in range(0, 300, 12)]
+    assert N.keep_one(documents(*[(i, t, "s") for i, t in enumerate(copies)])).count() == 1
+    assert len(given) == 1
+
+    # Links found later join stars, of which there is an edge for each node and not for each link.
+    found = N._links_in_keys
+    monkeypatch.setattr(N, "_links_in_keys", lambda *a: found(*a).unionByName(spark.createDataFrame([(-5, -6)], "a long, b long")))
+    docs = documents(*[(i, t, "s") for i, t in enumerate(copies)])
+    nodes = N.marked_sets(docs.select("doc_id", "text")).dropDuplicates(["node"])
+    given.clear()
+    roots = {r.node: r.root for r in N.similar_links(nodes, docs.select("text")).collect()}
+    assert roots.pop(-5) == roots.pop(-6) == -6
+    assert set(roots.values()) == {min(roots)} and len(roots) == len(copies)
+    assert given[1] <= len(copies) + 1 < given[0]
+
+
 def test_odd_rows(spark, odd, empty):
     got = N.keep_one(odd)
     assert got.columns == odd.columns and {r.doc_id for r in got.collect()} == {1, 4, 6, 7, None} and got.count() == 5

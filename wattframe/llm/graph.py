@@ -13,7 +13,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round points the greater neighbours of a node to its least one, then the lesser ones; the edges left
     at the end are a star around each root. Rounds grow with the logarithm of the nodes. Only counts come to the
-    driver; the edges are checkpointed each round.
+    driver; the edges are checkpointed each round. Edges that the first half of a round makes twice (one for each edge
+    at most) go at its end, in one shuffle with the others.
     """
     now = stage(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
@@ -24,7 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = seen
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lower, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = stage(small.unionByName(lower.select("a", F.col("m").alias("b"))).distinct())
