@@ -349,3 +349,31 @@ def test_priced_steps_over_midnight_and_for_two_networks_of_a_region(spark):
     ]
     rest = sorted((r.unit_code, r.interval, r.price) for r in E.priced_steps(rows, prices).collect() if r.unit_code != "U1")
     assert rest == [("U2", at(1, 0), None), ("U3", at(1, 0), None), ("U3", at(1, 0, 5), None)]
+
+
+def test_steps_of_a_day_lie_in_few_tasks(spark):
+    def at(day, hour, minute=0):
+        return datetime(2024, 1, day, hour, minute)
+
+    rows = [(f"U{n}", "R", at(1, 22), at(4, 2)) for n in range(40)]
+    rows = spark.createDataFrame(rows, "unit_code string, network_region string, interval timestamp_ntz, _until timestamp_ntz")
+    prices = spark.createDataFrame([(at(2, 0), "R", 2.0)], "interval timestamp_ntz, network_region string, price double")
+    steps = E.priced_steps(rows, prices, 4, "day")
+    assert steps.count() == 40 * (24 + 288 + 288 + 25)
+    told = steps.select("day", F.to_date("interval").alias("date"), F.spark_partition_id().alias("task")).distinct().collect()
+    assert sorted((r.day, r.date.day) for r in told) == [(20240101 + n, 1 + n) for n in range(4)]
+    assert len({r.task for r in told}) == 4
+    one_day = E.priced_steps(rows.withColumn("_until", F.col("interval")), prices, 1)
+    assert one_day.select(F.spark_partition_id()).distinct().count() == 4
+
+
+def test_prices_are_carried_from_one_read_of_the_market(spark, tmp_path):
+    def at(day, hour, minute=0):
+        return datetime(2024, 1, day, hour, minute)
+
+    given = [(at(1, 9), 1.0), (at(1, 8), 9.0), (at(2, 0, 5), None), (at(2, 0, 10), 3.0), (at(2, 0, 12), 5.0)]
+    given = spark.createDataFrame([(t, "NEM", "R", p) for t, p in given], "interval timestamp_ntz, network_id string, network_region string, price double")
+    given.write.parquet(f"{tmp_path}/market")
+    out = E.carried_prices(spark.read.parquet(f"{tmp_path}/market"), at(2, 0), at(2, 0, 20), "day", carry_in=True)
+    assert out.inputFiles() == []
+    assert sorted((r.interval.minute, r.price) for r in out.collect()) == [(0, 1.0), (5, 1.0), (10, 4.0), (15, 4.0)]

@@ -278,3 +278,13 @@ def test_the_first_to_arrive_wins(spark, tmp_path):
         J.start_dedupe(stream, ["k", "t"], "t", f"{path}/out", f"{path}/cp", ["n"], trigger=ONCE).awaitTermination()
     out = spark.read.parquet(f"{path}/out")
     assert rows(out.select("k", "v", "n", "arrived.batch")) == [("a", 2, 3, 0), ("b", 3, 1, 1), ("c", 5, 8, 0)]
+
+
+def test_dealt_days_are_written_by_the_tasks_that_have_them(spark, tmp_path):
+    rows = spark.range(200).select(F.col("id"), (20240101 + F.col("id") % 100).cast("int").alias(J.DAY))
+    before = spark.conf.get(J.WRITERS)
+    J.write_dealt_days(rows.coalesce(1), f"{tmp_path}/fact")
+    J.write_dealt_days(rows.filter("id = 7"), f"{tmp_path}/fact")
+    assert spark.conf.get(J.WRITERS) == before
+    got = sorted(r.id for r in spark.read.parquet(f"{tmp_path}/fact").collect())
+    assert got == [n for n in range(200) if n != 107]

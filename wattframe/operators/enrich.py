@@ -97,7 +97,7 @@ def carried_prices(market: DataFrame, start: datetime, end: datetime, chunk="mon
     """Published prices carried over the five-minute grid, by region.
 
     With `carry_in` the last price before `start` holds until the first one inside, so that a recomputed
-    day has the prices it has in a longer run.
+    day has the prices it has in a longer run. The fill reads its rows twice, the market is read once.
     """
     keys = ["network_id", "network_region"]
     known = market.filter((F.col("interval") <= ts_lit(end)) & F.col("price").isNotNull())
@@ -105,12 +105,9 @@ def carried_prices(market: DataFrame, start: datetime, end: datetime, chunk="mon
         known = known.filter(F.col("interval") >= ts_lit(start))
     published = known.groupBy(floor_minutes("interval", 5).alias("interval"), *keys).agg(F.avg("price").alias("price"))
     if carry_in:
-        before = F.col("interval") < ts_lit(start)
-        last = published.filter(before).groupBy(*keys).agg(F.max_by("price", "interval").alias("price"))
-        seeds = last.select(ts_lit(start).alias("interval"), *keys, "price", F.lit(0).alias("_own"))
-        both = published.filter(~before).withColumn("_own", F.lit(1)).unionByName(seeds)
-        published = both.groupBy("interval", *keys).agg(F.max_by("price", "_own").alias("price"))
-    return spread(published, keys, "interval", FIVE, end, hold=["price"], chunk=chunk)
+        begun = F.greatest("interval", ts_lit(start)).alias("interval")
+        published = published.groupBy(begun, *keys).agg(F.max_by("price", "interval").alias("price"))
+    return spread(stage(published), keys, "interval", FIVE, end, hold=["price"], chunk=chunk)
 
 
 def daily_prices(prices: DataFrame) -> DataFrame:
@@ -130,22 +127,34 @@ def daily_prices(prices: DataFrame) -> DataFrame:
     )
 
 
-def priced_steps(rows: DataFrame, prices: DataFrame) -> DataFrame:
+def _pieces(tasks: int, days: int) -> int:
+    """Into how many tasks the rows of a day are dealt: `tasks` of some days, those of a month at most."""
+    return -(-tasks // min(max(days, 1), 32))
+
+
+def priced_steps(rows: DataFrame, prices: DataFrame, days: int = 32, day: str | None = None) -> DataFrame:
     """Each row repeated on the five-minute steps from `interval` to `_until`, with the carried price of its region.
 
     Rows are cut by day and meet a day's prices before they are repeated, so what is shuffled grows with the readings.
     Tasks are as many as the session's shuffle partitions: merged by their size before, they would hold too much after.
+    Each has pieces of few days, of about so many `days` in all, so a table by day can be written without another shuffle.
+    A column `day`, if named, tells the day as a number (20240131), worked out before rows are repeated.
     """
-    days = F.explode(F.sequence(F.to_date("interval"), F.to_date("_until"), F.expr("INTERVAL 1 DAY")))
+    each = F.explode(F.sequence(F.to_date("interval"), F.to_date("_until"), F.expr("INTERVAL 1 DAY")))
     midnight = F.col("_day").cast(NTZ)
-    cut = rows.withColumn("_day", days).withColumns(
+    cut = rows.withColumn("_day", each).withColumns(
         {
             "interval": F.greatest("interval", midnight),
             "_until": F.least("_until", midnight + F.expr("INTERVAL 1 DAY") - step_lit(FIVE)),
         }
     )
+    if day:
+        cut = cut.withColumn(day, F.year("_day") * 10_000 + F.month("_day") * 100 + F.dayofmonth("_day"))
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    known = cut.repartition(tasks, "unit_code", "_day").join(daily_prices(prices), ["network_region", "_day"], "left")
+    many = _pieces(tasks, days)
+    piece = F.unix_date("_day") * many + F.pmod(F.hash("unit_code"), F.lit(many))
+    dealt = cut.repartitionById(tasks, F.pmod(piece, F.lit(tasks)))
+    known = dealt.join(daily_prices(prices), ["network_region", "_day"], "left")
     steps = known.withColumn("_t", F.explode(F.sequence("interval", "_until", step_lit(FIVE))))
     place = ((epoch_seconds("_t") - epoch_seconds("_from")) / 300).cast("int")
     out = steps.withColumn("price", F.get("_prices", place)).filter((F.coalesce("_rank", F.lit(0)) == 0) | F.col("price").isNotNull())
@@ -162,11 +171,13 @@ def unit_intervals(
     version: int = 0,
     chunk: str | None = "month",
     carry_in: bool = False,
+    day: str | None = None,
 ) -> DataFrame:
     """The unit fact for [start, end).
 
     Readings are summed per five minutes and floored, coarse rooftop feeds are
-    carried over the grid, and price, emissions and value are attached.
+    carried over the grid, and price, emissions and value are attached. Tasks have rows of few days; a column
+    `day`, if named, tells them as numbers.
     `units` has the unit attributes with those of their facility; Spark picks
     the join by its measured size.
     """
@@ -216,9 +227,10 @@ def unit_intervals(
     )
 
     both = plain.withColumn("_until", F.col("interval")).unionByName(solar)
-    priced = priced_steps(both, carried_prices(market, start, end, chunk, carry_in))
-    priced = priced.filter((F.col("interval") >= ts_lit(start)) & (F.col("interval") < ts_lit(end)))
     energy, factor = F.col("energy"), F.col("emissions_factor_co2")
+    both = both.withColumns({"emissions": emissions(energy, factor), "emission_factor": emission_factor(energy, factor)})
+    priced = priced_steps(both.drop("emissions_factor_co2"), carried_prices(market, start, end, chunk, carry_in), (end - start).days, day)
+    priced = priced.filter((F.col("interval") >= ts_lit(start)) & (F.col("interval") < ts_lit(end)))
     fact = priced.select(
         "interval",
         "network_id",
@@ -226,10 +238,11 @@ def unit_intervals(
         "generated",
         "energy",
         "energy_storage",
-        emissions(energy, factor).alias("emissions"),
-        emission_factor(energy, factor).alias("emission_factor"),
+        "emissions",
+        "emission_factor",
         market_value(energy, F.col("price")).alias("market_value"),
         F.lit(version).cast("long").alias("version"),
+        *([day] if day else []),
     )
     return relabel_region(fact)
 

@@ -81,7 +81,7 @@ def _facts_of_both(t: Tables, market: DataFrame, late) -> DataFrame:
     prices = iter([market.filter(~late), None, market.filter(late)])
 
     def fact(readings, known, first, last, number):
-        return unit_intervals(readings, known, t.units(), first, last, version=number, chunk="day", carry_in=True)
+        return unit_intervals(readings, known, t.units(), first, last, version=number, chunk="day", carry_in=True, day=J.DAY)
 
     def start(stream):
         part = next(prices)
@@ -89,7 +89,7 @@ def _facts_of_both(t: Tables, market: DataFrame, late) -> DataFrame:
             part.write.mode("append").parquet(f"{at}/published")
         published = J.stream_table(t.spark, f"{at}/published", market.schema)
         keys = ["interval", "network_id", "network_region"]
-        return J.start_facts_of_both(stream, published, keys, fact, f"{at}/store", f"{at}/market", f"{at}/fact", f"{at}/cp", trigger=ONCE)
+        return J.start_facts_of_both(stream, published, keys, fact, f"{at}/store", f"{at}/market", f"{at}/fact", f"{at}/cp", trigger=ONCE, dealt=True)
 
     _feed_telemetry(t, at, start)
     return t.spark.read.parquet(f"{at}/fact").drop(J.DAY, "version")

@@ -63,7 +63,10 @@ def _run(df: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str,
 
 
 def _tagged(df: DataFrame, ts: str) -> DataFrame:
-    return df.withColumn(DAY, F.date_format(ts, "yyyyMMdd").cast("int"))
+    """`df` with the day of each row, if it isn't told yet."""
+    if DAY in df.columns:
+        return df
+    return df.withColumn(DAY, F.year(ts) * 10_000 + F.month(ts) * 100 + F.dayofmonth(ts))
 
 
 def read_days(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -76,9 +79,26 @@ def read_days(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(full).parquet(path)
 
 
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+
+
+def write_dealt_days(df: DataFrame, path: str) -> None:
+    """`write_days` of rows that are dealt already so that a task has few days: they are neither shuffled nor sorted.
+
+    A task has a file open for each of its days; one of more days than that sorts the rest.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(WRITERS)
+    conf.set(WRITERS, 64)
+    try:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DAY).parquet(path)
+    finally:
+        conf.set(WRITERS, before)
+
+
 def write_days(df: DataFrame, path: str, ts: str) -> None:
     """Replaces exactly the days present in `df`."""
-    tagged = df if DAY in df.columns else _tagged(df, ts)
+    tagged = _tagged(df, ts)
     # Rows of a day go together, and Spark splits a heavy day by its measured size.
     tagged.hint("rebalance", F.col(DAY)).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
@@ -141,12 +161,12 @@ def span(days: set[date]) -> tuple[datetime, datetime]:
     return first, last + timedelta(days=1)
 
 
-def recompute(batch: DataFrame, store: str, sink: str, keys: Sequence[str], fact: Callable[[DataFrame, datetime, datetime], DataFrame], ts: str = "interval") -> None:
+def recompute(batch: DataFrame, store: str, sink: str, keys: Sequence[str], fact: Callable[[DataFrame, datetime, datetime], DataFrame], ts: str = "interval", dealt: bool = False) -> None:
     """Merge a batch into the store and rewrite the touched days of the sink from it.
 
     `fact` gets the stored rows of the touched days and the day before each, and the ends of the whole span; its rows on
     other days are left out. All days are recomputed in one job, however they lie. The batch is read once from
-    its source, however many steps follow.
+    its source, however many steps follow. With `dealt` the tasks of `fact` have few days each and write them as they are.
     """
     batch = batch.persist()
     try:
@@ -155,7 +175,8 @@ def recompute(batch: DataFrame, store: str, sink: str, keys: Sequence[str], fact
         merge_days(batch, store, keys, ts, [c for c in batch.columns if c not in keys])
         days = touched_days(batch, store, ts)
         window = of_days(read_days(batch.sparkSession, store, StructType(batch.schema.fields)), days, 1).drop(DAY)
-        write_days(of_days(_tagged(fact(window, *span(days)), ts), days), sink, ts)
+        rows = of_days(_tagged(fact(window, *span(days)), ts), days)
+        write_dealt_days(rows, sink) if dealt else write_days(rows, sink, ts)
     finally:
         batch.unpersist()
 
@@ -239,7 +260,7 @@ def _healed_days(changed: set[date], prices: DataFrame, by: Sequence[str], store
     return {datetime.strptime(str(r[0]), "%Y%m%d").date() for r in carried.select(DAY).distinct().collect()}
 
 
-def start_facts_of_both(telemetry: DataFrame, market: DataFrame, market_keys: Sequence[str], fact: Fact, store: str, market_store: str, sink: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+def start_facts_of_both(telemetry: DataFrame, market: DataFrame, market_keys: Sequence[str], fact: Fact, store: str, market_store: str, sink: str, checkpoint: str, trigger: dict | None = None, dealt: bool = False) -> StreamingQuery:
     """Keeps a fact up to date with arriving telemetry (one row per event_id) and market rows alike.
 
     Both sources run in one query, so no two writers meet in a day: a batch merges its telemetry and its market
@@ -247,7 +268,8 @@ def start_facts_of_both(telemetry: DataFrame, market: DataFrame, market_keys: Se
     price of each region and day and is rewritten for the days that change. By it a late price also mends the days it is
     carried into, through a gap of any length up to the region's next price; and `fact` gets, instead of
     all history, the market rows of the days in hand and the last prices of all others, beside the stored
-    telemetry of those days and the day before each, the ends of their span and the number of the batch.
+    telemetry of those days and the day before each, the ends of their span and the number of the batch. `dealt` as in
+    `recompute`.
     """
     both = telemetry.select(F.struct("*").alias("reading"), F.lit(None).cast(market.schema).alias("published"))
     both = both.unionByName(market.select(F.lit(None).cast(telemetry.schema).alias("reading"), F.struct("*").alias("published")))
@@ -281,7 +303,8 @@ def start_facts_of_both(telemetry: DataFrame, market: DataFrame, market_keys: Se
             last = read_days(spark, last_store, market.schema).filter(F.col(DAY) <= day_number(max(days)))
             here = sorted({day_number(d - timedelta(days=n)) for d in days for n in (0, 1)})
             known = near.unionByName(last.filter(~F.col(DAY).isin(here))).drop(DAY)
-            write_days(of_days(_tagged(fact(window, known, first, end, number), "interval"), days), sink, "interval")
+            rows = of_days(_tagged(fact(window, known, first, end, number), "interval"), days)
+            write_dealt_days(rows, sink) if dealt else write_days(rows, sink, "interval")
         finally:
             batch.unpersist()
 
@@ -298,7 +321,8 @@ def start_unit_facts(stream: DataFrame, market: Callable[[], DataFrame], units:
     def work(batch: DataFrame, number: int) -> None:
         recompute(
             batch, store, sink, ["event_id", "interval"],
-            lambda rows, first, last: unit_intervals(rows, market(), units(), first, last, version=number, chunk="day", carry_in=True),
+            lambda rows, first, last: unit_intervals(rows, market(), units(), first, last, version=number, chunk="day", carry_in=True, day=DAY),
+            dealt=True,
         )
 
     return _run(stream, work, checkpoint, trigger)
